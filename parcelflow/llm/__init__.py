@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "secrets", "quotes", "urlfilter")
+MODULES = ("quality", "secrets", "quotes", "urlfilter", "tokens", "packing")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
