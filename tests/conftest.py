@@ -5,7 +5,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HOME = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, HOME)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (HOME, os.environ.get("PYTHONPATH"))))
 
 
 @pytest.fixture(scope="session")
