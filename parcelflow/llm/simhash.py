@@ -147,7 +147,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(near_duplicates(docs, id_col, text_col, most_bits), "near-duplicates")
     named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     named = stored(named, "kept")
-    kept = docs.join(named.select(F.col("doc_id").alias(kept_col := fresh(docs, "_kept"))), F.col(f"`{id_col}`") == F.col(kept_col), "left_semi")
+    # Ids grow with the documents: they are dealt out, not broadcast, at every size; the hash side holds ids only, and texts aren't sorted.
+    ids = named.select(F.col("doc_id").alias(kept_col := fresh(docs, "_kept"))).hint("shuffle_hash")
+    kept = docs.join(ids, F.col(f"`{id_col}`") == F.col(kept_col), "left_semi")
     if not named.where("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
     if found.where("doc_id is null").isEmpty():
