@@ -98,7 +98,7 @@ def test_components_and_large_clusters(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
     chain = [(i, i + 1, 0.95 if i < 3 else 0.8) for i in range(1, 25)]
     got = dict(entity.clusters(spark.createDataFrame(chain, "a int, b int, score double")).collect())
-    assert {k for k, v in got.items() if v == 1} == {1, 2, 3, 4} and got[20] == 20
+    assert {k for k, v in got.items() if v == 1} == {1, 2, 3} and got[20] == 20
 
 
 def test_score_is_symmetric_and_needs_evidence(spark):
