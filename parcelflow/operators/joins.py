@@ -44,3 +44,20 @@ def longest_name_in(df: DataFrame, text: Column, names: DataFrame, name_col: str
     kind = names.schema[id_col].dataType
     known = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(i).cast(kind).alias("i")) for n, i in rows)) if rows else None
     return df.withColumn(id_col, F.get(F.filter(known, lambda x: F.contains(F.lower(text), x["n"])), F.lit(0))["i"] if rows else F.lit(None).cast(kind))
+
+
+def similar_sets(df: DataFrame, id_col: str, set_col: str, least: float, within: Sequence[str] = ()) -> DataFrame:
+    """(a, b, similarity) of rows whose sets have at least that Jaccard similarity and that agree in ``within``.
+
+    Two such sets share one of their first elements in any fixed order, as
+    many as one more than they may lack: only these meet, in the order of a
+    hash, so that no frequent element gathers most rows. Empty sets match nothing.
+    """
+    ordered = F.array_sort(F.transform(set_col, lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))))
+    n = F.size(set_col)
+    first = F.explode(F.slice(ordered, F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("_k")
+    rows = df.where(n > 0).select(*within, id_col, set_col, first)
+    side = lambda x: rows.select(*within, F.col("_k.t").alias("_k"), F.col(id_col).alias(x), F.col(set_col).alias(f"_{x}"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    alike = F.try_divide(shared.cast("double"), F.size("_a") + F.size("_b") - shared)
+    return side("a").join(side("b"), [*within, "_k"]).where("a < b").select("a", "b", alike.alias("similarity")).where(F.col("similarity") >= least).distinct()

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("relational", "market", "changelog", "scalars")
+MODULES: tuple[str, ...] = ("relational", "market", "changelog", "scalars", "places")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
