@@ -95,3 +95,25 @@ def pin_doubts(lat: Column, lon: Column, mid_lat: Column, mid_lon: Column) -> Co
         F.when(F.abs(lat) == F.abs(lon), "equal_coordinates"),
     )
     return F.array_compact(found)
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether two polygons share a point: two edges cross or touch, or one holds a corner of the other."""
+
+    def edges(ring: Column) -> Column:
+        n = F.size(ring)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(ring, i).alias("p"), F.get(ring, (i + 1) % n).alias("q")))
+
+    def side(p: Column, q: Column, r: Column) -> Column:
+        return F.signum((q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"]))
+
+    def overlap(x: Column, y: Column, f: str) -> Column:
+        return (F.least(x["p"][f], x["q"][f]) <= F.greatest(y["p"][f], y["q"][f])) & (F.least(y["p"][f], y["q"][f]) <= F.greatest(x["p"][f], x["q"][f]))
+
+    def touch(x: Column, y: Column) -> Column:
+        crossed = (side(x["p"], x["q"], y["p"]) * side(x["p"], x["q"], y["q"]) <= 0) & (side(y["p"], y["q"], x["p"]) * side(y["p"], y["q"], x["q"]) <= 0)
+        return crossed & overlap(x, y, "lat") & overlap(x, y, "lon")
+
+    crossing = F.exists(edges(a), lambda x: F.exists(edges(b), lambda y: touch(x, y)))
+    inside = lambda p, ring: in_ring(F.get(p, F.lit(0))["lat"], F.get(p, F.lit(0))["lon"], ring)
+    return crossing | inside(a, b) | inside(b, a)

@@ -165,3 +165,56 @@ def first_pattern(s: Column, table: Sequence[tuple[str, str]], default: str | No
 def labelled_amount(s: Column, label: str) -> Column:
     """The amount after a label: "label ... CLP 1.234"."""
     return F.regexp_replace(F.regexp_extract(s, rf"(?is){label}[^\n]*?CLP\s*([\d.]+)", 1), r"\.", "").try_cast("long")
+
+
+#: Parts of a portal's domain id and what they say. (Fixed values.)
+OPERATIONS = (("FOR_RENT", "rent"), ("FOR_SALE", "sale"))
+KINDS = (("APARTMENT", "departamento"), ("HOUSE", "casa"))
+
+
+def domain_kind(s: Column) -> Column:
+    """Operation, property type (null if unknown) and whether it is a development, from a portal's domain id."""
+    return F.struct(first_pattern(s, OPERATIONS).alias("operation"), first_pattern(s, KINDS).alias("property_type"), F.coalesce(s.rlike("(?i)DEVELOPMENT"), F.lit(False)).alias("is_development"))
+
+
+#: Parts of a company's name. (Fixed values.)
+COMPANY_PARTS = ("S.A.", "SPA", "LTDA", "EIRL", "E.I.R.L", "SOCIEDAD", "LIMITADA", "INMOBILIARIA", "INVERSIONES", "COMERCIAL", "CONSTRUCTORA", "INC.", "CORP", "COMPAÑIA", "COMPAÑÍA", "FONDO")
+
+
+def is_company(s: Column) -> Column:
+    name, out = F.upper(F.coalesce(s, F.lit(""))), F.lit(False)
+    for part in COMPANY_PARTS:
+        out = out | F.contains(name, F.lit(part))
+    return out
+
+
+def place_names(s: Column) -> Column:
+    """Folded names to look up, in order: the whole text, then its parts, without "comuna de" and the like."""
+    whole = F.trim(F.coalesce(s, F.lit("")))
+    parts = F.concat(F.array(whole), F.split(whole, r"[,\-–—/]| en "))
+    plain = F.transform(parts, lambda p: F.regexp_replace(fold(p), r"^(comuna|localidad|sector)\s+(de\s+)?", ""))
+    return F.filter(plain, lambda p: p != "")
+
+
+#: Form of an advert's id, and digits from which a number may be one and is worth a visit. (Fixed values.)
+ADVERT_PREFIX, ADVERT_DIGITS, VISIT_DIGITS = "MLC", 8, 9
+
+
+def search_box(s: Column) -> Column:
+    """What a typed text asks for: (advert_id, url, code, like_text, fetchable), nulls where it doesn't.
+
+    An URL names an advert or is looked for as a part of stored ones; a
+    written advert id is no code; a number may be both; anything else is a
+    code, whole or in part.
+    """
+    raw = F.regexp_replace(F.trim(s), r"""^[<"'\s]+|[>"'\s]+$""", "")
+    digits = F.nullif(F.regexp_extract(raw, rf"(?i){ADVERT_PREFIX}-?(\d+)", 1), F.lit(""))
+    number, written = raw.rlike(r"^\d+$"), raw.rlike(rf"(?i)^{ADVERT_PREFIX}-?\d+$")
+    is_url = raw.rlike(r"(?i)^https?://") | raw.rlike(r"(?i)^(?:www\.)?[a-z0-9.-]+\.[a-z]{2,}/")
+    name = lambda d: F.concat(F.lit(f"{ADVERT_PREFIX}-"), d)
+    advert = F.when(number, F.when(F.length(raw) >= ADVERT_DIGITS, name(raw))).otherwise(name(digits))
+    url = F.when(is_url, clean_url(raw))
+    code = F.when(~is_url & ~written & (raw != ""), raw)
+    like = F.when(is_url, F.when(advert.isNull(), F.regexp_replace(url, r"(?i)^https?://(?:www\.)?", ""))).otherwise(code)
+    fetch = F.when(is_url, advert.isNotNull()).when(written, F.length(digits) >= ADVERT_DIGITS).when(number, F.length(raw) >= VISIT_DIGITS).otherwise(False)
+    return F.struct(advert.alias("advert_id"), url.alias("url"), code.alias("code"), like.alias("like_text"), F.coalesce(fetch, F.lit(False)).alias("fetchable"))

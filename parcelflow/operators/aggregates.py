@@ -57,3 +57,20 @@ def best_ranked(x: Column, label: Column, ranks: Sequence[str], *tie: Column) ->
     """``x`` of the row whose label comes first in ``ranks``; unknown labels come last."""
     rank = reduce(lambda out, i: F.when(label == ranks[i], F.lit(i)).otherwise(out), reversed(range(len(ranks))), F.lit(len(ranks)))
     return F.min_by(x, F.struct(rank, *tie))
+
+
+def price_bands(prices: DataFrame, price_col: str, ceiling: float, most: int, depth: int = 8) -> DataFrame:
+    """(low, high, total): [0, ceiling) halved until a band has at most ``most`` rows, or ``depth`` times.
+
+    One count over the finest bands; the coarser ones are sums of those, so
+    nothing but 2^depth rows is halved. Prices outside count at the ends.
+    """
+    finest = 1 << depth
+    width = ceiling / finest
+    n = prices.where(F.col(price_col).isNotNull()).select(F.least(F.lit(finest - 1), F.greatest(F.lit(0), F.floor(F.col(price_col) / width))).cast("long").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    bands = prices.sparkSession.range(finest).withColumnRenamed("id", "band").join(n, "band", "left")
+    each = bands.select("band", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).withColumn("size", F.pow(F.lit(2), depth - F.col("d")).cast("long")).withColumn("at", F.floor(F.col("band") / F.col("size")))
+    whole = each.groupBy("d", "size", "at").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.collect_list("band").alias("bands"))
+    small = whole.where((F.col("total") <= most) | (F.col("d") == depth)).select(F.explode("bands").alias("band"), "d", "size", "at", "total")
+    leaf = small.groupBy("band").agg(F.min_by(F.struct("size", "at", "total"), "d").alias("b")).select("b.*").distinct()
+    return leaf.select((F.col("at") * F.col("size") * width).alias("low"), ((F.col("at") + 1) * F.col("size") * width).alias("high"), "total")

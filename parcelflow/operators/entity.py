@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from .graph import connected_components
 from .latest import top_of_each
+from .upsert import upsert
 
 #: Weight of each soft signal and the difference at which it is worth nothing. (Fixed values.)
 SOFT = {"distance": (0.15, 150.0), "area": (0.10, 0.5), "bathrooms": (0.05, 3.0), "price": (0.10, 0.5), "text": (0.15, 1.0)}
@@ -38,9 +39,26 @@ def pair_score(signals: Mapping[str, Column], hard: Mapping[str, Column]) -> Col
     return numeric.sigmoid(total, 2)
 
 
-def decision(score: Column, evidence: Column) -> Column:
+def decision(score: Column, evidence: Column, confirmed: float = CONFIRMED, candidate: float = CANDIDATE) -> Column:
     """Confirmed needs evidence of identity too, else a candidate."""
-    return F.when((score >= CONFIRMED) & F.coalesce(evidence, F.lit(False)), "confirmed").when(score >= CANDIDATE, "candidate").otherwise("rejected")
+    return F.when((score >= confirmed) & F.coalesce(evidence, F.lit(False)), "confirmed").when(score >= candidate, "candidate").otherwise("rejected")
+
+
+#: Weights of what speaks for a property's place; agreement of the geocode counts either way. (Fixed values.)
+IDENTITY = {"triangulation": 0.30, "geocode": 0.25, "clean_parcel": 0.20, "suspect": -0.25, "footprint": 0.15, "aerial": 0.10}
+
+
+def identity_parts(triangulation: Column, geocode_agrees: Column, parcel: Column, suspect: Column, footprint: Column, aerial: Column) -> dict[str, Column]:
+    """What each signal adds; an unknown one (null) adds nothing."""
+    on = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
+    doubt = F.coalesce(suspect, F.lit(False))
+    sizes = {"triangulation": triangulation, "geocode": F.when(geocode_agrees, 1.0).when(~geocode_agrees, -1.0), "clean_parcel": on(parcel & ~doubt), "suspect": on(doubt), "footprint": footprint, "aerial": aerial}
+    return {k: F.coalesce(IDENTITY[k] * v, F.lit(0.0)) for k, v in sizes.items()}
+
+
+def location_confidence(score: Column, parcel: Column, suspect: Column) -> Column:
+    doubt = F.coalesce(suspect, F.lit(False)) & (score < CONFIRMED)
+    return F.when(doubt, "pin_suspect").when((score >= CONFIRMED) & F.coalesce(parcel, F.lit(False)), "confirmed").when(score >= CANDIDATE, "candidate").otherwise("none")
 
 
 def best_match(candidates: DataFrame, key: str, id_col: str, p_col: str, odds_col: str) -> DataFrame:
@@ -107,3 +125,40 @@ def ranking_quality(ranks: DataFrame, rank_col: str = "rank") -> DataFrame:
     r = F.col(rank_col)
     share = lambda when: F.round(F.avg(F.coalesce(when, F.lit(False)).cast("int")), 4)
     return ranks.agg(share(r == 1).alias("top1"), share(r <= 3).alias("top3"), F.round(F.avg(F.coalesce(1 / r, F.lit(0.0))), 4).alias("mrr"))
+
+
+def explained(parts: Mapping[str, Column], most: int = 3) -> Column:
+    """The signals with the largest weights either way as text: "+name(0.50) -other(0.25)"; ties keep the order given."""
+    rows = F.array(*(F.struct((-F.abs(v)).alias("size"), F.lit(i).alias("i"), F.lit(k).alias("name"), v.alias("v")) for i, (k, v) in enumerate(parts.items())))
+    known = F.array_sort(F.filter(rows, lambda x: x["v"].isNotNull()))
+    said = lambda x: F.concat(F.when(x["v"] >= 0, "+").otherwise(""), x["name"], F.lit("("), F.format_string("%.2f", x["v"]), F.lit(")"))
+    return F.array_join(F.transform(F.slice(known, 1, most), said), " ")
+
+
+def fed_pairs(matches: DataFrame, scored: DataFrame) -> DataFrame:
+    """``matches`` (a, b, score, status, decided_by) after ``scored`` pairs (a, b, score, status, same_property).
+
+    Pairs are ordered and counted once, with their best score. Those of one
+    property and rejected ones are left out. A person's decision stays.
+    """
+    lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    good = scored.where(~F.coalesce("same_property", F.lit(False)) & (F.col("status") != "rejected") & (F.col("a") != F.col("b")))
+    best = good.select(lo, hi, "score", "status").groupBy("a", "b").agg(F.max_by("status", F.struct("score", "status")).alias("status"), F.max("score").alias("score"))
+    new = best.withColumn("decided_by", F.lit("auto"))
+    return upsert(matches, new.select(*matches.columns), ["a", "b"], when=F.col("decided_by").eqNullSafe("auto"))
+
+
+def merge_plan(nodes: DataFrame, owned: DataFrame, survivors: DataFrame) -> DataFrame:
+    """(listing, property, survivor, confidence, moves) for the whole family of each cluster.
+
+    ``nodes`` (listing, cluster, confidence) are matched listings, ``owned``
+    (listing, property) all listings, ``survivors`` (cluster, survivor). A
+    family is its nodes and all listings of the properties they touch, which
+    belong to the cluster with the smallest name that touches them. Listings
+    that are not nodes keep their own confidence: it is null here.
+    """
+    n = nodes.join(owned, "listing", "left")
+    touched = n.where(F.col("property").isNotNull()).groupBy("property").agg(F.min("cluster").alias("cluster"))
+    dragged = owned.join(nodes, "listing", "left_anti").join(touched, "property").select("listing", "cluster", F.lit(None).cast("double").alias("confidence"), "property")
+    family = n.select("listing", "cluster", "confidence", "property").unionByName(dragged).join(survivors, "cluster")
+    return family.select("listing", "property", "survivor", "confidence", (~F.col("property").eqNullSafe(F.col("survivor"))).alias("moves"))

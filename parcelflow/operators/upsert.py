@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OVERWRITE, NEW_ELSE_OLD, OLD_ELSE_NEW, GREATEST = "overwrite", "new_else_old", "old_else_new", "greatest"
@@ -51,3 +51,30 @@ def differing(target: DataFrame, source: DataFrame, keys: Sequence[str], columns
 def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """Writes ``df`` over the partitions that it has rows of; the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def replace_children(children: DataFrame, fresh: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """``children`` without those of the upserted ``parents``, and the ``fresh`` rows in their place."""
+    return children.join(parents.select(key), key, "left_anti").unionByName(fresh.join(parents.select(key), key, "left_semi"))
+
+
+def with_change_list(target: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows of ``source`` that are new or differ, with ``changes``: names of the columns that differ, all of them for a new key."""
+    old = target.select(*keys, F.struct(*columns).alias("_old"))
+    names = F.array_compact(F.array(*(F.when(F.col("_old").isNull() | ~F.col(f"_old.{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in columns)))
+    return source.join(old, list(keys), "left").withColumn("changes", names).drop("_old").where(F.size("changes") > 0)
+
+
+def refresh(views: Mapping[str, DataFrame], folder: str) -> DataFrame:
+    """Writes each view under ``folder``; (view, ok, detail) for each, a failed one leaves the others to be written."""
+    if not views:
+        raise ValueError("no views")
+    told = []
+    for name, view in views.items():
+        try:
+            view.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+            told.append((name, True, None))
+        except Exception as e:  # the report says what failed, as a refresh of many views goes on
+            told.append((name, False, str(e).splitlines()[0][:500]))
+    spark: SparkSession = next(iter(views.values())).sparkSession
+    return spark.createDataFrame(told, "view string, ok boolean, detail string")
