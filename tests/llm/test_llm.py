@@ -157,6 +157,21 @@ def test_deobfuscation(spark):
     assert "idiot" in d.restored("you i d i o t here") and d.restored(None) == set() and d.restored("") == set()
 
 
+def test_toxic_text_of_thousands_of_copies(spark):
+    letters = lambda i: "".join("bcdfgklmnp"[int(c)] + "a" for c in f"{i:05}")
+    clean = [f"garden market window {letters(i)} river" for i in range(400)]
+    other = [f"you zubrat and mopkel {letters(i)} river" for i in range(1000, 1012)]
+    texts = clean + other + ["you zubrat and mopkel garden unrepeatable river"] * 3000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") >= len(clean)).cast("int").alias("toxic")))
+    assert {"zubrat", "mopkel"} <= set(model.weights) and "unrepeatable" not in model.weights
+    got = toxicity.score(docs, model).select("doc_id", (F.col("score") >= 0.5).alias("p")).toPandas()
+    assert (got["p"] == (got["doc_id"] >= len(clean))).all()
+    once = docs.where(F.col("doc_id") <= len(clean) + len(other))
+    alone = toxicity.fit(once, once.select("doc_id", (F.col("doc_id") >= len(clean)).cast("int").alias("toxic")))
+    assert alone.weights == model.weights and alone.bias == model.bias
+
+
 def test_toxicity_of_odd_rows(odd, none):
     labels = odd.select("doc_id", F.lit(0).alias("toxic"))
     model = toxicity.fit(odd, labels)
