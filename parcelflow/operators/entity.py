@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numeric, text
+from ..functions import geo, numeric, text
 from .graph import connected_components
 from .latest import top_of_each
 from .upsert import upsert
@@ -162,3 +162,87 @@ def merge_plan(nodes: DataFrame, owned: DataFrame, survivors: DataFrame) -> Data
     dragged = owned.join(nodes, "listing", "left_anti").join(touched, "property").select("listing", "cluster", F.lit(None).cast("double").alias("confidence"), "property")
     family = n.select("listing", "cluster", "confidence", "property").unionByName(dragged).join(survivors, "cluster")
     return family.select("listing", "property", "survivor", "confidence", (~F.col("property").eqNullSafe(F.col("survivor"))).alias("moves"))
+
+
+#: Parts that a hot key's right side is repeated in, so that its pairs are made by as many tasks.
+SALTS = 8
+#: Weight of each signal of a pair and, of differences, where it is clamped; unknown signals (null) add nothing. (Fixed values.)
+FOOTPRINT_ES = {"distance": (-0.15, 150.0), "area": (-0.10, 50.0), "bedrooms": (0.15, None), "bathrooms": (-0.05, 3.0), "price": (-0.08, 50.0), "text": (0.12, None), "phash": (-0.20, 16.0), "kind": (0.10, None), "operation": (0.10, None)}
+FOOTPRINT_CL = {"distance": (-0.25, 150.0), "area": (-0.06, 50.0), "bedrooms": (0.15, None), "bathrooms": (-0.04, 3.0), "price": (-0.06, 50.0), "text": (0.20, None), "kind": (0.10, None), "operation": (0.10, None)}
+
+
+def _sides(rows: DataFrame, *columns: str) -> list[DataFrame]:
+    return [rows.select(*(F.col(c).alias(f"{c}_{s}") for c in columns), F.col("id").alias(s)) for s in ("a", "b")]
+
+
+def _near(rows: DataFrame, metres: float) -> DataFrame:
+    p = rows.where("lat is not null and lon is not null")
+    return geo.pairs_within(p.withColumnRenamed("id", "a"), p.withColumnRenamed("id", "b"), metres, "a", "b").where("a < b").select("a", "b")
+
+
+def near_alike(rows: DataFrame, metres: float = 150, share: float = 0.08) -> DataFrame:
+    """(a, b), a < b, for which one may be the target and the other, active, its candidate: near, of one operation and number of bedrooms, and of areas that differ by the target's share (rounded up) at most, if known."""
+    a, b = _sides(rows, "operation", "bedrooms", "area", "is_active")
+    gap = F.abs(F.col("area_a") - F.col("area_b"))
+    fits = lambda t, c: F.coalesce(F.col(f"is_active_{c}"), F.lit(False)) & F.coalesce(gap <= F.ceil(F.col(f"area_{t}") * share), F.lit(True))
+    same = F.col("operation_a").eqNullSafe(F.col("operation_b")) & F.coalesce("bedrooms_a", F.lit(-1)).eqNullSafe(F.coalesce("bedrooms_b", F.lit(-1)))
+    return _near(rows, metres).join(a, "a").join(b, "b").where(same & (fits("a", "b") | fits("b", "a"))).select("a", "b")
+
+
+def near_or_named(rows: DataFrame, metres: float = 350, band: float = 0.3) -> DataFrame:
+    """(a, b), a < b, of one commune (or an unknown one) with one phone, agency or address, or near and of prices within ``band`` of either's.
+
+    Each key is an equi-join of its own; rows of unknown communes meet all
+    communes in a second one. A pair found by several ways stays once.
+    """
+    known = lambda c: F.when(c != "", c)
+    k = rows.select("*", known(text.fold(F.col("commune"))).alias("_c"))
+    keys = {"phone": known(F.regexp_replace("phone", r"\D", "")), "agency": known(text.fold(F.col("agency"))), "address": F.when(F.length(text.fold(F.col("address"))) > 4, text.fold(F.col("address")))}
+    named = k.select("id", "_c", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in keys.items()))).alias("_k")).select("id", "_c", "_k.n", "_k.v").where("v is not null")
+    left = named.select(F.col("id").alias("a"), "_c", "n", "v", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_s"))
+    right = named.select(F.col("id").alias("b"), "_c", "n", "v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    on, ends = ["n", "v", "_s"], lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    inside = left.where("_c is not null").join(right.where("_c is not null"), ["_c", *on])
+    across = left.where("_c is null").drop("_c").join(right.drop("_c"), on)
+    a, b = _sides(k, "_c", "price")
+    x, y = F.col("price_a"), F.col("price_b")
+    priced = F.coalesce((F.least(x, y) <= 0) | (F.abs(x - y) <= band * F.greatest(x, y)), F.lit(True)) | x.isNull() | y.isNull()
+    near = _near(rows, metres).join(a, "a").join(b, "b").where(F.coalesce(F.col("_c_a") == F.col("_c_b"), F.lit(True)) & priced)
+    return ends(inside).unionByName(ends(across)).unionByName(near.select("a", "b")).distinct()
+
+
+def pair_signals(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) with every signal, null where one side is unknown: differences of area and price in per cent of the larger."""
+    columns = ("lat", "lon", "area", "bedrooms", "bathrooms", "price", "kind", "operation", "address", "phone", "agency", "phash")
+    a, b = _sides(rows, *columns)
+    one = lambda n: (F.col(f"{n}_a"), F.col(f"{n}_b"))
+    percent = lambda n: F.when(F.greatest(*one(n)) > 0, F.abs(F.col(f"{n}_a") - F.col(f"{n}_b")) / F.greatest(*one(n)) * 100)
+    both = lambda n: F.when(one(n)[0].isNotNull() & one(n)[1].isNotNull(), percent(n))
+    same = lambda n, f=lambda c: c: f(one(n)[0]) == f(one(n)[1])
+    words = lambda c: F.trim(F.regexp_replace(text.fold(c), "[^a-z0-9]+", " "))
+    address = lambda n: [F.when(F.length(words(c)) >= 2, words(c)) for c in one(n)]
+    return pairs.join(a, "a").join(b, "b").select(
+        "a", "b",
+        geo.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")).alias("distance"),
+        both("area").alias("area"), same("bedrooms").alias("bedrooms"), F.abs(F.col("bathrooms_a") - F.col("bathrooms_b")).alias("bathrooms"),
+        both("price").alias("price"), text.text_similarity(*address("address")).alias("text"), numeric.hamming(*one("phash")).alias("phash"),
+        same("kind").alias("kind"), same("operation").alias("operation"), same("phone", text.phone).alias("same_phone"), same("agency", text.agency).alias("same_agency"),
+    )
+
+
+def footprint_score(weights: Mapping[str, tuple[float, float | None]]) -> Column:
+    """Sum of the weighted signals of ``pair_signals``, before the sigmoid."""
+    total = F.lit(0.0)
+    for name, (weight, most) in weights.items():
+        x = F.col(name).cast("double")
+        total = total + F.coalesce(weight * (numeric.clamp(x / most) if most else x), F.lit(0.0))
+    return total
+
+
+def pair_verdicts(signals: DataFrame) -> DataFrame:
+    """The signals with the score of either market and the decision, for which phone, picture or an address alike by half is evidence; an agency is none."""
+    hard = {"same_phone": F.col("same_phone"), "same_agency": F.col("same_agency"), "same_photo": F.col("phash") <= 8}
+    extra = sum((F.when(F.coalesce(c, F.lit(False)), HARD[n]).otherwise(0.0) for n, c in hard.items()), F.lit(0.0))
+    proof = F.coalesce(hard["same_photo"], F.lit(False)) | F.coalesce(hard["same_phone"], F.lit(False)) | F.coalesce(F.col("text") >= 0.5, F.lit(False))
+    out = signals.withColumns({"footprint": numeric.sigmoid(footprint_score(FOOTPRINT_ES), 2), "score": numeric.sigmoid(footprint_score(FOOTPRINT_CL) + extra, 2), "_proof": proof})
+    return out.withColumn("decision", decision(F.col("score"), F.col("_proof"))).drop("_proof")

@@ -8,7 +8,7 @@ from ..functions import geo, numeric, text
 from ..operators import aggregates as A
 from ..operators import changes as CH
 from ..operators import entity, joins, upsert
-from ..sources.domain import CHANGE_SQL, LISTING_SQL, PHASH_SQL, POINT_SQL, changes, listings, picture_hashes, points, table
+from ..sources.domain import CHANGE_SQL, LISTING_SQL, PHASH_SQL, POINT_SQL, adverts, changes, listings, picture_hashes, points, table
 from .registry import book
 
 QUERIES, SQL, query = book()
@@ -31,6 +31,15 @@ def pair_decisions(spark, sf_dir):
     return _edges(spark, sf_dir).select("a", "b", F.round("score", 6).alias("score"), entity.decision(F.col("score"), F.col("evidence")).alias("decision"))
 
 
+@query("ER-01_05_all_signals")
+def all_signals(spark, sf_dir):
+    """Pairs of either market's blocking, with all signals, scores and the decision."""
+    rows = adverts(spark, sf_dir)
+    ways = entity.near_alike(rows).withColumn("way", F.lit("near_alike")).unionByName(entity.near_or_named(rows).withColumn("way", F.lit("near_or_named")))
+    found = ways.groupBy("a", "b").agg(F.bool_or(F.col("way") == "near_alike").alias("near_alike"), F.bool_or(F.col("way") == "near_or_named").alias("near_or_named"))
+    return entity.pair_verdicts(entity.pair_signals(found.select("a", "b"), rows)).join(found, ["a", "b"])
+
+
 @query("ER-09_clusters", f"""WITH RECURSIVE {POINT_SQL}, {_EDGES}, good AS (SELECT a, b FROM edge WHERE score >= 0.75 UNION SELECT b, a FROM edge WHERE score >= 0.75),
 walk(node, seen) AS (SELECT DISTINCT a, a FROM good UNION SELECT walk.node, good.b FROM walk JOIN good ON walk.seen = good.a) SELECT node, min(seen) AS cluster FROM walk GROUP BY node""")
 def clusters(spark, sf_dir):

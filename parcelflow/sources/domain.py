@@ -72,3 +72,14 @@ def picture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PHASH_SQL = "picture AS (SELECT vec_id, list_reduce(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::UBIGINT << i ELSE 0::UBIGINT END), lambda a, b: a | b) AS phash FROM embeddings)"
+
+
+def adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An advert for each point, with all that pairs are compared by: its picture hash, and the part of its number as what is known of it."""
+    i, part = F.col("vec_id"), table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "vec_id")
+    rows = points(spark, sf_dir).join(picture_hashes(spark, sf_dir), "vec_id").join(part, "vec_id", "left")
+    return rows.select(
+        i.alias("id"), "lat", "lon", "phash", F.col("p_size").cast("double").alias("area"), F.col("p_retailprice").alias("price"), (i % 4).cast("int").alias("bedrooms"), (i % 3).cast("int").alias("bathrooms"),
+        F.col("p_type").alias("kind"), F.when(i % 2 == 0, "sale").otherwise("rent").alias("operation"), F.concat(F.lit("C"), F.floor(i / 500).cast("string")).alias("commune"),
+        F.concat(F.lit("+56 9 "), F.lpad(F.floor(i / 3).cast("string"), 8, "0")).alias("phone"), F.concat_ws(" ", "p_brand", F.floor(i / 50).cast("string")).alias("agency"), F.col("p_name").alias("address"), (i % 5 > 0).alias("is_active"),
+    )

@@ -61,3 +61,51 @@ def test_explanation_and_places(spark):
     assert one(spark, text.place_names(F.lit("Sector de Ñuñoa, Maipú"))) == ["nunoa, maipu", "nunoa", "maipu"]
     assert one(spark, text.place_names(F.lit(None).cast("string"))) == []
     assert one(spark, text.is_company(F.lit("Sur SpA"))) and not one(spark, text.is_company(F.lit(None).cast("string")))
+
+
+def test_pairs_of_adverts_against_all_pairs(spark):
+    import math
+    import random
+
+    rng, names = random.Random(3), ("id", "lat", "lon", "phash", "area", "price", "bedrooms", "bathrooms", "kind", "operation", "commune", "phone", "agency", "address", "is_active")
+    pick = lambda *x: rng.choice(x)
+    rows = [(i, pick(None, -33.4 + rng.random() / 100), -70.6 + rng.random() / 100, pick(None, 0, 255, -1), pick(None, 50.0, 54.0, 58.5), pick(None, 0.0, 100.0, 130.0, 143.0, 200.0), pick(None, 1, 2), pick(None, 1, 4), pick(None, "flat", "house"), pick(None, "sale", "rent"), pick(None, "Ñuñoa", "nunoa", "Maipú"), pick(None, "", f"+56 9 1234 {rng.randrange(20):04}"), pick(None, "", f"Agency {rng.randrange(20)}"), pick(None, "ab", f"Calle {rng.randrange(20)}"), rng.random() < 0.7) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, phash long, area double, price double, bedrooms int, bathrooms int, kind string, operation string, commune string, phone string, agency string, address string, is_active boolean")
+    plain = lambda s: (s or "").lower().replace("ñ", "n").replace("ú", "u").strip()
+    digits = lambda s: "".join(c for c in s or "" if c.isdigit())
+
+    def metres(a, b):
+        if None in (a["lat"], b["lat"]):
+            return math.inf
+        p, q = math.radians(a["lat"]), math.radians(b["lat"])
+        return 2 * 6_371_000 * math.asin(math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lon"] - a["lon"]) / 2) ** 2))
+
+    def alike(t, c):
+        return c["is_active"] and t["operation"] == c["operation"] and t["bedrooms"] == c["bedrooms"] and (None in (t["area"], c["area"]) or abs(t["area"] - c["area"]) <= math.ceil(t["area"] * 0.08)) and metres(t, c) <= 150
+
+    def named(t, c):
+        if plain(t["commune"]) and plain(c["commune"]) and plain(t["commune"]) != plain(c["commune"]):
+            return False
+        if (digits(t["phone"]) and digits(t["phone"]) == digits(c["phone"])) or (t["agency"] and plain(t["agency"]) == plain(c["agency"])) or (len(plain(t["address"])) > 4 and plain(t["address"]) == plain(c["address"])):
+            return True
+        return metres(t, c) <= 350 and (None in (t["price"], c["price"]) or t["price"] <= 0 or abs(t["price"] - c["price"]) / t["price"] <= 0.3)
+
+    of = [dict(zip(names, r, strict=True)) for r in rows]
+    for made, rule in ((entity.near_alike(df), alike), (entity.near_or_named(df), named)):
+        wanted = sorted((x["id"], y["id"]) for x in of for y in of if x["id"] < y["id"] and (rule(x, y) or rule(y, x)))
+        assert wanted and sorted(tuple(r) for r in made.collect()) == wanted
+    far = [r for r in entity.near_or_named(df).collect() if metres(of[r["a"]], of[r["b"]]) > 350]
+    assert far
+
+
+def test_verdicts_use_every_signal(spark):
+    base = {"lat": 0.0, "lon": 0.0, "phash": 0, "area": 100.0, "price": 100.0, "bedrooms": 2, "bathrooms": 1, "kind": "flat", "operation": "sale", "phone": None, "agency": "Sur", "address": None}
+    other = {**base, "phash": 255, "area": 80.0, "price": 80.0, "bathrooms": 2}
+    kinds = "id long, lat double, lon double, phash long, area double, price double, bedrooms int, bathrooms int, kind string, operation string, phone string, agency string, address string"
+    at = lambda i, d: (i, *(d[k.split()[0]] for k in kinds.split(", ")[1:]))
+    rows = spark.createDataFrame([at(1, base), at(2, other), at(3, {**other, "phash": None, "bedrooms": 3})], kinds)
+    got = {r["b"]: r for r in entity.pair_verdicts(entity.pair_signals(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), rows)).collect()}
+    logit = lambda x: 1 / (1 + 2.718281828459045 ** (-2 * x))
+    assert abs(got[2]["footprint"] - logit(-0.04 + 0.15 - 0.05 / 3 - 0.032 - 0.10 + 0.2)) < 1e-9
+    assert abs(got[2]["score"] - logit(-0.024 + 0.15 - 0.04 / 3 - 0.024 + 0.2 + 0.35 + 0.50)) < 1e-9
+    assert got[2]["decision"] == "confirmed" and got[3]["decision"] == "candidate"
