@@ -149,6 +149,13 @@ def names(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", F.lower(text.unaccent(title)).alias("folded"), text.slug(title).alias("slug"))
 
 
+@query("STR-01_03_whole_texts")
+def whole_texts(spark, sf_dir):
+    """The whole text of every document, whatever its language."""
+    whole = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(text.unaccent(whole)).alias("folded"), text.slug(whole).alias("slug"))
+
+
 _TRI = "list_distinct(list_transform(range(1, length({s}) + 2), lambda i: substr('  ' || {s} || ' ', i, 3)))"
 
 

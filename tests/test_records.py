@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from parcelflow import plans
 from parcelflow.functions import geo, text
 from parcelflow.operators import aggregates, entity, upsert
 
@@ -109,3 +110,17 @@ def test_verdicts_use_every_signal(spark):
     assert abs(got[2]["footprint"] - logit(-0.04 + 0.15 - 0.05 / 3 - 0.032 - 0.10 + 0.2)) < 1e-9
     assert abs(got[2]["score"] - logit(-0.024 + 0.15 - 0.04 / 3 - 0.024 + 0.2 + 0.35 + 0.50)) < 1e-9
     assert got[2]["decision"] == "confirmed" and got[3]["decision"] == "candidate"
+
+
+def test_whole_texts_of_all_languages(spark, tmp_path):
+    import re
+
+    from parcelflow.functions.text import _ACCENTED, _PLAIN
+
+    long = "É tré Ñandú -- " * 40 + "Ende!"
+    rows = [(1, long, "es"), (2, "Größe: Ähre", "de"), (3, long, "fr"), (4, None, "en"), (5, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    fold = lambda s: (s or "").translate(str.maketrans(_ACCENTED, _PLAIN)).lower()
+    wanted = {i: (fold(t), re.sub("[^a-z0-9]+", "-", fold(t)).strip("-")) for i, t, _ in rows}
+    got = {r["doc_id"]: (r["folded"], r["slug"]) for r in plans.queries()["STR-01_03_whole_texts"](spark, str(tmp_path)).collect()}
+    assert got == wanted and got[3][1].endswith("-ende")
