@@ -418,3 +418,14 @@ def containment(spark, sf_dir):
 def zipped(spark, sf_dir):
     pair = F.explode(F.arrays_zip(F.array(F.lit(1), F.lit(2)).alias("i"), F.array("o_orderstatus", "o_orderpriority").alias("v"))).alias("x")
     return table(spark, sf_dir, "orders").where("o_orderkey < 1000").select("o_orderkey", pair).select("o_orderkey", "x.*")
+
+
+@query("ARR-02_zipped_whole", "SELECT o_orderkey, unnest([1, 2]) AS i, unnest([o_orderstatus, o_orderpriority]) AS v FROM orders")
+def zipped_whole(spark, sf_dir):
+    pair = F.explode(F.arrays_zip(F.array(F.lit(1), F.lit(2)).alias("i"), F.array("o_orderstatus", "o_orderpriority").alias("v"))).alias("x")
+    return table(spark, sf_dir, "orders").select("o_orderkey", pair).select("o_orderkey", "x.*")
+
+
+@query("SRT-05_null_order_whole", "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality DESC NULLS FIRST, doc_id")
+def null_order_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").orderBy(F.desc_nulls_first("quality"), "doc_id").select("doc_id", "quality")

@@ -101,6 +101,13 @@ def json_lines(spark, sf_dir):
     return spark.read.schema("event_id long, event_type string").json(path)
 
 
+@query("SRC-05_json_lines_whole", "SELECT event_id, event_type FROM events")
+def json_lines_whole(spark, sf_dir):
+    path = _scratch(spark, "lines")
+    table(spark, sf_dir, "events").select("event_id", "event_type").write.json(path)
+    return spark.read.schema("event_id long, event_type string").json(path)
+
+
 @query("SRC-09_page_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def page_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))

@@ -124,3 +124,12 @@ def test_whole_texts_of_all_languages(spark, tmp_path):
     wanted = {i: (fold(t), re.sub("[^a-z0-9]+", "-", fold(t)).strip("-")) for i, t, _ in rows}
     got = {r["doc_id"]: (r["folded"], r["slug"]) for r in plans.queries()["STR-01_03_whole_texts"](spark, str(tmp_path)).collect()}
     assert got == wanted and got[3][1].endswith("-ende")
+
+
+def test_whole_tables_are_kept(spark, sf_dir):
+    rows = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
+    made = plans.queries()
+    assert made["ARR-02_zipped_whole"](spark, sf_dir).count() == 2 * rows("orders")
+    assert made["SRC-05_json_lines_whole"](spark, sf_dir).count() == rows("events")
+    got = [(r["quality"] is not None, -(r["quality"] or 0), r["doc_id"]) for r in made["SRT-05_null_order_whole"](spark, sf_dir).collect()]
+    assert got == sorted(got) and len(got) == rows("documents")
