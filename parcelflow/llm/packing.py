@@ -65,7 +65,8 @@ class _Packer:
         so that none gets more than its length; exchanging them then never
         needs more sequences. That holds for a piece that nothing else fits
         to; and for it and the longest that fits, if both fill the sequence,
-        if no two others fit, or if the longest is as long as any two that do.
+        if no two others fit, or if the longest is as long as any two that do
+        and no three do.
         """
         left, capacity = self.left, self.capacity
         for length in range(capacity, 0, -1):
@@ -78,7 +79,7 @@ class _Packer:
                     self.put(length, n, self.new(n), 1, 0)
                     self.plan.reduced += n
                     continue
-                if partner < room and partner < self._best_two(room, length):
+                if partner < room and (partner < self._best_two(room, length) or self._least_three(length) <= room):
                     break
                 if partner == length:
                     n = left[length] // 2
@@ -103,6 +104,16 @@ class _Packer:
                 low += 1
         return best
 
+    def _least_three(self, length: int) -> int:
+        """The total of the three shortest pieces other than one of ``length``; more than any room if there are fewer."""
+        total, more = 0, 3
+        for x in range(1, self.capacity + 1):
+            n = min(more, self.left[x] - (x == length))
+            total, more = total + n * x, more - n
+            if not more:
+                return total
+        return self.capacity + 1
+
     def best_fit(self) -> None:
         """Longest pieces first, each to the open sequence with the least room that takes it."""
         capacity = self.capacity

@@ -291,6 +291,14 @@ def check_places(rows, capacity):
     return len(by)
 
 
+def test_packing_fixes_no_pair_that_three_pieces_beat():
+    lengths = [2, 2, 3, 3, 4, 6, 7, 8, 11, 14]
+    packer = packing._Packer(Counter(lengths), 20)
+    packer.reduce()
+    # 14 and 6 fill a sequence; 11, 7, 2 and 8, 4, 3, 3, 2 fill two, which a pair of 11 and 8 would not leave.
+    assert packer.plan.sequences == 1 and packer.left[11] == packer.left[8] == 1
+
+
 def test_packing(spark, sf_dir, odd, none):
     rows = packing.op9_best_fit_packing(spark, sf_dir).collect()
     n = check_places(rows, 2048)
