@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, numeric, text
 from .graph import connected_components
 from .latest import top_of_each
+from .storage import stored
 from .upsert import upsert
 
 #: Weight of each soft signal and the difference at which it is worth nothing. (Fixed values.)
@@ -88,9 +89,11 @@ def clusters(edges: DataFrame, least: float = CONFIRMED, most: int = MOST_IN_CLU
 
     Nodes that keep no strong edge in a large one stand alone.
     """
-    good = edges.where(F.col("score") >= least)
+    good = stored(edges.where(F.col("score") >= least).select("a", "b", "score"), "strong-pairs")
     first = connected_components(good.select("a", "b"))
     large = first.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    if large.isEmpty():
+        return first.select("node", F.col("component").alias("cluster"))
     split = first.join(large, "component", "left_semi")
     kept = good.where(F.col("score") >= strong).join(split.select(F.col("node").alias("a")), "a", "left_semi")
     second = connected_components(kept.select("a", "b"))

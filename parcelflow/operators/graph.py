@@ -2,46 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the folder that the driver and all executors share."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/parcelflow-edges-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from .storage import Rounds
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of each end of an edge; a component is named by its smallest node.
 
-    Large-star and small-star rounds: each links a node's neighbours to the
-    smallest of them, until every node hangs on its component's smallest.
-    The rounds grow with the logarithm of the longest chain; a node with many
-    neighbours is one row of a minimum taken before the shuffle and one side
-    of a join that adaptive execution may split. Edges with a null end and
-    loops are ignored; an empty table gives an empty one.
+    Rounds of two steps over edges (u, v), v < u, each of which ends with
+    every node hanging on smaller ones: a node's larger neighbours move to
+    the smallest one around it, then its smaller ones do. Each round is a table in the
+    shared folder and says itself whether it changed anything: it is the last
+    when each node has one edge and no edge's lower end has another below it.
+    The rounds grow with the logarithm of the longest chain; a node with
+    many neighbours is one row of a minimum taken before the shuffle and one
+    side of a join that adaptive execution may split. Nodes may be of any
+    type with an order. Edges with a null end and loops are ignored; an empty
+    table gives an empty one.
     """
     x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-    now = _stored(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (x != y)).distinct())
-    seen = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        seen = state
-        both = now.union(now.select("v", "u"))
+    rounds = Rounds(edges.sparkSession, "edges")
+    now = rounds.put(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (x != y)).distinct().select("u", "v", F.lit(True).alias("moved")))
+    while not now.where("moved").isEmpty():
+        pairs = now.select("u", "v")
+        both = pairs.union(pairs.select("v", "u"))
+        # The smallest node around each one, itself included.
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(now.join(least.withColumnRenamed("u", "n"), F.col("u") == F.col("n")).where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
-        now = _stored(small.distinct())
+        large = pairs.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"), (F.col("m") < F.col("v")).alias("moved"))
+        hung = large.groupBy("u", "v").agg(F.bool_or("moved").alias("moved"))
+        lowest = hung.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = hung.join(lowest, "u")
+        up = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
+        down = small.where("v = m").select("u", "v", (F.col("moved") | (F.col("n") > 1)).alias("moved"))
+        now = rounds.put(up.union(down).groupBy("u", "v").agg(F.bool_or("moved").alias("moved")))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, numeric, text
 from ..operators import aggregates as A
 from ..operators import changes as CH
-from ..operators import entity, joins, upsert
+from ..operators import entity, joins, ring, upsert
 from ..sources.domain import CHANGE_SQL, LISTING_SQL, PHASH_SQL, POINT_SQL, adverts, changes, listings, picture_hashes, points, table
 from .registry import book
 
@@ -84,13 +84,13 @@ def ranking_quality(spark, sf_dir):
 
 @query("NUM-09_hash_pairs", f"WITH {PHASH_SQL} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.phash, b.phash))::INT AS bits FROM picture a JOIN picture b ON a.vec_id < b.vec_id AND bit_count(xor(a.phash, b.phash)) <= 8")
 def hash_pairs(spark, sf_dir):
-    """Hashes within 8 bits have at least one of nine bands equal: an equi-join finds all of them."""
+    """Hashes within 8 bits: pigeonring candidates over nine segments, three of them in the key."""
     p = picture_hashes(spark, sf_dir)
-    cuts = [i * 64 // 9 for i in range(10)]
-    sign = lambda m: m - (1 << 64) if m >> 63 else m
-    band = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("phash").bitwiseAND(F.lit(sign((1 << b) - (1 << a))).cast("long")).alias("k")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))).alias("x")
-    side = lambda s: p.select(F.col("vec_id").alias(s), F.col("phash").alias(f"h{s}"), band).select(s, f"h{s}", "x.*")
-    return side("a").join(side("b"), ["i", "k"]).where("a < b").select("a", "b", numeric.hamming(F.col("ha"), F.col("hb")).alias("bits")).where("bits <= 8").distinct()
+    pairs = ring.close_pairs(p.select(F.col("phash").alias("fp")).distinct(), 8, links=3)
+    same = p.select("phash").distinct().select(F.col("phash").alias("a"), F.col("phash").alias("b"), F.lit(0).alias("bits"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits")).unionByName(same)
+    side = lambda s, h: p.select(F.col("vec_id").alias(s), F.col("phash").alias(h))
+    return both.withColumnsRenamed({"a": "x", "b": "y"}).join(side("a", "x"), "x").join(side("b", "y"), "y").where("a < b").select("a", "b", "bits")
 
 
 @query("WIN-03_STM-04_snapshots", C + ", v AS (SELECT *, CASE WHEN agency IS DISTINCT FROM lag(agency) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM change WINDOW w AS (PARTITION BY listing_id ORDER BY ts, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS run FROM v) SELECT listing_id, sha256(any_value(agency)) AS hash, min(ts) AS first_captured_at, max(ts) AS last_seen_at FROM r GROUP BY listing_id, run")

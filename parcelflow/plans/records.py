@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import documents, geo, numeric, text
 from ..operators import aggregates as A
 from ..operators import entity, latest, upsert
+from ..operators.storage import scratch
 from ..sources.domain import CHANGE_SQL, LISTING_SQL, POINT_SQL, changes, listings, points, table
 from .registry import book
-from .scalars import _scratch
 
 QUERIES, SQL, query = book()
 L, C, P = f"WITH {LISTING_SQL} ", f"WITH {CHANGE_SQL} ", f"WITH {POINT_SQL} "
@@ -19,7 +19,7 @@ L, C, P = f"WITH {LISTING_SQL} ", f"WITH {CHANGE_SQL} ", f"WITH {POINT_SQL} "
 @query("SNK-05_replaced_partitions", "SELECT c_custkey, c_acctbal AS balance, c_nationkey FROM customer WHERE c_nationkey >= 5 UNION ALL SELECT min(c_custkey), 0, c_nationkey FROM customer WHERE c_nationkey < 5 GROUP BY c_nationkey")
 def replaced_partitions(spark, sf_dir):
     """A second load replaces the partitions it has rows of, and no other."""
-    path, c = _scratch(spark, "partitions"), table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), "c_nationkey")
+    path, c = scratch(spark, "partitions"), table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), "c_nationkey")
     upsert.replace_partitions(c, path, ["c_nationkey"])
     again = c.where("c_nationkey < 5").groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey"), F.lit(0.0).alias("balance"))
     upsert.replace_partitions(again, path, ["c_nationkey"])
@@ -30,7 +30,7 @@ def replaced_partitions(spark, sf_dir):
 def refreshed_views(spark, sf_dir):
     zones = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     parts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max("p_size").alias("most"))
-    return upsert.refresh({"zones": zones, "parts": parts}, _scratch(spark, "views"))
+    return upsert.refresh({"zones": zones, "parts": parts}, scratch(spark, "views"))
 
 
 @query("SNK-08_content_store", """SELECT DISTINCT sha256('{"p_brand":"' || p_brand || '","p_size":' || p_size || '}') AS hash, p_brand, p_size FROM part""")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import documents, geo, numeric, text
 from ..operators import aggregates as A
 from ..operators import entity, filters, latest
+from ..operators.storage import scratch
 from ..sources import files
 from ..sources.domain import CHANGE_SQL, LISTING_SQL, PHASH_SQL, POINT_SQL, changes, listings, picture_hashes, points, table
 from .registry import book
@@ -18,15 +16,6 @@ QUERIES, SQL, query = book()
 L, C, P = f"WITH {LISTING_SQL} ", f"WITH {CHANGE_SQL} ", f"WITH {POINT_SQL} "
 
 
-def _scratch(spark, name: str) -> str:
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = sc.getCheckpointDir()
-    return f"{folder.rstrip('/')}/parcelflow-{name}-{uuid.uuid4().hex}"
-
-
 _ADDRESS = "'Av. ' || c_name || ' ' || c_custkey || ' dp ' || (c_custkey % 40)"
 
 
@@ -73,7 +62,7 @@ def json_documents(spark, sf_dir):
 
 @query("SRC-01_positional", "SELECT c_custkey::VARCHAR AS k, c_name AS name, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS segment FROM customer")
 def positional(spark, sf_dir):
-    path = _scratch(spark, "pipe")
+    path = scratch(spark, "pipe")
     c = table(spark, sf_dir, "customer")
     c.select(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).otherwise(""), F.lit(""))).write.text(path)
     return files.read_positional(spark, path, ["k", "name", "segment"])
@@ -81,7 +70,7 @@ def positional(spark, sf_dir):
 
 @query("SRC-02_fixed_width", "SELECT p_partkey::INT AS k, p_brand AS brand, p_size AS size FROM part")
 def fixed_width(spark, sf_dir):
-    path = _scratch(spark, "fixed")
+    path = scratch(spark, "fixed")
     cell = lambda c, n: F.rpad(F.col(c).cast("string"), n, " ")
     table(spark, sf_dir, "part").select(F.concat(cell("p_partkey", 10), cell("p_brand", 20), cell("p_size", 5))).write.text(path)
     return files.read_fixed_width(spark, path, [files.Field("k", 0, 10, "int"), files.Field("brand", 10, 30), files.Field("size", 30, 35, "int")], 35)
@@ -89,21 +78,21 @@ def fixed_width(spark, sf_dir):
 
 @query("SRC-03_04_upload", "SELECT s_suppkey::VARCHAR AS roll, s_name AS name FROM supplier WHERE s_suppkey % 4 > 0")
 def upload(spark, sf_dir):
-    path = _scratch(spark, "upload")
+    path = scratch(spark, "upload")
     table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey")).alias("ROL"), F.col("s_name").alias("Nombre"), F.lit("x;y").alias("extra")).write.csv(path, header=True, sep=";")
     return files.read_upload(spark, path, {"rol": "roll", "nombre": "name"}, "roll")[0]
 
 
 @query("SRC-05_json_lines", "SELECT event_id, event_type FROM events WHERE event_id % 3 = 0")
 def json_lines(spark, sf_dir):
-    path = _scratch(spark, "lines")
+    path = scratch(spark, "lines")
     table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", "event_type").write.json(path)
     return spark.read.schema("event_id long, event_type string").json(path)
 
 
 @query("SRC-05_json_lines_whole", "SELECT event_id, event_type FROM events")
 def json_lines_whole(spark, sf_dir):
-    path = _scratch(spark, "lines")
+    path = scratch(spark, "lines")
     table(spark, sf_dir, "events").select("event_id", "event_type").write.json(path)
     return spark.read.schema("event_id long, event_type string").json(path)
 

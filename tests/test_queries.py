@@ -1,11 +1,14 @@
 """Each query of the registry against its SQL twin, and helpers on small literals."""
 
+import random
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
 from parcelflow import plans
 from parcelflow.functions import geo, numeric, text
-from parcelflow.operators import changes, entity, filters, joins, paging, upsert
+from parcelflow.operators import changes, entity, filters, joins, paging, ring, upsert
 from parcelflow.operators.graph import connected_components
 from tests.compare import assert_same
 
@@ -101,6 +104,53 @@ def test_components_and_large_clusters(spark):
     assert {k for k, v in got.items() if v == 1} == {1, 2, 3} and got[20] == 20
 
 
+def test_components_of_random_edges(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(60)]
+    rng.shuffle(chain)
+    for edges in (chain, [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)], [(7, i) for i in range(200)]):
+        assert dict(connected_components(spark.createDataFrame(edges, "a int, b int")).collect()) == brute_components(edges)
+    assert connected_components(spark.createDataFrame([(None, 1), (2, 2)], "a int, b int")).count() == 0
+
+
+def brute_components(edges):
+    parent = {}
+
+    def root(i):
+        parent.setdefault(i, i)
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return {i: root(i) for i in parent}
+
+
+def test_pigeonring(spark):
+    """All close pairs and no other, few candidates, and the same components where keys are crowded."""
+    rng = random.Random(3)
+    words = {rng.getrandbits(64) for _ in range(40)}
+    for v in list(words):
+        words |= {v ^ sum(1 << b for b in rng.sample(range(64), k)) for k in (1, 3, 4, 5)}
+    words |= {sum(1 << b for b in rng.sample(range(12), k)) for k in (1, 2, 3) for _ in range(30)}
+    words = [ring.signed(v) for v in words]
+    df = spark.createDataFrame([(v,) for v in words], "fp long")
+    bits = {tuple(sorted(p)): ((p[0] ^ p[1]) % (1 << 64)).bit_count() for p in combinations(words, 2)}
+    want = {p for p, n in bits.items() if n <= 4}
+    got = [tuple(r) for r in ring.close_links(df, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    met = ring.candidates(df, 4).select("start", F.col("a").bitwiseXOR(F.col("b")).alias("x"))
+    passed = met.where(ring.Ring(4).first_start(F.col("x")) == F.col("start"))
+    # The rest of the chain removes most of what meets, before any bits are counted.
+    assert len(want) <= passed.count() < met.count() < len(bits) / 2
+    for crowded in (1, 8):
+        assert dict(connected_components(ring.close_links(df, 4, crowded=crowded)).collect()) == brute_components(want)
+    assert {tuple(r) for r in ring.close_pairs(df, 8, links=3).collect()} == {(*p, n) for p, n in bits.items() if n <= 8}
+
+
 def test_score_is_symmetric_and_needs_evidence(spark):
     df = spark.createDataFrame([(10.0, None, "x"), (10.0, True, "y")], "d double, phone boolean, k string")
     s = df.select("k", entity.pair_score({"distance": F.col("d")}, {"same_phone": F.col("phone")}).alias("s"))
