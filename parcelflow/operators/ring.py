@@ -12,6 +12,7 @@ meets has to pass the rest of the chain before its bits are counted.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import combinations
 
@@ -72,9 +73,9 @@ class Ring:
 
 def _keys(words: DataFrame, ring: Ring, links: int, listed: bool) -> DataFrame:
     """(start, key, fp): each word under its own keys, or under all that a close word may have."""
-    one = lambda i, flip: F.struct(F.lit(i).alias("start"), F.lit(flip).cast("long").alias("flip"), F.lit(ring.key_mask(i, links)).alias("mask"))
-    ways = [one(i, f) for i in range(ring.segments) for f in (ring.flips(i, links) if listed else [0])]
-    each = words.select("fp", F.explode(F.array(*ways)).alias("w"))
+    # One literal that is folded once: hundreds of literal columns would take seconds to plan.
+    ways = [{"start": i, "flip": f, "mask": ring.key_mask(i, links)} for i in range(ring.segments) for f in (ring.flips(i, links) if listed else [0])]
+    each = words.select("fp", F.explode(F.from_json(F.lit(json.dumps(ways)), "array<struct<start:int,flip:bigint,mask:bigint>>")).alias("w"))
     return each.select(F.col("w.start").alias("start"), F.col("fp").bitwiseXOR(F.col("w.flip")).bitwiseAND(F.col("w.mask")).alias("key"), "fp")
 
 
