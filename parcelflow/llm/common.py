@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import Rounds, dropped, scratch, stored
+
+__all__ = ["SPACE", "WORD", "Rounds", "dropped", "fresh", "let", "salted_join", "scratch", "stored", "table", "words"]
+
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -39,27 +41,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+def salted_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000, parts: int = 64) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has each value once.
 
-    It is ``spark.checkpoint.dir``; where that is unset, as in tests, a
-    temporary folder of this machine.
+    Keys that hold over a ``share``-th of the left rows, fewer than ``share``
+    by their definition, are dealt out over ``parts`` tasks each.
     """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/parcelflow-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it survives lost executors and cuts the lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = left.count()
+    hot = [r[0] for r in counts.where(F.col("n") > max(total // share, 10_000)).collect() if r[0] is not None]
+    if not hot:
+        return left.join(right, key)
+    salt = fresh(left, "_salt")
+    hard = F.col(key).isin(hot)
+    l = left.withColumn(salt, F.when(hard, F.floor(F.rand(7) * parts).cast("int")).otherwise(0))
+    r = right.withColumn(salt, F.explode(F.when(hard, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return l.join(r, [key, salt]).drop(salt)

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, stored, table
 
 WORDS = 5
 #: Percent of an item's shingles that a document has to contain.
 PERCENT = 80
-#: Characters of items that are broadcast at once; more items come in several blocks.
+#: Characters of different items whose index is broadcast at once (some 80 MB); more items come in several blocks.
 BLOCK_CHARS = 32_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -24,7 +26,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ORDER = np.uint64(0xC2B2AE3D27D4EB4F)
 _FILTER_BITS = 20
 _MOST_KNOWN = 400_000
-_MATCH = "array<struct<item_id:bigint,n_shingles:bigint,n_shared:bigint>>"
+_MATCH = "array<struct<tid:string,n_shingles:bigint,n_shared:bigint>>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -55,118 +57,137 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """MinHash sketches of items, partitioned by the number of their shingles.
+    """MinHash sketches of texts, partitioned by the number of their shingles.
 
     A class holds sizes from a power of two to the next. A document that
-    contains an item lacks at most the share of shingles that the largest
+    contains a text lacks at most the share of shingles that the largest
     size of the class allows; so one of that many and one more, here those
     with the smallest hashes, is in the document. These sketches are all that
-    a document's shingles are looked up in.
+    a document's shingles are looked up in. They are arrays of numbers, some
+    12 bytes a shingle of a sketch, beside the texts themselves; the shingles
+    of a text are made again where a document may contain it.
     """
 
-    def __init__(self, items: Iterable[tuple[int | None, str | None]], percent: int = PERCENT, k: int = WORDS):
+    def __init__(self, texts: Iterable[str | None], percent: int = PERCENT, k: int = WORDS):
         self.percent, self.k, self.known = percent, k, {}
-        self.items: list[tuple[int | None, int, frozenset[tuple[str, ...]]]] = []
+        self.texts, self.sizes, self.counts = [], array("b"), array("q")
         classes: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for item_id, text in items:
+        for text in texts:
             w = words_of(text)
-            if not w:
-                continue
             size = min(k, len(w))
-            shingles = list({tuple(w[i : i + size]) for i in range(len(w) - size + 1)})
-            hashes = np.unique(_grams(_hashes([x for s in shingles for x in s], self.known), size)[::size] if size > 1 else _hashes([s[0] for s in shingles], self.known) ^ (_hashes([s[0] for s in shingles], self.known) >> np.uint64(31)))
-            classes[len(shingles).bit_length()].append((len(self.items), hashes))
-            self.items.append((item_id, size, frozenset(shingles)))
-        probes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+            if size:
+                n = len(set(zip(*(w[j:] for j in range(size)), strict=False)))
+                classes[n.bit_length()].append((len(self.texts), np.unique(_grams(_hashes(w, self.known), size))))
+                self.texts.append(text)
+                self.sizes.append(size)
+                self.counts.append(n)
+        self.known = {}
+        probes: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for members in classes.values():
-            largest = max(len(self.items[i][2]) for i, _ in members)
+            largest = max(self.counts[i] for i, _ in members)
             missing = largest - self._least(largest)
             for i, hashes in members:
-                for h in hashes[np.argsort(hashes * _ORDER)][: missing + 1]:
-                    probes[self.items[i][1]][int(h)].append(i)
-        self.probes = {size: dict(p) for size, p in probes.items()}
+                probes[self.sizes[i]].append((hashes[np.argsort(hashes * _ORDER)][: missing + 1], i))
         self.tables = {}
-        for size, p in self.probes.items():
-            sorted_probes = np.array(sorted(p), dtype=np.uint64)
+        for size, some in probes.items():
+            hashes = np.concatenate([h for h, _ in some])
+            owners = np.repeat(np.array([i for _, i in some], dtype=np.int32), [len(h) for h, _ in some])
+            order = np.argsort(hashes, kind="stable")
             seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            seen[sorted_probes >> np.uint64(64 - _FILTER_BITS)] = True
-            self.tables[size] = (sorted_probes, seen)
+            seen[hashes >> np.uint64(64 - _FILTER_BITS)] = True
+            self.tables[size] = (hashes[order], owners[order], seen)
 
     def _least(self, n: int) -> int:
         return -(-self.percent * n // 100)
 
-    def matches(self, text: str | None) -> list[tuple[int | None, int, int]]:
-        """(item_id, shingles of the item, shingles of them in the text) of each item that the text contains."""
+    def matches(self, text: str | None) -> list[tuple[int, int, int]]:
+        """(place among ``texts``, its shingles, shingles of them in ``text``) of each that ``text`` contains."""
         w = words_of(text)
         if not w or not self.tables:
             return []
         h = _hashes(w, self.known)
-        found: dict[int, None] = {}
-        for size, (sorted_probes, seen) in self.tables.items():
+        found: set[int] = set()
+        for size, (hashes, owners, seen) in self.tables.items():
             if len(w) < size:
                 continue
             grams = _grams(h, size)
-            grams = grams[seen[grams >> np.uint64(64 - _FILTER_BITS)]]
-            at = np.searchsorted(sorted_probes, grams)
-            at[at == len(sorted_probes)] = 0
-            for g in np.unique(grams[sorted_probes[at] == grams]):
-                found.update(dict.fromkeys(self.probes[size][int(g)]))
-        if not found:
-            return []
+            grams = np.unique(grams[seen[grams >> np.uint64(64 - _FILTER_BITS)]])
+            low, high = np.searchsorted(hashes, grams, "left"), np.searchsorted(hashes, grams, "right")
+            for a, b in zip(low[low < high], high[low < high], strict=True):
+                found.update(owners[a:b].tolist())
         out, exact = [], {}
         for i in sorted(found):
-            item_id, size, shingles = self.items[i]
+            size = self.sizes[i]
             if size not in exact:
                 exact[size] = set(zip(*(w[j:] for j in range(size)), strict=False))
-            shared = len(shingles & exact[size])
-            if shared * 100 >= self.percent * len(shingles):
-                out.append((item_id, len(shingles), shared))
+            own = words_of(self.texts[i])
+            shared = len(set(zip(*(own[j:] for j in range(size)), strict=False)) & exact[size])
+            if shared * 100 >= self.percent * self.counts[i]:
+                out.append((i, self.counts[i], shared))
         return out
 
 
-def contained_items(spark: SparkSession, benchmark: DataFrame, text: Column, id_col: str = "item_id", text_col: str = "text", percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> Column:
-    """Array of (item_id, n_shingles, n_shared) of the items that ``text`` contains; empty if none.
-
-    The benchmark comes in blocks of about ``block_chars`` characters, by a
-    hash of its rows; each block's index is broadcast and asked with all texts.
-    """
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> tuple[DataFrame, int]:
+    """(item_id, text, tid, block) of the items with a text, and the number of blocks: equal texts have one tid and one block."""
     items = benchmark.select(F.col(f"`{id_col}`").cast("bigint").alias("item_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    tid = F.sha2("text", 256)
+    items = stored(items.select("item_id", "text", tid.alias("tid")), "items")
+    chars = items.select("tid", F.length("text").alias("n")).distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n = chars // block_chars + 1
-    parts = []
-    for b in range(n):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).orderBy("item_id", "text").collect() if n > 1 else items.orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(Index(((r["item_id"], r["text"]) for r in block), percent))
-        parts.append(_asked(held)(F.coalesce(text, F.lit(""))))
-    return parts[0] if n == 1 else F.concat(*parts)
+    return items.withColumn("block", F.pmod(F.xxhash64("tid"), F.lit(n))), n
 
 
-def _asked(held):
+def _asked(spark: SparkSession, items: DataFrame, block: int, text: Column, percent: int) -> Column:
+    """Array of (tid, n_shingles, n_shared) of the block's texts that ``text`` contains."""
+    rows = sorted(items.where(F.col("block") == block).select("tid", "text").distinct().collect())
+    tids = np.array([r["tid"] for r in rows if words_of(r["text"])], dtype="S64")
+    held = spark.sparkContext.broadcast((tids, Index((r["text"] for r in rows), percent)))
+
     @F.pandas_udf(_MATCH)
     def ask(texts: pd.Series) -> pd.Series:
-        find = held.value.matches
-        return pd.Series([[{"item_id": i, "n_shingles": n, "n_shared": s} for i, n, s in find(t)] for t in texts], dtype=object)
+        names, index = held.value
+        return pd.Series([[{"tid": names[i].decode(), "n_shingles": n, "n_shared": s} for i, n, s in index.matches(t)] for t in texts], dtype=object)
 
-    return ask
+    return ask(F.coalesce(text, F.lit("")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment of each document and benchmark item in it.
 
     Shingles are five words of letters and digits, lower-cased; an item of
     fewer words is one shingle and has to occur as it is. Null, empty and
     wordless texts and items contain and match nothing; repeated rows of
-    either side give repeated rows. Other columns are left out.
+    either side give repeated rows. Other columns are left out; an empty
+    table on either side gives no rows. Items come in blocks of about
+    ``block_chars`` characters of different texts: the index of one is
+    broadcast and asked with all texts, and its answer is a table before the
+    next block comes, so one index is held at a time.
     """
-    found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), contained_items(docs.sparkSession, benchmark, F.col(f"`{text_col}`"), percent=percent).alias("x"))
-    return found.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*", (F.col("x.n_shared") / F.col("x.n_shingles")).alias("containment"))
+    spark = docs.sparkSession
+    items, n = _blocks(benchmark, id_col="item_id", text_col="text", block_chars=block_chars)
+    parts = []
+    for b in range(n):
+        found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode(_asked(spark, items, b, F.col(f"`{text_col}`"), percent)).alias("x")).select("doc_id", "x.*")
+        parts.append(found if n == 1 else stored(found, "matches"))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.join(items.select("tid", "item_id"), "tid").select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with their own columns."""
-    col = fresh(docs, "_items")
-    found = docs.withColumn(col, contained_items(docs.sparkSession, benchmark, F.col(f"`{text_col}`"), percent=percent))
-    return found.where(F.size(F.col(col)) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item, with their own columns, whatever their names.
+
+    Null, empty and wordless texts contain nothing and stay; repeated rows
+    stay or go together; an empty benchmark takes nothing. Of several blocks
+    of items each is asked with what those before it left.
+    """
+    items, n = _blocks(benchmark, id_col="item_id", text_col="text", block_chars=block_chars)
+    for b in range(n):
+        col = fresh(docs, "_items")
+        found = docs.withColumn(col, _asked(docs.sparkSession, items, b, F.col(f"`{text_col}`"), percent))
+        docs = found.where(F.size(F.col(f"`{col}`")) == 0).drop(col)
+        if b < n - 1:
+            docs = stored(docs, "clean")
+    return docs
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

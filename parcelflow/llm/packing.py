@@ -8,7 +8,9 @@ have among the pieces of their length.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +39,30 @@ class Plan:
         return dict(zip(("length", "low", "n", "base", "each", "offset"), got.T, strict=True))
 
 
+def _least(pieces: list[tuple[int, int]], k: int) -> float:
+    """The least total of ``k`` of the pieces (length, number), by ascending length; infinite if there are fewer."""
+    total, more = 0, k
+    for x, n in pieces:
+        use = min(more, n)
+        total, more = total + use * x, more - use
+        if not more:
+            return total
+    return math.inf
+
+
+def _best_two(pieces: list[tuple[int, int]], room: int) -> int:
+    """The longest total of two of the pieces that fits into ``room``; 0 if none does."""
+    low, high, best = 0, len(pieces) - 1, 0
+    while low <= high:
+        total = pieces[low][0] + pieces[high][0]
+        if total > room or low == high and pieces[low][1] < 2:
+            high -= 1
+        else:
+            best = max(best, total)
+            low += 1
+    return best
+
+
 class _Packer:
     def __init__(self, counts: dict[int, int], capacity: int):
         self.plan = Plan(capacity)
@@ -59,60 +85,50 @@ class _Packer:
         return base
 
     def reduce(self) -> None:
-        """Fixes sets of one or two pieces that dominate every other set with their largest piece.
+        """Fixes sets of one to three pieces that dominate every other set with their largest piece.
 
         A set dominates another if the other's pieces can be dealt to its own
         so that none gets more than its length; exchanging them then never
-        needs more sequences. That holds for a piece that nothing else fits
-        to; and for it and the longest that fits, if both fill the sequence,
-        if no two others fit, or if the longest is as long as any two that do
-        and no three do.
+        needs more sequences. Of the piece and the longest other that fits
+        (its partner) that holds
+
+        - for the piece alone if nothing else fits to it;
+        - for the two if they fill the sequence, or if one more piece fits at
+          most, or two at most and the partner is as long as any such two;
+        - for the two and a third that fills the sequence, if two more
+          pieces fit at most and no two that are shorter than the partner
+          and longer than the third fit together, unless into the partner's place.
         """
-        left, capacity = self.left, self.capacity
-        for length in range(capacity, 0, -1):
-            while left[length]:
-                room = capacity - length
-                rest = lambda x: left[x] - (x == length)  # noqa: B023, E731
-                partner = next((x for x in range(min(room, capacity), 0, -1) if rest(x) > 0), 0)
-                if not partner:
-                    n = 1 if room >= length else left[length]
-                    self.put(length, n, self.new(n), 1, 0)
-                    self.plan.reduced += n
-                    continue
-                if partner < room and (partner < self._best_two(room, length) or self._least_three(length) <= room):
-                    break
-                if partner == length:
-                    n = left[length] // 2
-                    self.put(length, 2 * n, self.new(n), 2, 0)
-                else:
-                    n = min(left[length], left[partner])
-                    base = self.new(n)
-                    self.put(length, n, base, 1, 0)
-                    self.put(partner, n, base, 1, length)
-                self.plan.reduced += 2 * n
-
-    def _best_two(self, room: int, length: int) -> int:
-        """The longest total of two more pieces that fits into ``room``; 0 if none does."""
-        rest = [(x, self.left[x] - (x == length)) for x in range(1, room) if self.left[x] - (x == length) > 0]
-        low, high, best = 0, len(rest) - 1, 0
-        while low <= high:
-            total = rest[low][0] + rest[high][0]
-            if total > room or low == high and rest[low][1] < 2:
-                high -= 1
-            else:
-                best = max(best, total)
-                low += 1
-        return best
-
-    def _least_three(self, length: int) -> int:
-        """The total of the three shortest pieces other than one of ``length``; more than any room if there are fewer."""
-        total, more = 0, 3
-        for x in range(1, self.capacity + 1):
-            n = min(more, self.left[x] - (x == length))
-            total, more = total + n * x, more - n
-            if not more:
-                return total
-        return self.capacity + 1
+        for length in range(self.capacity, 0, -1):
+            while self.left[length] and (found := self._dominating(length)):
+                uses = Counter(found)
+                n = min(self.left[x] // k for x, k in uses.items())
+                base, offset = self.new(n), 0
+                for x, k in uses.items():
+                    self.put(x, k * n, base, k, offset)
+                    offset += k * x
+                self.plan.reduced += len(found) * n
+
+    def _dominating(self, length: int) -> list[int] | None:
+        """A set with a piece of ``length`` that dominates all others, if one of up to three pieces is known to."""
+        room = self.capacity - length
+        others = [(x, n) for x in range(1, min(room, self.capacity) + 1) if (n := self.left[x] - (x == length)) > 0]
+        if not others:
+            return [length]
+        partner = others[-1][0]
+        if partner == room or _least(others, 2) > room:
+            return [length, partner]
+        if _least(others, 3) <= room:
+            return None
+        if partner >= _best_two(others, room):
+            return [length, partner]
+        third = room - partner
+        n_third = self.left[third] - (third == length) - (third == partner) if third else 0
+        between = [(x, n) for x, n in others if third < x < partner]
+        # Two pieces between them would have to fit together, and not into the partner's place.
+        if n_third > 0 and (not between or _best_two(between, room) <= partner):
+            return [length, partner, third]
+        return None
 
     def best_fit(self) -> None:
         """Longest pieces first, each to the open sequence with the least room that takes it."""
@@ -190,9 +206,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """One row a piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of ``docs`` is packed, repeated ones and null ids too; a null
-    or empty text is its end id alone. An empty table gives no rows. The
-    histogram of lengths (at most ``capacity`` rows) and the plan over it
-    are all that the driver sees or broadcasts.
+    or empty text is its end id alone. Other columns of ``docs`` are left
+    out. An empty table gives no rows. The histogram of lengths (at most
+    ``capacity`` rows) and the plan over it are all that the driver sees or
+    broadcasts; pieces meet the ranks of their shard in a shuffled join, as
+    the table of these grows with the shards.
     """
     cut = stored(pieces(docs, id_col, text_col, capacity, vocabulary), "pieces")
     by_shard = stored(cut.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
@@ -215,7 +233,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             offset = p["offset"][at] + step % p["each"][at] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(first, ["shard", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("below")).alias("rank"))
+    ranked = cut.join(first.hint("shuffle_hash"), ["shard", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("below")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

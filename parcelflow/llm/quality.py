@@ -42,8 +42,9 @@ class Policy:
     soft_most: int = 0
 
     def kept(self, bits: Column) -> Column:
-        hard = bits.bitwiseAND(F.lit(self.reject).cast("long")) == 0
-        return hard & (F.bit_count(bits.bitwiseAND(F.lit(self.soft).cast("long"))) <= self.soft_most)
+        """Over the bits, which are bound once: pushed into a filter, a column named twice would be measured twice."""
+        hard = lambda b: b.bitwiseAND(F.lit(self.reject).cast("long")) == 0
+        return let(bits, lambda b: hard(b) & (F.bit_count(b.bitwiseAND(F.lit(self.soft).cast("long"))) <= self.soft_most))
 
 
 POLICIES = {
@@ -146,7 +147,11 @@ def ablation(entries: DataFrame, policy: Policy = PRODUCTION, rules: Iterable[st
 
 
 def keep(docs: DataFrame, policy: Policy = PRODUCTION, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``policy`` keeps, with their own columns."""
+    """The rows of ``docs`` that ``policy`` keeps, with their own columns, whatever their names.
+
+    Null, empty and wordless texts fail ``few_words``; repeated rows are
+    judged alike; an empty table stays empty.
+    """
     _, bits = ledger_columns(docs)
     return ledger(docs, text_col).where(policy.kept(F.col(f"`{bits}`"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -3,25 +3,20 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ring
 from ..operators.graph import connected_components
-from .common import fresh, stored, table
+from .common import fresh, salted_join, stored, table
 
 BITS = 64
 WORDS = 4
 SEED = 42
 MOST_BITS = 4
-#: Segments of the ring, and how many consecutive ones the chain filter looks at.
-SEGMENTS = 7
-CHAIN = 5
-#: Buckets of more different fingerprints are linked through common neighbours and not by pairs.
-MOST_PAIRED = 256
 
 
 def _fingerprint(text: str | None) -> int:
@@ -49,74 +44,23 @@ def fingerprint(text: Column) -> Column:
     return of(F.coalesce(text, F.lit("")))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << BITS) if x >> (BITS - 1) else x
-
-
-def segment_masks(segments: int = SEGMENTS) -> list[int]:
-    """The ring's segments, of nearly equal width, from the lowest bit."""
-    cuts = [i * BITS // segments for i in range(segments + 1)]
-    return [_signed((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def chain_filter(x: Column, most_bits: int = MOST_BITS, segments: int = SEGMENTS, chain: int = CHAIN) -> Column:
-    """Whether some start has all its chains of 1 to ``chain`` segments within the proportional budget.
-
-    ``x`` holds the bits that differ. Any two words that differ in at most
-    ``most_bits`` pass: around the ring, some start has every chain of length
-    l at or under l * most_bits / segments.
-    """
-    d = [F.bit_count(x.bitwiseAND(F.lit(m))) for m in segment_masks(segments)]
-
-    def starts(i: int) -> Column:
-        sums = [reduce(lambda a, b: a + b, (d[(i + k) % segments] for k in range(n))) for n in range(1, chain + 1)]
-        return reduce(lambda a, b: a & b, (s <= n * most_bits // segments for n, s in enumerate(sums, 1)))
-
-    return reduce(lambda a, b: a | b, (starts(i) for i in range(segments)))
-
-
 def close_fingerprints(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """Links (a, b) between different values of the column ``fp``, which has each value once.
+    """Links (a, b) between different values of the column ``fp``, which has each value once, with the components of all pairs within ``most_bits``."""
+    return ring.close_links(prints, most_bits)
 
-    Values within ``most_bits`` that fall into one small bucket give a link
-    each; those of larger buckets give links with the same components. Two
-    values that differ in ``most_bits`` leave SEGMENTS - most_bits segments
-    equal: values meet in the buckets of all such sets of segments.
-    """
-    masks = segment_masks()
-    equal = SEGMENTS - most_bits
-    sets = [(sum(1 << i for i in s), (1 << (s[-1] + 1)) - 1, _signed(sum(masks[i] for i in s) % (1 << BITS))) for s in combinations(range(SEGMENTS), equal)]
-    one = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(upto).alias("upto"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for p, upto, m in sets))).alias("s")
-    rows = prints.select("fp", one).select("fp", "s.*")
-    buckets = rows.groupBy("p", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(rows.join(buckets, ["p", "key"]), "buckets")
-
-    a, b = members.where(F.col("n") <= MOST_PAIRED).alias("a"), members.where(F.col("n") <= MOST_PAIRED).alias("b")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    zeros = reduce(lambda s, t: s + t, (F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(masks)))
-    # A pair in several buckets counts in the one of its first equal segments.
-    here = zeros.bitwiseAND(F.col("a.upto")) == F.col("a.p")
-    near = chain_filter(x, most_bits) & (F.bit_count(x) <= most_bits)
-    pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & here & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-
-    crowded = members.where(F.col("n") > MOST_PAIRED).select("fp").distinct()
-    return pairs if crowded.isEmpty() else pairs.unionByName(_through_neighbours(crowded, most_bits))
-
-
-def _through_neighbours(prints: DataFrame, most_bits: int) -> DataFrame:
-    """Links with the components of all pairs within ``most_bits``, which is even, and no pair listed.
-
-    Two values are that close if a third one, in the data or not, is within
-    half of it from both. Each value visits all such neighbours (2081 for 4
-    bits); at a neighbour meet at most as many values, and all link to the
-    smallest.
-    """
-    if most_bits not in (2, 4):
-        raise ValueError("most_bits is 2 or 4 where buckets are crowded")
-    flips = "transform(sequence(0, 63), i -> shiftleft(1L, i))" if most_bits == 2 else "flatten(transform(sequence(0, 63), i -> transform(sequence(i, 63), j -> shiftleft(1L, i) | shiftleft(1L, j))))"
-    visits = prints.select("fp", F.explode(F.expr(f"transform(concat(array(0L), {flips}), m -> fp ^ m)")).alias("at"))
-    met = visits.groupBy("at").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return met.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
+
+def _components(docs: DataFrame, id_col: str, text_col: str, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of all rows, and (fp, named) of all values; ``named`` is the value of the component that has the smallest id."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), fingerprint(F.col(f"`{text_col}`")).alias("fp"))
+    prints = stored(rows, "fingerprints")
+    # A value's name orders by its smallest id, if it has any; so a component is named by its smallest id at once.
+    name = lambda fp, first: F.struct(first.isNull().alias("none"), first.alias("id"), fp.alias("fp"))
+    values = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", name(F.col("fp"), F.col("first")).alias("own")), "values")
+    links = close_fingerprints(values.select("fp"), most_bits)
+    side = lambda c: values.select(F.col("fp").alias(c), F.col("own").alias(f"{c}_own"))
+    parts = connected_components(links.join(side("a"), "a").join(side("b"), "b"), "a_own", "b_own")
+    named = values.join(parts, values["own"] == parts["node"], "left").select("fp", F.coalesce("component", "own").alias("named"))
+    return prints, stored(named, "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
@@ -124,41 +68,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id among the rows that links of at most
     ``most_bits`` differing bits reach. Equal texts share a fingerprint and
-    meet as one value. Null and empty texts have fingerprint 0. Rows with a
-    null id are linked like any other but never name a component, unless
-    all its ids are null; repeated rows stay. An empty table gives no rows.
+    meet as one value; fingerprints of very many rows are dealt out where
+    rows get their component. Null and empty texts have fingerprint 0. Rows
+    with a null id are linked like any other but never name a component,
+    unless all its ids are null; repeated rows stay. Other columns of
+    ``docs`` are left out. An empty table gives no rows.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), fingerprint(F.col(f"`{text_col}`")).alias("fp"))
-    prints = stored(rows, "fingerprints")
-    values = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
-    parts = connected_components(close_fingerprints(values.select("fp"), most_bits))
-    named = values.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = stored(named.join(smallest, "component").select("fp", "component_id"), "components")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    prints, named = _components(docs, id_col, text_col, most_bits)
+    return salted_join(prints, named, "fp").select("doc_id", "fp", F.col("named.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
-    """The rows of ``docs`` that name their component, with their own columns.
+    """One row of ``docs`` of each component, with its own columns: one with the smallest id.
 
-    Of several rows with the naming id one stays. Rows without an id go with
-    a component that has one; else one for each fingerprint stays.
+    Of several such rows with equal fingerprints one stays. Components
+    without any id keep a row of their smallest fingerprint. Rows that share
+    an id but are not linked are told apart by their fingerprints. Columns
+    of any name stay as they are; an empty table gives an empty one.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, most_bits), "near-duplicates")
-    named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    named = stored(named, "kept")
+    prints, named = _components(docs, id_col, text_col, most_bits)
+    chosen = stored(named.select("named.*").distinct(), "kept")
+    ids = chosen.where("not none").select("id", "fp")
+    # Ids of several rows, or of none, say too little: their rows are chosen by the fingerprint too.
+    several = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    several = stored(several.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "several")
+    alone = stored(ids.join(several, F.col("id") == F.col("doc_id"), "left_anti").select("id"), "kept-ids")
+    key, fp = fresh(docs, "_kept"), fresh(docs, "_fp")
+    id_of = F.col(f"`{id_col}`").cast("long")
     # Ids grow with the documents: they are dealt out, not broadcast, at every size; the hash side holds ids only, and texts aren't sorted.
-    ids = named.select(F.col("doc_id").alias(kept_col := fresh(docs, "_kept"))).hint("shuffle_hash")
-    kept = docs.join(ids, F.col(f"`{id_col}`") == F.col(kept_col), "left_semi")
-    if not named.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    if found.where("doc_id is null").isEmpty():
-        return kept
-    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    fp = fresh(docs, "_fp")
-    loose = docs.where(F.col(f"`{id_col}`").isNull()).withColumn(fp, fingerprint(F.col(f"`{text_col}`")))
-    loose = loose.join(alone.withColumnRenamed("fp", fp), fp, "left_semi").dropDuplicates([fp])
-    return kept.unionByName(loose.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    kept = docs.join(alone.withColumnRenamed("id", key).hint("shuffle_hash"), id_of == F.col(key), "left_semi")
+    parts = [kept]
+    for rows, some in ((docs.join(several.withColumnRenamed("doc_id", key), id_of == F.col(key), "left_semi"), several), (docs.where(id_of.isNull()), chosen.where("none"))):
+        if not some.isEmpty():
+            printed = rows.withColumn(fp, fingerprint(F.col(f"`{text_col}`")))
+            wanted = chosen.select(F.col("id").alias(key), F.col("fp").alias(f"{fp}_wanted"))
+            found = printed.join(wanted, id_of.eqNullSafe(F.col(key)) & (F.col(fp) == F.col(f"{fp}_wanted")), "left_semi")
+            parts.append(found.dropDuplicates([id_col, fp]).select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, stored, table
 
-#: Up to so many rules go to every task as one trie (some 300 bytes a rule); more are joined.
-MOST_BROADCAST = 200_000
+#: Rules that go to every task as one trie (some 300 bytes a rule); more come in several blocks.
+BLOCK_RULES = 200_000
+_MATCH = "struct<host:string,path:string,verdict:string>"
 
 #: The rules of the production query: verdict, host, path.
 RULES = (
@@ -36,12 +37,14 @@ class Trie:
     """Host nodes by reversed labels; at each, path nodes by segments.
 
     The last segment of a rule's path need only begin the URL's segment
-    there. The deepest host wins, then the longest path; of an allow and a
-    block entry for one host and path, block wins.
+    there: each node has its ends by length, and a segment's beginnings of
+    these lengths are looked up. The deepest host wins, then the longest
+    path; of an allow and a block entry for one host and path, block wins.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {}
+        nodes = []
         for verdict, host, path in rules:
             node = self.root
             for label in reversed(host.split(".")):
@@ -49,26 +52,27 @@ class Trie:
             *segments, last = path.split("/")
             for segment in segments:
                 node = node.setdefault(("segment", segment), {})
-            ends = node.setdefault("ends", {})
-            if verdict == "block" or last not in ends:
-                ends[last] = (f"{host}{path}", verdict)
+            if "ends" not in node:
+                node["ends"] = {}
+                nodes.append(node)
+            if verdict == "block" or last not in node["ends"]:
+                node["ends"][last] = (host, path, verdict)
+        for node in nodes:
+            node["lengths"] = sorted({len(end) for end in node["ends"]}, reverse=True)
 
     @staticmethod
     def _by_path(node: dict, path: str):
         found = None
         for segment in path.split("/"):
             if ends := node.get("ends"):
-                for end in sorted(ends, key=len, reverse=True):
-                    if segment.startswith(end):
-                        found = ends[end]
-                        break
+                found = next((ends[segment[:n]] for n in node["lengths"] if n <= len(segment) and segment[:n] in ends), found)
             node = node.get(("segment", segment))
             if node is None:
                 break
         return found
 
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """Rule and verdict of the longest match."""
+    def find(self, host: str, path: str) -> tuple[str, str, str] | None:
+        """Host, path and verdict of the longest match."""
         found, node = None, self.root
         for label in reversed(host.split(".")):
             node = node.get(("label", label))
@@ -78,46 +82,44 @@ class Trie:
         return found
 
 
-def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = DEFAULT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = DEFAULT, block_rules: int = BLOCK_RULES) -> DataFrame:
     """``urls`` with host, path, rule (null without a match) and verdict.
 
     ``rules`` has verdict, host and path; rows with a null are ignored. All
-    rows stay, repeated ones too; null, empty or relative URLs have an empty
-    host and path, which no rule with a host fits, and get ``default``.
-    Columns of ``urls`` that are named as one of the four are replaced. Up to
-    ``most_broadcast`` rules are broadcast as a trie; more are joined by
-    the host's suffixes.
+    rows stay, repeated ones and very long URLs too; null, empty or relative
+    URLs have an empty host and path, which no rule with a host fits, and
+    get ``default``. Columns of ``urls`` that are named as one of the four
+    are replaced. The rules come in blocks of about ``block_rules``, by
+    their hosts: each block is a trie that is broadcast and asked with all
+    URLs. Of several blocks each answer is a table before the next comes, so
+    that one trie is held at a time, and the longest match of all wins.
     """
-    rules = rules.select("verdict", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), "path").na.drop()
+    rules = rules.select("verdict", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), "path").na.drop().distinct()
+    n = rules.count() // block_rules + 1
     host, path = url_parts(F.col(f"`{url_col}`"))
-    h, p, m = (fresh(urls, f"_{x}") for x in ("host", "path", "match"))
+    h, p, m, best = (fresh(urls, f"_{x}") for x in ("host", "path", "match", "best"))
     own = [F.col(f"`{c}`") for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    parts = urls.withColumns({h: host, p: path})
-    some = rules.limit(most_broadcast + 1).collect()
-    found = _by_trie(parts, some, h, p, m) if len(some) <= most_broadcast else _by_join(parts, rules, h, p, m)
-    return found.select(*own, F.col(f"`{h}`").alias("host"), F.col(f"`{p}`").alias("path"), F.col(f"`{m}`.rule").alias("rule"), F.coalesce(F.col(f"`{m}`.verdict"), F.lit(default)).alias("verdict"))
-
-
-def _by_trie(parts: DataFrame, rules: list, h: str, p: str, m: str) -> DataFrame:
-    trie = parts.sparkSession.sparkContext.broadcast(Trie((r["verdict"], r["host"], r["path"]) for r in rules))
-
-    @F.pandas_udf("rule string, verdict string")
+    found = urls.withColumns({h: host, p: path, best: F.lit(None).cast(_MATCH)})
+    for b in range(n):
+        found = found.withColumn(m, _asked(rules.where(F.pmod(F.xxhash64("host"), F.lit(n)) == b), F.col(h), F.col(p)))
+        # The longer host of two that fit has more labels; no two blocks have rules of one host.
+        length = lambda x: F.coalesce(F.length(f"`{x}`.host"), F.lit(-1))
+        found = found.withColumn(best, F.when(length(m) > length(best), F.col(m)).otherwise(F.col(best))).drop(m)
+        if b < n - 1:
+            found = stored(found, "matched")
+    x = F.col(f"`{best}`")
+    return found.select(*own, F.col(f"`{h}`").alias("host"), F.col(f"`{p}`").alias("path"), F.concat(x["host"], x["path"]).alias("rule"), F.coalesce(x["verdict"], F.lit(default)).alias("verdict"))
+
+
+def _asked(rules: DataFrame, host: Column, path: Column) -> Column:
+    held = rules.sparkSession.sparkContext.broadcast(Trie(sorted(map(tuple, rules.collect()))))
+
+    @F.pandas_udf(_MATCH)
     def match(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        find = trie.value.find
-        return pd.DataFrame([find(a, b) or (None, None) for a, b in zip(hosts, paths, strict=True)], columns=["rule", "verdict"])
-
-    return parts.withColumn(m, match(F.col(f"`{h}`"), F.col(f"`{p}`")))
-
+        find = held.value.find
+        return pd.DataFrame([find(a, b) or (None, None, None) for a, b in zip(hosts, paths, strict=True)], columns=["host", "path", "verdict"])
 
-def _by_join(parts: DataFrame, rules: DataFrame, h: str, p: str, m: str) -> DataFrame:
-    """Each different host meets the rules of its suffixes once; the URLs then meet their own host's rules."""
-    labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    url = parts.select(F.col(f"`{h}`").alias("h"), F.col(f"`{p}`").alias("p")).distinct()
-    fits = url.select("h", "p", F.explode(suffixes).alias("suffix")).join(rules, F.col("suffix") == F.col("host")).where(F.col("p").startswith(F.col("path")))
-    order = F.struct(F.size(F.split("host", r"\.")), F.length("path"), F.col("verdict"))  # block sorts after allow
-    best = fits.groupBy("h", "p").agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), F.col("verdict").alias("verdict")), order).alias(m))
-    return parts.join(best, (F.col(f"`{h}`") == best["h"]) & (F.col(f"`{p}`") == best["p"]), "left")
+    return match(host, path)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
