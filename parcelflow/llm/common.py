@@ -41,8 +41,8 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000, parts: int = 64) -> DataFrame:
-    """Inner join on ``key``, of which ``right`` has each value once.
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 1000, parts: int = 64) -> DataFrame:
+    """Inner or left join on ``key``, of which ``right`` has each value once.
 
     Keys that hold over a ``share``-th of the left rows, fewer than ``share``
     by their definition, are dealt out over ``parts`` tasks each.
@@ -51,9 +51,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000,
     total = left.count()
     hot = [r[0] for r in counts.where(F.col("n") > max(total // share, 10_000)).collect() if r[0] is not None]
     if not hot:
-        return left.join(right, key)
+        return left.join(right, key, how)
     salt = fresh(left, "_salt")
     hard = F.col(key).isin(hot)
     l = left.withColumn(salt, F.when(hard, F.floor(F.rand(7) * parts).cast("int")).otherwise(0))
     r = right.withColumn(salt, F.explode(F.when(hard, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
-    return l.join(r, [key, salt]).drop(salt)
+    return l.join(r, [key, salt], how).drop(salt)

@@ -6,6 +6,8 @@ import html as entities
 import math
 import re
 import statistics
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -33,54 +35,118 @@ CLOSES = {
 }
 #: Block elements end an open paragraph. (Fixed values.)
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Words of class, id or role names that mark what stands beside an article. (Fixed values.)
-BESIDE = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|breadcrumbs?|comments?|commentlist|respond|replies|cookies?|consent|gdpr|disclaimers?|footers?|headers?|masthead|menus?|nav|navbar|navigation|newsletters?|notices?|notifications?|pagination|pager|popups?|modal|promos?|promoted|promotions?|recommend(?:ed|ations)?|related|share|sharing|sidebars?|social|sponsor(?:ed|s)?|subscribe|subscription|toolbars?|widgets?|alerts?|disqus|login|signup|search)(?:$|[^a-z])")
+#: Words that class, id and role names use for what stands beside an article. (Fixed values.)
+BESIDE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs cookie cookies consent gdpr disclaimer disclaimers footer footers header headers masthead "
+    "menu menus nav navbar navigation newsletter newsletters notice notices notification notifications pagination pager popup popups modal promo promos promoted promotion promotions recommended recommendations related "
+    "share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription toolbar toolbars widget widgets alert alerts login signup search".split()
+)
+#: Words for what readers write. (Fixed values.)
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
+#: Parts of a compound name that take the meaning from its other words: what a node has or lacks, and what it is. (Fixed values.)
+NOT_ITSELF = frozenset("no not non with without has have hide show".split())
+CONTENT = frozenset("article articles content contents post posts entry story body main text page wrapper container layout".split())
+#: A node of such a name that holds over this share of the text is what it is taken for only if the headline stands elsewhere.
+MOST_BESIDE = 0.5
 _PART = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _RAW = {x: re.compile(rf"</{x}\b[^>]*(?:>|$)", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe")}
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？…]")
 
 
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), next((v for v in values if v), ""))
+    return out
+
+
+def beside(name: str) -> str:
+    """``beside`` or ``comments`` if a class, id or role name says so as a whole, else an empty text.
+
+    A compound name ("site-footer", "adSlot") counts by its first or last
+    word, unless another word says that the node only has or lacks such a
+    thing ("with-sidebar") or is content itself ("search-results-article").
+    """
+    parts = [x for x in re.split(r"[^a-z0-9]+", _CAMEL.sub("-", name).lower()) if x]
+    if not parts or len(parts) > 1 and (NOT_ITSELF & set(parts) or parts[-1] in CONTENT):
+        return ""
+    ends = {parts[0], parts[-1]}
+    return "comments" if ends & COMMENTS else "beside" if ends & BESIDE else ""
+
+
+@dataclass
+class Node:
+    """An element whose tag or name says that it stands beside the article."""
+
+    kind: str
+    parent: Node | None
+    chars: int = 0
+    #: Whether an article, a main part or a headline lies in it.
+    headed: bool = False
+    dropped: bool = False
+
+
 @dataclass
 class Block:
-    path: str
-    text: str
-    linked: int
+    #: Number of the tag path, and the numbers of those of the article and main elements above: (nearest, (next, ...)).
+    path: int
+    named: tuple | None
+    tag: str
+    pieces: list[tuple[str, int, Node | None]]
+    text: str = ""
+    linked: int = 0
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of text in page order with their tag paths; hidden elements and what stands beside an article are left out.
+@dataclass
+class _Open:
+    tag: str
+    path: int
+    named: tuple | None
+    unseen: bool
+    under: Node | None
 
-    A path has each open block element, with its first class name. White
-    space in a block becomes one space; references are decoded.
-    """
-    stack: list[tuple[str, str, bool]] = []
+
+def _read(page: str) -> tuple[list[Block], list[Node], bool]:
+    """Blocks of text in page order with their tag paths, the nodes that may stand beside the article, and whether a headline lies outside all of them."""
+    stack: list[_Open] = []
+    open_tags: Counter[str] = Counter()
+    paths: dict[tuple[int, str], int] = {}
+    #: Open inline elements from one that is named or unseen on; what it holds goes with it.
+    inline: list[str] = []
+    inline_node: Node | None = None
     out: list[Block] = []
-    held: list[str] = []
-    linked, link_depth, dropped = 0, 0, 0
+    nodes: list[Node] = []
+    held: list[tuple[str, int, Node | None]] = []
+    link_depth, unseen, headed_outside = 0, 0, False
+
+    def around() -> Node | None:
+        return inline_node if inline and inline_node else stack[-1].under if stack else None
 
     def end_block() -> None:
-        nonlocal linked
         if held:
-            if text := " ".join(entities.unescape("".join(held)).split()):
-                out.append(Block("/".join(x[1] for x in stack if x[1]), text, min(linked, len(text))))
+            top = stack[-1] if stack else None
+            out.append(Block(top.path if top else -1, top.named if top else None, top.tag if top else "", held[:]))
             held.clear()
-        linked = 0
+        inline.clear()
 
     def close(n: int) -> None:
-        nonlocal dropped
+        nonlocal unseen
         end_block()
         for x in stack[n:]:
-            dropped -= x[2]
+            unseen -= x.unseen
+            open_tags[x.tag] -= 1
         del stack[n:]
 
     def say(text: str) -> None:
-        nonlocal linked
-        if text and not dropped:
-            held.append(text)
-            if link_depth:
-                linked += len(text.strip())
+        if text and not unseen and not (inline and inline_node is None):
+            under = around()
+            chars = len(text.strip())
+            if under:
+                under.chars += chars
+            held.append((text, chars if link_depth else 0, under))
 
     at, n = 0, len(page)
     while at < n:
@@ -95,17 +161,31 @@ def blocks(page: str) -> list[Block]:
                 say(entities.unescape(m[0][9:].removesuffix("]]>")).replace("&", "&amp;"))
             continue
         tag = m[2].lower()
+        given = _attributes(m[3]) if m[3] and not m[1] else {}
+        names = [x for k in ("class", "id", "role") for x in given.get(k, "").split()]
+        kinds = {beside(x) for x in names} if names else set()
+        out_of_sight = "hidden" in given or "style" in given and bool(_UNSEEN.search(given["style"]))
+        kind = "comments" if "comments" in kinds else "beside" if "beside" in kinds else ""
         if tag in INLINE:
             if tag == "a":
                 link_depth = 0 if m[1] else 1
-            elif tag in ("br", "wbr", "img"):
-                say(" " if tag == "br" else "")
+            elif tag == "br":
+                say(" ")
+            if m[1]:
+                if inline and inline[-1] == tag:
+                    inline.pop()
+            elif tag not in VOID and inline:
+                if tag == inline[0]:
+                    inline.append(tag)
+            elif tag not in VOID and (out_of_sight or kind):
+                inline_node = None if out_of_sight else Node(kind, around())
+                if inline_node:
+                    nodes.append(inline_node)
+                inline.append(tag)
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if open_tags[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             else:
                 end_block()
             continue
@@ -114,38 +194,77 @@ def blocks(page: str) -> list[Block]:
             at = e.end() if e else n
             end_block()
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
+        if tag in ENDS_P and open_tags["p"] > 0:
+            close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p"))
         if tag in CLOSES:
             ends, stop = CLOSES[tag]
             i = len(stack)
-            while i and stack[i - 1][0] not in stop:
+            while i and stack[i - 1].tag not in stop:
                 i -= 1
             for j in range(i, len(stack)):
-                if stack[j][0] in ends:
+                if stack[j].tag in ends:
                     close(j)
                     break
         end_block()
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        names = [next(x for x in a[1:] if x or a[1:] == ("", "", "")) for a in _ATTRIBUTE.findall(m[3])] if m[3] else []
-        beside = tag not in ("html", "body", "main", "article") and any(BESIDE.search(_CAMEL.sub("-", name).lower()) for name in names)
-        drop = tag in HIDDEN or beside or tag in AROUND and not (tag == "header" and any(x[0] == "article" for x in stack))
-        dropped += drop
-        first = next((name.split()[0] for name in names if name.split()), "")
-        stack.append((tag, f"{tag}.{first}" if first else tag, drop))
+        gone = tag in HIDDEN or out_of_sight
+        if tag in ("html", "body", "main", "article"):
+            kind = ""
+        elif tag in AROUND and not (tag == "header" and open_tags["article"]):
+            # A form may hold a whole page; the other tags say what they are.
+            kind = kind or "beside" if tag == "form" else "tag"
+        if tag in ("article", "main", "h1") and not gone and not unseen:
+            if under := around():
+                under.headed = True
+            else:
+                headed_outside = True
+        node = Node(kind, around()) if kind else around()
+        if kind:
+            nodes.append(node)
+        unseen += gone
+        above = stack[-1] if stack else None
+        path = paths.setdefault((above.path if above else -1, f"{tag}.{names[0]}" if names else tag), len(paths))
+        named = above.named if above else None
+        stack.append(_Open(tag, path, (path, named) if tag in ("article", "main") else named, gone, node))
+        open_tags[tag] += 1
         if tag in ("article", "section", "div"):
             link_depth = 0
     end_block()
+    return out, nodes, headed_outside
+
+
+def blocks(page: str) -> list[Block]:
+    """Blocks of text in page order with their tag paths.
+
+    A path has each open block element, with its first class name. White
+    space in a block becomes one space; references are decoded. What cannot
+    be seen is left out, and so is what a tag or a name says stands beside
+    the article. Names are not trusted against the text: a node with over half of
+    the page's text is no such thing if the headline or the article lies in
+    it, or if there is neither on the page and it is not of readers' comments.
+    """
+    found, nodes, headed_outside = _read(page)
+    total = sum(len(t.strip()) for b in found for t, _, _ in b.pieces)
+    headless = not headed_outside and not any(n.headed for n in nodes)
+    for n in reversed(nodes):  # what lies in a node lies in those around it
+        if n.parent:
+            n.parent.chars += n.chars
+            n.parent.headed |= n.headed
+    for n in nodes:
+        spared = n.kind != "tag" and n.chars > MOST_BESIDE * total and (n.headed or headless and n.kind != "comments")
+        n.dropped = not spared or bool(n.parent and n.parent.dropped)
+    out = []
+    for b in found:
+        kept = [(t, linked) for t, linked, under in b.pieces if not (under and under.dropped)]
+        if text := " ".join(entities.unescape("".join(t for t, _ in kept)).split()):
+            out.append(Block(b.path, b.named, b.tag, [], text, min(sum(linked for _, linked in kept), len(text))))
     return out
 
 
-def path_scores(found: list[Block], smooth: int = 1) -> dict[str, float]:
+def path_scores(found: list[Block], smooth: int = 1) -> dict[int, float]:
     """Score of each path: smoothed ratio of text to blocks, times smoothed ratio of punctuation, less what is linked."""
-    paths: dict[str, list[int]] = {}
+    paths: dict[int, list[int]] = {}
     for b in found:
         p = paths.setdefault(b.path, [0, 0, 0, 0])
         for i, x in enumerate((1, len(b.text), len(_PUNCTUATION.findall(b.text)), b.linked)):
@@ -165,42 +284,52 @@ def path_scores(found: list[Block], smooth: int = 1) -> dict[str, float]:
     return {p: math.sqrt(r * (1 + m)) * math.sqrt(paths[p][1]) for p, r, m in zip(order, smoothed(ratio), smoothed(marks), strict=True)}
 
 
+def _each(named: tuple | None) -> Iterator[int]:
+    while named:
+        yield named[0]
+        named = named[1]
+
+
 def main_text(page: str | None) -> str:
-    """Text of the article: the blocks under the content node, joined by two line breaks.
+    """Text of the article: its blocks in page order, joined by two line breaks.
 
-    Paths that score over the mean less half a deviation hold content. The
-    content node is the lowest element over at least nine tenths of their
-    text that is no paragraph or list itself, but no lower than an
-    ``article`` or ``main`` that holds that; all blocks under it belong to
-    the article. Null, empty and text-free pages give an empty text.
+    Paths that score over the mean less half a deviation hold content. If an
+    ``article`` or ``main`` has nine tenths of their text, all blocks under
+    it belong to the article. Else the article goes from the first such block
+    to the last, and begins with the headline before it, or with the
+    headings just before it; what stands between belongs to it, whatever its path.
+    Null, empty and text-free pages give an empty text.
     """
     found = blocks(page or "")
     if not found:
         return ""
     scores = path_scores(found)
     least = statistics.fmean(scores.values()) - 0.5 * statistics.pstdev(scores.values())
-    weight: dict[str, float] = {}
-    total = 0.0
-    for b in found:
-        if scores[b.path] >= least:
-            steps, score = b.path.split("/") if b.path else [], len(b.text)
-            total += score
-            for i in range(len(steps) + 1):
-                node = "/".join(steps[:i])
-                weight[node] = weight.get(node, 0.0) + score
-    holds = [node for node, w in weight.items() if w >= 0.9 * total]
-    kind = lambda node: node.rpartition("/")[2].partition(".")[0]
-    named = [node for node in holds if kind(node) in ("article", "main")]
-    wide = [node for node in holds if kind(node) in ("", "html", "body", "div", "section", "td", "article", "main", "center")]
-    top = max(named or wide or [""], key=len)
-    under = f"{top}/" if top else ""
-    return "\n\n".join(b.text for b in found if b.path == top or b.path.startswith(under))
+    good = [i for i, b in enumerate(found) if scores[b.path] >= least]
+    weight: dict[int, int] = {}
+    for i in good:
+        for node in _each(found[i].named):
+            weight[node] = weight.get(node, 0) + len(found[i].text)
+    total = sum(len(found[i].text) for i in good)
+    if named := [node for node, w in weight.items() if w >= 0.9 * total]:
+        # Paths are numbered from the root on, so the deepest one that holds so much has the highest number.
+        return "\n\n".join(b.text for b in found if max(named) in _each(b.named))
+    first, last = good[0], good[-1]
+    if headline := [i for i in range(first) if found[i].tag == "h1"]:
+        first = headline[-1]
+    while first and found[first - 1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        first -= 1
+    return "\n\n".join(b.text for b in found[first : last + 1])
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "main_text") -> DataFrame:
     """``pages`` with the main text of each row in ``text_col``, never null.
 
-    All rows stay, repeated ones too; a column named ``text_col`` is replaced.
+    All rows stay, repeated ones too; a column named ``text_col`` is
+    replaced, others stay whatever their names. Null and empty pages and
+    pages without text give an empty text. Pages are read whole, in time
+    that grows with their length; an unclosed element or comment
+    ends with the page, and a tag whose quote is never closed is text. An empty table stays empty.
     """
 
     @F.pandas_udf("string")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, stored, table
+from .common import Rounds, let, salted_join, stored, table
 
 _MARK = r"^(?:[ \t]*>)+"
-#: A line that only announces the quote below it.
-_ANNOUNCE = r"^\s*(?:On|Am|Le|El)\b.*(?:wrote|schrieb|a écrit|escribió).*:\s*$"
+#: A line that only announces the quote below it, by how it begins and what it says. (Fixed values.)
+_ANNOUNCE = r"(?i)^\s*(?:(?:On|Am|Le|El|Em|Il|Op)\b.*|.*\b)(?:wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escribe|escreveu|ha scritto|schreef).*:\s*$"
 #: A passage that is quoted whole counts so much more than a line of it.
 _WHOLE = 1000
 
@@ -69,21 +69,62 @@ def links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     """
     m = messages.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{text_col}`").alias("text")).where("conv is not null and turn is not null and text is not null")
     of = lambda df, quoted: df.select("conv", "turn", F.explode(let(_lines(F.col("text")), lambda x: _passages(x, quoted))).alias("p")).select("conv", "turn", "p.*")
-    first = of(m, False).groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
-    quotes = of(m.where(F.col("text").rlike(r"(?m)^[ \t]*>")), True).groupBy("conv", "turn", "level", "hash").agg(F.max("weight").alias("weight"))
+    quoting = m.where(F.col("text").rlike(r"(?m)^[ \t]*>"))
+    # Only conversations with a quote have their own texts hashed.
+    first = of(m.join(quoting.select("conv").distinct(), "conv", "left_semi"), False).groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
+    quotes = of(quoting, True).groupBy("conv", "turn", "level", "hash").agg(F.max("weight").alias("weight"))
     found = quotes.join(first, ["conv", "hash"]).where("origin < turn").groupBy("conv", "turn", "level", "origin").agg(F.sum("weight").alias("weight"))
     return found.groupBy("conv", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "weight", "origin")).alias("reply_to"))
 
 
-def _rooted(edges: DataFrame) -> DataFrame:
-    """(conv, turn, reply_to, thread, depth) of each reply, by doubling the way up until it ends at a message that replies to none."""
-    up = stored(edges.select("conv", "turn", "reply_to", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")), "replies")
-    while True:
-        above = up.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("thread").alias("higher"), F.col("depth").alias("more"))
-        step = up.join(above, (up["conv"] == above["c"]) & (up["thread"] == above["t"]), "left")
-        if step.where("higher is not null").isEmpty():
-            return up
-        up = stored(step.select("conv", "turn", "reply_to", F.coalesce("higher", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "replies")
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``n``, their place in the order of ``keys`` (a unique one), from 0.
+
+    Rows are dealt out by ranges of the order, which split a key of any
+    size, and counted by range: no key's rows have to meet in one task.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    held = stored(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ordered")
+    sizes = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    first, bases = 0, []
+    for part, n in sizes:
+        bases.append((part, first))
+        first += n
+    if not bases:
+        return held.select(*rows.columns, F.lit(0).cast("long").alias("n"))
+    before = F.element_at(F.create_map(*(F.lit(x) for pair in bases for x in pair)), F.col("_part")).cast("long")
+    return held.select(*rows.columns, (before + F.col("_at")).alias("n"))
+
+
+def _threads(edges: DataFrame) -> DataFrame:
+    """(conv, turn, thread, depth, after) of each message in a chain of replies.
+
+    thread is the turn at the start of the chain, depth the replies between
+    the two, and ``after`` the messages of the thread from this one on, in the order
+    in which each message is followed by its replies, earlier ones first. A
+    walk around the tree of replies enters and leaves each message once; its
+    steps find their ends by doubling (in rounds that grow with the
+    logarithm of the thread), which sums up what lies between.
+    """
+    edges = stored(edges, "replies")
+    children = _numbered(edges.select("conv", "reply_to", "turn"), ["conv", "reply_to", "turn"])
+    eldest = children.groupBy("conv", "reply_to").agg(F.min("turn").alias("child"))
+    younger = children.select("conv", "reply_to", F.col("turn").alias("next"), (F.col("n") - 1).alias("n"))
+    siblings = children.join(younger, ["conv", "reply_to", "n"], "left").select("conv", "turn", "reply_to", "next")
+    nodes = edges.select("conv", "turn").union(edges.select("conv", F.col("reply_to").alias("turn"))).distinct()
+    at = lambda turn, enters: F.when(turn.isNotNull(), F.struct(turn.alias("turn"), enters.alias("enters")))
+    true, false = F.lit(True), F.lit(False)
+    enter = nodes.join(eldest.withColumnRenamed("reply_to", "turn"), ["conv", "turn"], "left").select("conv", at(F.col("turn"), true).alias("step"), F.coalesce(at(F.col("child"), true), at(F.col("turn"), false)).alias("to"))
+    leave = nodes.join(siblings, ["conv", "turn"], "left").select("conv", at(F.col("turn"), false).alias("step"), F.coalesce(at(F.col("next"), true), at(F.col("reply_to"), false)).alias("to"))
+    rounds = Rounds(edges.sparkSession, "walk")
+    walk = rounds.put(enter.union(leave).select("conv", "step", "to", F.col("step.turn").alias("thread"), F.col("step.enters").cast("long").alias("after"), F.when(F.col("step.enters"), -1).otherwise(1).cast("long").alias("depth")))
+    while not walk.where("to is not null").isEmpty():
+        on = walk.select("conv", F.col("step").alias("to"), F.col("to").alias("then"), F.col("thread").alias("end"), F.col("after").alias("more"), F.col("depth").alias("down"))
+        none = F.lit(0).cast("long")
+        walk = rounds.put(walk.join(on, ["conv", "to"], "left").select("conv", "step", F.col("then").alias("to"), F.coalesce("end", "thread").alias("thread"), (F.col("after") + F.coalesce("more", none)).alias("after"), (F.col("depth") + F.coalesce("down", none)).alias("depth")))
+    return walk.where("step.enters").select("conv", F.col("step.turn").alias("turn"), "thread", "depth", "after")
 
 
 def unquoted(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -92,17 +133,28 @@ def unquoted(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     One row an input row: conv_id, turn, role, text (own lines only),
     quote_levels (deepest level), reply_to (turn of the message quoted, else
     null), thread (turn of the message at the start of the chain of replies,
-    its own if it replies to none), depth (replies between the two). Ordered
-    by conv_id, thread, turn, each reply stands below what it replies to. A
-    null text is empty; rows with a null conversation or turn link to
-    nothing; repeated rows stay and get the same links. Other columns of
-    ``messages`` are left out.
+    its own if it replies to none), depth (replies between the two) and
+    position (from 0 in its conversation: threads by their first message, in
+    each a message, then its replies with all of theirs, earlier ones
+    first). A null text is empty; very long texts and quotes are read whole;
+    rows with a null conversation or turn link to nothing, and their position
+    is null; repeated rows stay, get the same links and stand next to each
+    other. Of messages with one turn the first passage found counts. Other
+    columns of ``messages`` are left out. An empty table gives no rows.
     """
     base = messages.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text"))
     lines = _lines(F.col("text"))
     clean = base.select("conv_id", "turn", "role", let(lines, _own_text).alias("text"), let(lines, lambda x: F.array_max(F.transform(x, lambda y: y["level"]))).cast("int").alias("quote_levels"))
-    replies = _rooted(links(messages, conv_col, turn_col, text_col)).select(F.col("conv").alias("conv_id"), "turn", "reply_to", "thread", "depth")
-    return clean.join(replies, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "text", "quote_levels", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    replies = stored(links(messages, conv_col, turn_col, text_col), "links")
+    if replies.isEmpty():
+        placed = clean.withColumns({"reply_to": F.lit(None).cast(clean.schema["turn"].dataType), "thread": F.col("turn"), "depth": F.lit(0).cast("long"), "after": F.lit(None).cast("long")})
+    else:
+        trees = _threads(replies).join(replies, ["conv", "turn"], "left").withColumnRenamed("conv", "conv_id")
+        placed = clean.join(trees, ["conv_id", "turn"], "left").select(*clean.columns, "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "after")
+    order = [F.col("conv_id"), F.col("thread"), F.col("_back"), F.col("turn"), F.col("role"), F.col("text")]
+    rows = _numbered(placed.withColumn("_back", -F.col("after")), order)
+    first = rows.groupBy("conv_id").agg(F.min(F.when(F.col("turn").isNotNull(), F.col("n"))).alias("_first"))
+    return salted_join(rows, first, "conv_id", how="left").select(*clean.columns, "reply_to", "thread", "depth", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col("n") - F.col("_first")).alias("position"))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,7 @@ from .common import stored, table
 
 #: Labelled rows that a model is fitted on, at most (by a hash of their ids); counts for the character model come from all texts.
 MOST_LABELLED = 20_000
-#: Features of a model, at most; different texts that one has to be in, copies aside; and the least log odds that it has to show.
-MOST_FEATURES = 5_000
+#: Different toxic texts that a feature has to be in, copies aside, and the least log odds that it has to show.
 LEAST_SUPPORT = 5
 LEAST_ODDS = 3.5
 
@@ -116,13 +116,18 @@ class Decoder:
         return out
 
     def decode(self, word: str) -> str:
-        """The likeliest letters, with spaces where the word falls apart."""
+        """The likeliest letters, with spaces where the word falls apart.
+
+        The state is the last two letters. It is carried over the whole
+        word, however long; the paths behind the states share their
+        beginnings, so time and memory grow with the length alone.
+        """
         if word in self.seen:
             return self.seen[word]
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in [*self.lattice(word), [(" ", 0.0)]]:
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in best.items():
                 for letters, channel in options:
                     x, y, s = a, b, score + channel
                     for c in letters:
@@ -130,23 +135,27 @@ class Decoder:
                         s += self.model[x, y, z]
                         x, y = y, z
                     if (x, y) not in step or s > step[x, y][0]:
-                        step[x, y] = (s, text + letters)
+                        step[x, y] = (s, (letters, path))
             best = step
-        out = " ".join(max(best.values())[1].split())
-        if len(self.seen) >= self.most_words:
-            self.seen.clear()
-        self.seen[word] = out
+        path, parts = max(best.values(), key=lambda x: x[0])[1], []
+        while path:
+            parts.append(path[0])
+            path = path[1]
+        out = " ".join("".join(reversed(parts)).split())
+        if len(word) <= 100:
+            if len(self.seen) >= self.most_words:
+                self.seen.clear()
+            self.seen[word] = out
         return out
 
     def restored(self, text: str | None) -> set[str]:
-        """The different words of a text, lower-cased, without accents' marks on decoded ones; obfuscated ones decoded."""
+        """The different words of a text, lower-cased, without accents' marks on decoded ones; obfuscated ones decoded, each as a whole."""
         lower = (text or "").lower()
         out: set[str] = set()
         for run in _RUN.findall(lower):
             # Short words may stand beside a spaced one.
             for part in {run, run[2:], run[:-2], run[2:-2]}:
-                for i in range(0, len(part), 200):
-                    out.update(self.decode(part[i : i + 200]).split())
+                out.update(self.decode(part).split())
         for token in set(lower.split()):
             word = _EDGE.sub("", token)
             if word.isalpha() and not _ODD.search(word):
@@ -156,9 +165,7 @@ class Decoder:
             if not any(c.isalpha() for c in word):
                 continue
             if _ODD.search(word):
-                # Long tokens are decoded piece by piece; none is left out.
-                for i in range(0, len(word), 100):
-                    out.update(self.decode(word[i : i + 100]).split())
+                out.update(self.decode(word).split())
             else:
                 out.update(x for x in re.split(r"[\W\d_]+", word) if x)
         return out
@@ -181,7 +188,11 @@ class Model:
     bias: float
 
     def score(self, decoder: Decoder, text: str | None) -> float:
-        """Of a text: the strongest evidence in it, and a little more for further evidence."""
+        """Of a text, by definition: its strongest feature's weight and a fifth of those of the next four, over the bias, as a probability.
+
+        More features of the same kind say little more; a sum over all would
+        grow with the length of a text.
+        """
         found = sorted((self.weights[f] for f in features(decoder.restored(text)) if f in self.weights), reverse=True)
         evidence = found[0] + 0.2 * sum(found[1:5]) if found else 0.0
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + evidence))))
@@ -191,7 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Character model of all texts and weights from at most about ``most_labelled`` labelled rows.
 
     Ids with several labels count as 1 if any is. Rows with null ids or
-    labels are left out. Copies have one vote a label together, so that they
+    labels are left out; null and empty texts have no features. Other
+    columns of either table are not read, whatever their names. Without
+    toxic labels, or with an empty table, the model has no weights and a low
+    score for all. Ties of equal odds don't matter, as no feature is dropped
+    for another. Copies have one vote a label together, so that they
     neither add nor remove evidence. A feature counts if toxic texts have it
     ten times as often as others, by number and by far more in proportion.
     """
@@ -222,21 +237,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     each = votes.groupBy("f").agg(F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n"))
     odds = F.log((F.col("n1") + 0.5) / (all1 + 1)) - F.log((F.col("n") - F.col("n1") + 0.5) / (all0 + 1))
     good = each.where((10 * (F.col("n") - F.col("n1")) <= F.col("n1")) & (F.col("n1") >= LEAST_SUPPORT)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    top = good.orderBy((F.col("n1") * F.col("odds")).desc(), "f").limit(MOST_FEATURES).collect()
-    return Model(model, {r["f"]: r["odds"] for r in top}, math.log((all1 + 1) / (all0 + 1)) - 1.0)
+    # All of them are held: as each is in LEAST_SUPPORT of MOST_LABELLED texts at least, their number does not grow with the documents.
+    return Model(model, {r["f"]: r["odds"] for r in good.orderBy("f").collect()}, math.log((all1 + 1) / (all0 + 1)) - 1.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out and score of every row, from its whole text alone; null and empty texts have no evidence. Repeated rows stay."""
+    """doc_id, held_out and score of every row, from its whole text alone.
+
+    Null and empty texts have no evidence. Ids stay as they are, of whatever
+    type, null ones too; repeated rows stay and score alike; very long texts
+    are decoded whole. Other columns are left out; an empty table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(held.value.letters)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": [held.value.score(decoder, t) for t in b["text"]]})
+            scores = pa.array([held.value.score(decoder, t) for t in b.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), scores], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(F.col(f"`{id_col}`")).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
 
 
 def held_out(doc_id):
