@@ -45,24 +45,89 @@ def centroid(ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, out)
 
 
+def _columns_of(row: Column, size: float) -> Column:
+    """Number of equal columns that a row of cells is cut into: as many as leave each as wide as ``size`` at the highest latitude of the row and those beside it."""
+    worst = F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * size)
+    share = F.sin(F.radians(F.lit(size)) / 2) / F.cos(F.radians(worst))
+    return F.when((worst >= 90) | (share >= 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(math.pi / F.asin(F.least(F.lit(1.0), share))))).cast("long")
+
+
 def pairs_within(left: DataFrame, right: DataFrame, metres: float, left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id, metres) of points at most so far apart, by an equi-join on grid cells.
 
-    A right point stands in its own cell, a left one in its cell and the
-    eight around it, which are as wide as ``metres`` at the latitudes given;
-    so each pair meets in just one cell. Coordinates lie between 80 degrees
-    south and north.
+    Rows of cells are as high as ``metres``; each is cut into columns around
+    the whole circle that are at least as wide at its own latitude. A right
+    point stands in its own cell, a left one in its cell and those around
+    it, across the date line too; near a pole a row is one cell. So each
+    pair meets in just one cell. Points without a coordinate are in no pair.
     """
     size = math.degrees(metres / EARTH_M)
     row = lambda lat: F.floor(lat / size).cast("long")
-    col = lambda lon: F.floor(lon / (size / math.cos(math.radians(80)))).cast("long")
-    near = F.explode(F.array(*(F.struct((row(F.col("lat")) + i).alias("r"), (col(F.col("lon")) + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("cell")
-    a = left.select(F.col(left_id), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), near).select(left_id, "lat1", "lon1", "cell.*")
-    b = right.select(F.col(right_id), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), row(F.col("lat")).alias("r"), col(F.col("lon")).alias("c"))
+    col = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
+    known = "lat is not null and lon is not null"
+
+    def around(i: int) -> Column:
+        r = row(F.col("lat")) + i
+        n = _columns_of(r, size)
+        near = F.array_distinct(F.array(*(F.pmod(col(F.col("lon"), n) + j, n) for j in (-1, 0, 1))))
+        return F.transform(near, lambda c: F.struct(r.alias("r"), c.alias("c")))
+
+    cells = F.explode(F.concat(*(around(i) for i in (-1, 0, 1)))).alias("cell")
+    a = left.where(known).select(F.col(left_id), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), cells).select(left_id, "lat1", "lon1", "cell.*")
+    own = row(F.col("lat"))
+    b = right.where(known).select(F.col(right_id), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), own.alias("r"), col(F.col("lon"), _columns_of(own, size)).alias("c"))
     d = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return a.join(b, ["r", "c"]).select(left_id, right_id, d.alias("metres")).where(F.col("metres") <= metres)
 
 
+def in_parcels(points: DataFrame, parcels: DataFrame, point_id: str, parcel_id: str, size: float = 0.01, most_cells: int = 400) -> DataFrame:
+    """(point_id, parcel_id) of each point and every parcel (``ring``) that holds it.
+
+    A parcel stands in all cells of ``size`` degrees that its bounding box
+    covers, a point in its own; the polygon itself decides. A parcel whose box
+    covers over ``most_cells`` is cut into coarser cells, sixteen times as wide a level,
+    and points stand in their cell of each level that has a parcel.
+    """
+    corner = lambda f, g: g(F.transform("ring", lambda p: p[f]))
+    boxed = parcels.select(parcel_id, "ring", *(corner(f, g).alias(f"_{n}_{f}") for f in ("lat", "lon") for n, g in (("low", F.array_min), ("high", F.array_max))))
+    width = lambda level: F.lit(size) * F.pow(F.lit(16.0), level)
+    cell = lambda x, level: F.floor(x / width(level)).cast("long")
+    count = lambda level: (cell(F.col("_high_lat"), level) - cell(F.col("_low_lat"), level) + 1) * (cell(F.col("_high_lon"), level) - cell(F.col("_low_lon"), level) + 1)
+    level = F.coalesce(*(F.when(count(F.lit(k)) <= most_cells, F.lit(k)) for k in range(4)), F.lit(4))
+    span = lambda f: F.sequence(cell(F.col(f"_low_{f}"), F.col("_level")), cell(F.col(f"_high_{f}"), F.col("_level")))
+    covers = boxed.withColumn("_level", level).withColumn("_r", F.explode(span("lat"))).withColumn("_c", F.explode(span("lon")))
+    levels = [r[0] for r in boxed.select(level.alias("k")).distinct().collect()]
+    if not levels:
+        levels = [0]
+    stands = F.explode(F.array(*(F.struct(F.lit(k).alias("_level"), cell(F.col("lat"), F.lit(k)).alias("_r"), cell(F.col("lon"), F.lit(k)).alias("_c")) for k in sorted(levels)))).alias("_x")
+    at = points.where("lat is not null and lon is not null").select(point_id, "lat", "lon", stands).select(point_id, "lat", "lon", "_x.*")
+    return at.join(covers, ["_level", "_r", "_c"]).where(in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select(point_id, parcel_id)
+
+
+def simplified(ring: Column, metres: float) -> Column:
+    """A ring without corners that lie within ``metres`` of the line between the last kept corner and the next one; at least three stay.
+
+    One pass, for output only: corners are dropped, none moves.
+    """
+    n = F.size(ring)
+
+    def off(a: Column, p: Column, b: Column) -> Column:
+        """Metres of p from the line through a and b, on a plane around p."""
+        k = F.cos(F.radians(p["lat"]))
+        x = lambda q: F.radians(q["lon"] - p["lon"]) * k * EARTH_M
+        y = lambda q: F.radians(q["lat"] - p["lat"]) * EARTH_M
+        length = F.sqrt(F.pow(x(b) - x(a), 2) + F.pow(y(b) - y(a), 2))
+        return F.when(length > 0, F.abs(x(a) * y(b) - x(b) * y(a)) / length).otherwise(F.sqrt(F.pow(x(a), 2) + F.pow(y(a), 2)))
+
+    def step(kept: Column, i: Column) -> Column:
+        p, after = F.get(ring, i), F.get(ring, (i + 1) % n)
+        bend = off(F.element_at(kept, -1), p, after) > metres
+        # The corners still to come and those kept have to make three.
+        return F.when(bend | (F.size(kept) + (n - i - 1) < 3), F.concat(kept, F.array(p))).otherwise(kept)
+
+    return F.when(n <= 3, ring).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), F.slice(ring, 1, 1), step))
+
+
 def grid(south: float, west: float, north: float, east: float, step_m: float, spark) -> DataFrame:
     """Centres of a regular grid over a box, at least one."""
     dlat = math.degrees(step_m / EARTH_M)

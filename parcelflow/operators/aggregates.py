@@ -22,10 +22,6 @@ def mean(x: Column, digits: int = 2) -> Column:
     return F.round(exact_sum(x) / F.count(x), digits)
 
 
-def quantile(x: Column, q: float, when: Column | None = None) -> Column:
-    return F.percentile(F.when(when, x) if when is not None else x, F.lit(q))
-
-
 def weighted_mean(x: Column, w: Column) -> Column:
     """Null values count on neither side."""
     return F.try_divide(F.sum(F.when(x.isNotNull(), x * w)), F.sum(F.when(x.isNotNull(), w)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,18 +32,62 @@ def update_from(target: DataFrame, source: DataFrame, keys: Sequence[str], colum
     return target.join(new, list(keys), "left").select(*(pick(c).alias(c) if c in columns else F.col(c) for c in target.columns))
 
 
-def longest_name_in(df: DataFrame, text: Column, names: DataFrame, name_col: str, id_col: str, most_names: int = 10_000) -> DataFrame:
-    """``df`` with the longest of the names that its text contains, in any case, as ``id_col``.
+def longest_name_in(df: DataFrame, text: Column, names: DataFrame, name_col: str, id_col: str, row_id: str) -> DataFrame:
+    """``df`` with the longest of the names that its text contains, in any case, as ``id_col``; of equal ones the first by name.
 
-    The names are a dimension: up to ``most_names`` they travel with the
-    plan as one array, and none is compared by a join; more raise an error.
+    ``row_id`` is unique. A text can contain a name only if it contains
+    the one of the name's runs of three characters that has the smallest
+    hash: names and texts meet on that run (names of one or two characters on
+    themselves), and only those are compared. There may be any number of
+    names. The text is lower-cased once.
     """
-    rows = names.select(F.lower(name_col), id_col).orderBy(F.length(name_col).desc(), name_col).limit(most_names + 1).collect()
-    if len(rows) > most_names:
-        raise ValueError(f"over {most_names} names: split the texts into words and join by these")
-    kind = names.schema[id_col].dataType
-    known = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(i).cast(kind).alias("i")) for n, i in rows)) if rows else None
-    return df.withColumn(id_col, F.get(F.filter(known, lambda x: F.contains(F.lower(text), x["n"])), F.lit(0))["i"] if rows else F.lit(None).cast(kind))
+    known = names.select(F.lower(name_col).alias("_name"), F.col(id_col).alias("_id")).where("_name <> ''").groupBy("_name").agg(F.min("_id").alias("_id"))
+    runs = lambda s, n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))
+    rarest = F.array_min(F.transform(runs(F.col("_name"), 3), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"]
+    known = known.withColumn("_run", F.when(F.length("_name") < 3, F.col("_name")).otherwise(rarest))
+    used = known.select("_run").distinct()
+    texts = df.select(row_id, F.lower(text).alias("_text"))
+    widths = sorted(r[0] for r in known.select(F.length("_run").alias("n")).distinct().collect())
+    each = [texts.where(F.length("_text") >= n).select(row_id, F.explode(F.array_distinct(runs(F.col("_text"), n))).alias("_run")) for n in widths]
+    # Only runs that some name needs go on; then each text comes back to its few candidates.
+    met = reduce(DataFrame.unionByName, each).join(used, "_run", "left_semi").join(known, "_run") if each else None
+    if met is None:
+        return df.withColumn(id_col, F.lit(None).cast(names.schema[id_col].dataType))
+    found = met.join(texts, row_id).where(F.contains(F.col("_text"), F.col("_name")))
+    order = F.struct((-F.length("_name")).alias("n"), F.col("_name").alias("s"))
+    best = found.groupBy(row_id).agg(F.min_by("_id", order).alias(id_col))
+    return df.join(best, row_id, "left")
+
+
+def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, columns: Sequence[str], keys: Sequence[str] = (), period: str = "month") -> DataFrame:
+    """``left`` with ``columns`` of the last ``right`` row of its keys at or before its time, nulls without one.
+
+    ``right`` has each (keys, time) once. Times fall into periods. Within one,
+    the rows of both sides are sorted together and each takes the last
+    right one before it; so a task sorts a key's rows of one period only. A
+    left row before the first right one of its period takes the last of
+    the latest earlier period that has any: periods with a right row are a
+    short table, sorted by key. Gaps may be of any length.
+    """
+    keys = list(keys)
+    of = lambda c: F.date_trunc(period, F.col(c)).alias("_p")
+    value = F.struct(*columns)
+    r = right.select(*keys, F.col(right_time).cast("timestamp").alias("_t"), of(right_time), value.alias("_v"))
+    l = left.select(*keys, F.col(left_time).cast("timestamp").alias("_t"), of(left_time)).distinct()
+    # The value that each period starts with: the last of the nearest earlier one.
+    closing = r.groupBy(*keys, "_p").agg(F.max_by("_v", "_t").alias("_v"))
+    periods = closing.unionByName(l.select(*keys, "_p").distinct().join(closing.select(*keys, "_p"), [*keys, "_p"], "left_anti").withColumn("_v", F.lit(None).cast(closing.schema["_v"].dataType)))
+    opening = periods.withColumn("_v", F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).where("_v is not null")
+    rows = l.withColumns({"_v": F.lit(None).cast(closing.schema["_v"].dataType), "_left": F.lit(True)})
+    rows = rows.unionByName(r.withColumn("_left", F.lit(False))).unionByName(opening.select(*keys, F.col("_p").alias("_t"), "_p", "_v", F.lit(None).cast("boolean").alias("_left")))
+    # At one time the opening value comes first, then a right row, then the left ones.
+    order = [F.col("_t"), F.when(F.col("_left").isNull(), 0).when(~F.col("_left"), 1).otherwise(2)]
+    last = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.withColumn("_v", last).where("_left").select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_t", "_v")
+    on = F.col(left_time).cast("timestamp").eqNullSafe(F.col("_t"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(found, on, "left").select(*left.columns, *(F.col(f"_v.{c}").alias(c) for c in columns))
 
 
 def similar_sets(df: DataFrame, id_col: str, set_col: str, least: float, within: Sequence[str] = ()) -> DataFrame:

@@ -167,9 +167,9 @@ def similar_names(spark, sf_dir):
 
 @query("FX-01_as_of_price", "WITH rate AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS day, 30000 + year(o_orderdate) * 12 + month(o_orderdate) AS uf FROM orders WHERE month(o_orderdate) % 2 = 1) SELECT o_orderkey, round(o_totalprice * uf)::BIGINT AS clp FROM orders ASOF LEFT JOIN rate ON o_orderdate >= day")
 def as_of_price(spark, sf_dir):
-    """Each order at the last rate on or before its day: months of rates are an equi-join, a gap takes the month before."""
+    """Each order at the last rate on or before its day; rates come every other month, and gaps may be of any length."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    month = F.date_trunc("month", "o_orderdate").cast("date")
-    rates = o.where(F.month("o_orderdate") % 2 == 1).select(month.alias("day"), (30000 + F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("uf")).distinct()
-    valid = rates.select("uf", F.explode(F.array("day", F.add_months("day", 1).cast("date"))).alias("m"), "day").groupBy("m").agg(F.max_by("uf", "day").alias("uf"))
-    return o.withColumn("m", month).join(valid, "m", "left").select("o_orderkey", numeric.price_in_clp(F.lit(None).cast("double"), F.col("o_totalprice"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("string"), F.col("uf"), F.lit(None).cast("double")).alias("clp"))
+    rates = o.where(F.month("o_orderdate") % 2 == 1).select(F.date_trunc("month", "o_orderdate").alias("day"), (30000 + F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("uf")).distinct()
+    none = F.lit(None).cast("double")
+    at = joins.as_of(o, rates, "o_orderdate", "day", ["uf"])
+    return at.select("o_orderkey", numeric.price_in_clp(none, F.col("o_totalprice"), none, none, F.lit(None).cast("string"), F.col("uf"), none).alias("clp"))

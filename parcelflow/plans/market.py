@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import aggregates as A
-from ..operators import joins, latest
+from ..operators import quantiles as Q
 from ..sources.domain import LISTING_SQL, POINT_SQL, listings, points, table
 from .registry import book
 
@@ -21,7 +21,10 @@ FROM listing GROUP BY zone, operation""")
 def market_by_zone(spark, sf_dir):
     days = F.round((F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp("first_seen")) / 86400).cast("long")
     cents = F.expr("cast(round(price * 100) as bigint) div cast(square_meters as bigint)")
-    return listings(spark, sf_dir).groupBy("zone", "operation").agg(F.count(F.lit(1)).alias("n"), A.count_if(F.col("is_active")).alias("active"), F.round(A.quantile(F.col("price"), 0.5), 3).alias("median_price"), F.round(A.quantile(cents, 0.5), 1).alias("median_cents_m2"), A.quantile(days, 0.5).alias("median_days"))
+    l, keys = listings(spark, sf_dir), ["zone", "operation"]
+    counts = l.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), A.count_if(F.col("is_active")).alias("active"))
+    medians = Q.quantiles(l, keys, {"median_price": (F.col("price"), 0.5), "median_cents_m2": (cents, 0.5), "median_days": (days, 0.5)})
+    return counts.join(medians, keys).select(*keys, "n", "active", F.round("median_price", 3).alias("median_price"), F.round("median_cents_m2", 1).alias("median_cents_m2"), "median_days")
 
 
 @query("Q-02_broken_exclusives", L + "SELECT unit, count(DISTINCT advertiser_id) AS agencies, list_sort(list(DISTINCT advertiser)) AS names, min(price) AS low, max(price) AS high FROM listing WHERE is_active GROUP BY unit HAVING count(DISTINCT advertiser_id) >= 2")
@@ -32,33 +35,38 @@ def broken_exclusives(spark, sf_dir):
 @query("Q-03_opportunities", L + """, m AS (SELECT zone, operation, quantile_cont(price / square_meters, 0.5) AS m FROM listing GROUP BY 1, 2 HAVING count(*) >= 5)
 SELECT id, zone, round(price / square_meters / m, 6) AS ratio FROM listing JOIN m USING (zone, operation) WHERE price / square_meters < 0.85 * m""")
 def opportunities(spark, sf_dir):
-    l = listings(spark, sf_dir).withColumn("p", F.col("price") / F.col("square_meters"))
-    m = l.groupBy("zone", "operation").agg(F.percentile("p", F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("n")).where("n >= 5").drop("n")
-    return l.join(m, ["zone", "operation"]).where("p < 0.85 * m").select("id", "zone", F.round(F.col("p") / F.col("m"), 6).alias("ratio"))
+    l, keys = listings(spark, sf_dir).withColumn("p", F.col("price") / F.col("square_meters")).select("id", "zone", "operation", "p"), ["zone", "operation"]
+    often = l.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select(*keys)
+    m = Q.quantiles(l, keys, {"m": (F.col("p"), 0.5)}).join(often, keys, "left_semi")
+    return l.join(m, keys).where("p < 0.85 * m").select("id", "zone", F.round(F.col("p") / F.col("m"), 6).alias("ratio"))
 
 
 _DIST = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
 
 
-@query("Q-04_valuation", f"""WITH {POINT_SQL}, near AS (SELECT a.vec_id, count(*) AS n, quantile_cont(b.vec_id, 0.5) AS m FROM point a JOIN point b ON a.vec_id <> b.vec_id AND {_DIST.format(a='a.', b='b.')} <= 1000 GROUP BY a.vec_id),
-zone AS (SELECT label, count(*) AS n, quantile_cont(vec_id, 0.5) AS m FROM point GROUP BY label)
-SELECT p.vec_id, CASE WHEN coalesce(near.n, 0) < 5 AND zone.n > coalesce(near.n, 0) THEN 'zone' ELSE 'near' END AS used, CASE WHEN coalesce(near.n, 0) < 5 AND zone.n > coalesce(near.n, 0) THEN zone.m ELSE near.m END AS value
-FROM point p JOIN zone USING (label) LEFT JOIN near ON near.vec_id = p.vec_id""")
+@query("Q-04_valuation", f"""WITH {POINT_SQL}, priced AS (SELECT point.*, p_retailprice AS price FROM point LEFT JOIN part ON p_partkey = vec_id), near AS (SELECT a.vec_id, count(*) AS n, quantile_cont(b.price, 0.5) AS m FROM priced a JOIN priced b ON a.vec_id <> b.vec_id AND {_DIST.format(a='a.', b='b.')} <= 1000 WHERE b.price IS NOT NULL GROUP BY a.vec_id),
+zone AS (SELECT label, count(price) AS n, quantile_cont(price, 0.5) AS m FROM priced GROUP BY label)
+SELECT p.vec_id, CASE WHEN coalesce(near.n, 0) < 5 AND zone.n > coalesce(near.n, 0) THEN 'zone' ELSE 'near' END AS used, round(CASE WHEN coalesce(near.n, 0) < 5 AND zone.n > coalesce(near.n, 0) THEN zone.m ELSE near.m END, 4) AS value
+FROM priced p JOIN zone USING (label) LEFT JOIN near ON near.vec_id = p.vec_id""")
 def valuation(spark, sf_dir):
-    """Median of comparables within 1 km; of the zone if under five and it has more. (The id stands for the price.)"""
-    p = points(spark, sf_dir)
-    pairs = geo.pairs_within(p, p.withColumnRenamed("vec_id", "other"), 1000, "vec_id", "other").where("vec_id <> other")
-    near = pairs.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("other", F.lit(0.5)).alias("m"))
-    zone = p.groupBy("label").agg(F.count(F.lit(1)).alias("zn"), F.percentile("vec_id", F.lit(0.5)).alias("zm"))
+    """Median price of comparables within 1 km; of the zone if under five and it has more."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), F.col("p_retailprice").alias("price"))
+    p = points(spark, sf_dir).join(part, "vec_id", "left")
+    others = p.where("price is not null").withColumnRenamed("vec_id", "other")
+    pairs = geo.pairs_within(p, others, 1000, "vec_id", "other").where("vec_id <> other").join(others.select("other", "price"), "other")
+    near = pairs.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).join(Q.quantiles(pairs, ["vec_id"], {"m": (F.col("price"), 0.5)}), "vec_id")
+    zone = p.groupBy("label").agg(F.count("price").alias("zn")).join(Q.quantiles(p, ["label"], {"zm": (F.col("price"), 0.5)}), "label")
     n = F.coalesce("n", F.lit(0))
     wide = (n < 5) & (F.col("zn") > n)
-    return p.select("vec_id", "label").join(zone, "label").join(near, "vec_id", "left").select("vec_id", F.when(wide, "zone").otherwise("near").alias("used"), F.when(wide, F.col("zm")).otherwise(F.col("m")).alias("value"))
+    return p.select("vec_id", "label").join(zone, "label").join(near, "vec_id", "left").select("vec_id", F.when(wide, "zone").otherwise("near").alias("used"), F.round(F.when(wide, F.col("zm")).otherwise(F.col("m")), 4).alias("value"))
 
 
 @query("Q-05_recent_comparables", L + "SELECT zone, count(*) AS n, round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5), 4) AS p50 FROM listing WHERE last_seen >= TIMESTAMP '1998-01-01' AND last_seen < TIMESTAMP '1999-01-01' GROUP BY zone HAVING count(*) >= 3")
 def recent_comparables(spark, sf_dir):
-    year = F.col("last_seen").between("1998-01-01", "1998-12-31 23:59:59.999999")
-    return listings(spark, sf_dir).where(year).groupBy("zone").agg(F.count(F.lit(1)).alias("n"), *(F.round(A.quantile(F.col("price"), q), 4).alias(f"p{int(q * 100)}") for q in (0.25, 0.5))).where("n >= 3")
+    l = listings(spark, sf_dir).where(F.col("last_seen").between("1998-01-01", "1998-12-31 23:59:59.999999"))
+    n = l.groupBy("zone").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    found = Q.quantiles(l, ["zone"], {"p25": (F.col("price"), 0.25), "p50": (F.col("price"), 0.5)})
+    return n.join(found, "zone").select("zone", "n", F.round("p25", 4).alias("p25"), F.round("p50", 4).alias("p50"))
 
 
 @query("Q-06_buildings", "SELECT regexp_replace(p_name, '\\s*\\S+$', '') AS base, count(*) AS units, arg_max(p_partkey, (p_retailprice, p_partkey)) AS sample FROM part GROUP BY 1 HAVING count(*) >= 2")
@@ -152,6 +160,14 @@ def rings(spark, sf_dir):
     return c.select("vec_id", first(F.lit).alias("ring"), first(lambda m: F.col(f"c{m}")).alias("n"))
 
 
-@query("JN-14_latest_in_box", f"WITH {POINT_SQL} SELECT label, max(vec_id) AS vec_id FROM point WHERE lat BETWEEN -33.41 AND -33.39 GROUP BY label")
+@query("JN-14_latest_in_box", f"WITH {POINT_SQL} SELECT a.vec_id, max(b.vec_id) AS latest FROM point a LEFT JOIN point b ON b.vec_id < a.vec_id AND b.lat BETWEEN a.lat - 0.005 AND a.lat + 0.005 AND b.lon BETWEEN a.lon - 0.005 AND a.lon + 0.005 GROUP BY a.vec_id")
 def latest_in_box(spark, sf_dir):
-    return points(spark, sf_dir).where(geo.in_box(F.col("lat"), F.col("lon"), -33.41, -180, -33.39, 180)).groupBy("label").agg(F.max("vec_id").alias("vec_id"))
+    """For each point the latest earlier one in a box around it: points meet in the cells that their boxes cover."""
+    p, half, size = points(spark, sf_dir), 0.005, 0.01
+    cell = lambda x: F.floor(x / size).cast("long")
+    span = lambda c: F.sequence(cell(F.col(c) - half), cell(F.col(c) + half))
+    boxes = p.withColumn("r", F.explode(span("lat"))).withColumn("c", F.explode(span("lon"))).select("vec_id", F.col("lat").alias("mid_lat"), F.col("lon").alias("mid_lon"), "r", "c")
+    inside = p.select(F.col("vec_id").alias("other"), "lat", "lon", cell(F.col("lat")).alias("r"), cell(F.col("lon")).alias("c"))
+    near = (F.col("other") < F.col("vec_id")) & F.col("lat").between(F.col("mid_lat") - half, F.col("mid_lat") + half) & F.col("lon").between(F.col("mid_lon") - half, F.col("mid_lon") + half)
+    best = boxes.join(inside, ["r", "c"]).where(near).groupBy("vec_id").agg(F.max("other").alias("latest"))
+    return p.select("vec_id").join(best, "vec_id", "left")

@@ -4,34 +4,29 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import aggregates as A
+from ..operators import quantiles as Q
 from ..operators import filters
 from ..sources.domain import LISTING_SQL, POINT_SQL, listings, points, table
 from .registry import book
 
 QUERIES, SQL, query = book()
 L, P = f"WITH {LISTING_SQL} ", f"WITH {POINT_SQL} "
-#: Side of a square parcel, in degrees, and how far its walls stand in from the grid.
-SIDE, WALL = 0.01, 0.001
+PARCEL_SQL = "parcel AS (SELECT p_partkey, -33.4 + 0.001 * (p_partkey % 61 - 30) AS south, -70.6 + 0.001 * (p_partkey % 59 - 29) AS west, 0.0005 * p_size AS high, 0.0007 * (p_partkey % 40 + 1) AS wide FROM part)"
 
 
-def _cell(x: Column) -> Column:
-    return F.floor(x / SIDE).cast("long")
-
-
-@query("GEO-05_point_in_parcel", P + f"SELECT vec_id, floor(lat / {SIDE})::BIGINT AS parcel_r, floor(lon / {SIDE})::BIGINT AS parcel_c FROM point WHERE lat - floor(lat / {SIDE}) * {SIDE} BETWEEN {WALL} AND {SIDE - WALL} AND lon - floor(lon / {SIDE}) * {SIDE} BETWEEN {WALL} AND {SIDE - WALL}")
+@query("GEO-05_point_in_parcel", P + f", {PARCEL_SQL} SELECT vec_id, p_partkey FROM point JOIN parcel ON lat > south AND lat < south + high AND lon > west AND lon < west + wide")
 def point_in_parcel(spark, sf_dir):
-    """Each point's parcel by an equi-join on the grid cell that covers it, then the exact test of the polygon."""
-    p = points(spark, sf_dir).withColumns({"r": _cell(F.col("lat")), "c": _cell(F.col("lon"))})
-    corner = lambda i, j: F.struct((F.col("r") * SIDE + i).alias("lat"), (F.col("c") * SIDE + j).alias("lon"))
-    near, far = WALL, SIDE - WALL
-    parcels = p.select("r", "c").distinct().withColumn("ring", F.array(corner(near, near), corner(near, far), corner(far, far), corner(far, near)))
-    hit = geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring"))
-    return p.join(parcels, ["r", "c"]).where(hit).select("vec_id", F.col("r").alias("parcel_r"), F.col("c").alias("parcel_c"))
+    """Each point with the parcels that hold it: parcels of many sizes, over as many cells as their boxes cover."""
+    k = F.col("p_partkey")
+    south, west = -33.4 + 0.001 * (k % 61 - 30), -70.6 + 0.001 * (k % 59 - 29)
+    high, wide = 0.0005 * F.col("p_size"), 0.0007 * (k % 40 + 1)
+    corner = lambda i, j: F.struct((south + i * high).alias("lat"), (west + j * wide).alias("lon"))
+    parcels = table(spark, sf_dir, "part").select("p_partkey", F.array(*(corner(i, j) for i, j in ((0, 0), (0, 1), (1, 1), (1, 0)))).alias("ring"))
+    return geo.in_parcels(points(spark, sf_dir), parcels, "vec_id", "p_partkey")
 
 
 @query("GEO-02_AGG-16_centres", P + f", m AS (SELECT label, avg(lat) AS a, avg(lon) AS o, count(*) AS n FROM point GROUP BY label) SELECT label, n, round(a, 9) AS lat, round(o, 9) AS lon, round(2 * 6371000.0 * asin(sqrt(pow(sin(radians(a + 33.4) / 2), 2) + cos(radians(-33.4)) * cos(radians(a)) * pow(sin(radians(o + 70.6) / 2), 2))), 3) AS metres FROM m")
@@ -64,8 +59,11 @@ def broker_metrics(spark, sf_dir):
 
 @query("Q-10_search_stats", L + "SELECT count(*) AS total, count(DISTINCT unit) AS units, round(quantile_cont(price, 0.5), 3) AS median_price, min(price) AS low FROM listing WHERE operation = 'O' AND price <= 50000")
 def search_stats(spark, sf_dir):
-    where = filters.listing_filter(operation="O", price=(None, 50_000))
-    return listings(spark, sf_dir).where(where).agg(F.count(F.lit(1)).alias("total"), F.countDistinct("unit").alias("units"), F.round(A.quantile(F.col("price"), 0.5), 3).alias("median_price"), F.min("price").alias("low"))
+    l = listings(spark, sf_dir).where(filters.listing_filter(operation="O", price=(None, 50_000)))
+    stats = l.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("unit").alias("units"), F.min("price").alias("low"))
+    median = Q.quantiles(l, [], {"median_price": (F.col("price"), 0.5)})
+    # Two tables of one row each.
+    return stats.crossJoin(median).select("total", "units", F.round("median_price", 3).alias("median_price"), "low")
 
 
 @query("Q-11_19_coverage", "SELECT n_name AS zone, count(*) AS rolls, count(*) FILTER (c_acctbal > 0) AS located, count(*) FILTER (c_acctbal > 5000) AS exact, round(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 1) AS pct FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")

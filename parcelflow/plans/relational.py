@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import quantiles as Q
 from ..operators import filters, joins, latest, paging
 from ..sources.domain import CHANGE_SQL, LISTING_SQL, changes, listings, table
 from .registry import book
@@ -153,7 +154,7 @@ def conditional_level(spark, sf_dir):
 @query("JN-06_name_in_text", """SELECT doc_id, (SELECT n_nationkey FROM nation WHERE contains(lower(text), lower(n_name)) ORDER BY length(n_name) DESC, n_name LIMIT 1) AS n_nationkey FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
 def name_in_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return joins.longest_name_in(docs, F.coalesce("text", F.lit("")), table(spark, sf_dir, "nation"), "n_name", "n_nationkey").select("doc_id", "n_nationkey")
+    return joins.longest_name_in(docs, F.coalesce("text", F.lit("")), table(spark, sf_dir, "nation"), "n_name", "n_nationkey", "doc_id").select("doc_id", "n_nationkey")
 
 
 @query("JN-07_lateral_first", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) ON true")
@@ -268,7 +269,8 @@ def distinct_counts(spark, sf_dir):
 @query("AGG-04_quantiles", L + "SELECT zone, round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5) FILTER (is_active), 4) AS p50, round(quantile_cont(price, 0.75), 4) AS p75 FROM listing GROUP BY zone")
 def quantiles(spark, sf_dir):
     p = F.col("price")
-    return listings(spark, sf_dir).groupBy("zone").agg(F.round(A.quantile(p, 0.25), 4).alias("p25"), F.round(A.quantile(p, 0.5, F.col("is_active")), 4).alias("p50"), F.round(A.quantile(p, 0.75), 4).alias("p75"))
+    found = Q.quantiles(listings(spark, sf_dir), ["zone"], {"p25": (p, 0.25), "p50": (F.when(F.col("is_active"), p), 0.5), "p75": (p, 0.75)})
+    return found.select("zone", *(F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")))
 
 
 @query("AGG-05_sets", L + "SELECT unit, list_sort(list(DISTINCT advertiser_id)) AS brokers, list_sort(coalesce(list(DISTINCT portal) FILTER (is_active), [])) AS portals FROM listing GROUP BY unit")

@@ -1,5 +1,7 @@
 """Each query of the registry against its SQL twin, and helpers on small literals."""
 
+import datetime
+import math
 import random
 from itertools import combinations
 
@@ -8,9 +10,9 @@ from pyspark.sql import functions as F
 
 from parcelflow import plans
 from parcelflow.functions import geo, numeric, text
-from parcelflow.operators import changes, entity, filters, joins, paging, ring, upsert
+from parcelflow.operators import changes, entity, filters, joins, paging, quantiles, ring, upsert
 from parcelflow.operators.graph import connected_components
-from tests.compare import assert_same
+from tests.compare import assert_same, rows_of
 
 
 @pytest.mark.parametrize("name", plans.queries())
@@ -173,5 +175,74 @@ def test_join_any_and_names(spark):
     b = spark.createDataFrame([(9, "p", "z")], "j int, u string, v string")
     assert sorted(joins.join_any(a, b, [("x", "u"), ("y", "v")], "i", "j").collect()) == [(1, 9), (2, 9)]
     names = spark.createDataFrame([("centro", 1), ("centro norte", 2)], "n string, z int")
-    got = joins.longest_name_in(a.select(F.lit("Casa en Centro Norte").alias("t")), F.col("t"), names, "n", "z").first()
-    assert got["z"] == 2
+    got = joins.longest_name_in(a.select("i", F.lit("Casa en Centro Norte").alias("t")), F.col("t"), names, "n", "z", "i").collect()
+    assert [r["z"] for r in got] == [2, 2]
+
+
+def test_names_in_texts_against_all_pairs(spark):
+    rng = random.Random(2)
+    make = lambda n: "".join(rng.choice("abÑ ") for _ in range(n))
+    names = sorted({make(rng.randint(1, 6)) for _ in range(200)})
+    texts = [(i, make(rng.randint(0, 30))) for i in range(300)] + [(300, None)]
+    got = dict(joins.longest_name_in(spark.createDataFrame(texts, "i int, t string"), F.col("t"), spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "n string, z int"), "n", "z", "i").select("i", "z").collect())
+    for i, t in texts:
+        hits = sorted((-len(n), n.lower()) for n in names if n.lower() in (t or "").lower() and t is not None)
+        assert (names[got[i]].lower() if got[i] is not None else None) == (hits[0][1] if hits else None)
+
+
+def test_quantiles_against_the_built_in(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab") if rng.random() < 0.9 else None, rng.choice((rng.random() * 1e6, -rng.random(), float(rng.randint(0, 3)), None))) for _ in range(3000)] + [("c", None), ("d", 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    want = df.groupBy("k").agg(*(F.percentile("v", F.lit(q)).alias(f"q{i}") for i, q in enumerate(qs)))
+    for parts in (1024, 3):
+        got = quantiles.quantiles(df, ["k"], {f"q{i}": (F.col("v"), q) for i, q in enumerate(qs)}, parts=parts)
+        assert rows_of(want.columns, want.collect()) == rows_of(got.columns, got.select(*want.columns).collect())
+    total = quantiles.quantiles(df, [], {"m": (F.col("v"), 0.5), "n": (F.when(F.col("k") == "c", F.col("v")), 0.5)}).first()
+    assert abs(total["m"] - df.agg(F.percentile("v", F.lit(0.5))).first()[0]) < 1e-6 and total["n"] is None
+
+
+def test_as_of_over_long_gaps(spark):
+    rng = random.Random(7)
+    day = lambda: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=rng.randint(0, 900), hours=rng.randint(0, 1))
+    rates = [(k, t, float(i)) for i, (k, t) in enumerate({(rng.choice("ab"), day()) for _ in range(12)})]
+    rows = [(i, rng.choice("abc"), day()) for i in range(300)] + [(300, "a", None)]
+    got = joins.as_of(spark.createDataFrame(rows, "i int, k string, t timestamp"), spark.createDataFrame(rates, "k string, d timestamp, v double"), "t", "d", ["v"], ["k"]).collect()
+    want = {i: max(((d, v) for c, d, v in rates if c == k and t and d <= t), default=(None, None))[1] for i, k, t in rows}
+    assert {r["i"]: r["v"] for r in got} == want and len(got) == len(rows)
+
+
+def test_near_points_anywhere(spark):
+    """All pairs and no other, at the poles and across the date line too."""
+    rng = random.Random(1)
+    near = [(rng.choice((0.0, 60.0, 84.9, -89.99, 89.999, -33.4)), rng.choice((0.0, 179.999, -180.0, -179.998, 180.0))) for _ in range(40)]
+    pts = [(i, max(-90.0, min(90.0, a + rng.gauss(0, 0.004))), b + rng.gauss(0, 0.02) * (20 if abs(a) > 84 else 1)) for i, (a, b) in enumerate(near * 3)]
+    pts = [(i, a, (b + 180) % 360 - 180) for i, a, b in pts] + [(999, None, 1.0)]
+    df = spark.createDataFrame(pts, "i int, lat double, lon double")
+
+    def metres(p, q):
+        f, g, l = math.radians(p[1]), math.radians(q[1]), math.radians(q[2] - p[2])
+        return 2 * geo.EARTH_M * math.asin(math.sqrt(min(1, math.sin((g - f) / 2) ** 2 + math.cos(f) * math.cos(g) * math.sin(l / 2) ** 2)))
+
+    want = {(p[0], q[0]) for p in pts[:-1] for q in pts[:-1] if metres(p, q) <= 800}
+    got = [(r["i"], r["j"]) for r in geo.pairs_within(df, df.withColumnRenamed("i", "j"), 800, "i", "j").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_parcels_of_many_sizes(spark):
+    rng = random.Random(3)
+    boxes = [(i, rng.uniform(-1, 1), rng.uniform(-1, 1), 10 ** rng.uniform(-3, 1), 10 ** rng.uniform(-3, 1)) for i in range(80)]
+    ring = lambda s, w, h, v: [(s, w), (s, w + v), (s + h, w + v), (s + h, w)]
+    parcels = spark.createDataFrame([(i, ring(*b)) for i, *b in boxes], "p int, ring array<struct<lat: double, lon: double>>")
+    pts = [(i, rng.uniform(-1.5, 3), rng.uniform(-1.5, 3)) for i in range(400)]
+    got = sorted(tuple(r) for r in geo.in_parcels(spark.createDataFrame(pts, "i int, lat double, lon double"), parcels, "i", "p").collect())
+    assert got == sorted((i, p) for i, a, o in pts for p, s, w, h, v in boxes if s < a < s + h and w < o < w + v)
+    assert geo.in_parcels(spark.createDataFrame(pts, "i int, lat double, lon double"), parcels.limit(0), "i", "p").count() == 0
+
+
+def test_simplified_rings(spark):
+    ring = lambda *ps: F.array(*(F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon")) for a, b in ps))
+    kept = one(spark, geo.simplified(ring((0, 0), (0, 0.5), (0, 1), (0.5, 1.000001), (1, 1), (1, 0)), 5))
+    assert [(p["lat"], p["lon"]) for p in kept] == [(0, 0), (0, 1), (1, 1), (1, 0)]
+    assert len(one(spark, geo.simplified(ring((0, 0), (0, 1), (0, 2), (0, 3)), 5))) == 3
