@@ -36,7 +36,7 @@ def sigmoid(x: Column, k: float = 1.0) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
 def interpolate(x: Column, points: Sequence[tuple[float, float]]) -> Column:

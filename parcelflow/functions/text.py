@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"
 #: Abbreviations of address words. (Fixed values.)
-ADDRESS_WORDS = (("AVDA", "AVENIDA"), ("AV", "AVENIDA"), ("PJE", "PASAJE"), ("DR", "DOCTOR"))
+ADDRESS_WORDS = (("AV", "AVENIDA"), ("AVDA", "AVENIDA"), ("AVE", "AVENIDA"), ("PJE", "PASAJE"), ("CLLE", "CALLE"), ("DR", "DOCTOR"))
 
 
 def unaccent(s: Column) -> Column:
@@ -41,9 +41,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of whole folded texts' trigrams; null if either is empty."""
-    a, b = fold(a), fold(b)
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), jaccard(trigrams(a), trigrams(b)))
+    """Jaccard similarity of whole texts' trigrams, folded, other signs as spaces; null if either has under two characters then."""
+    a, b = (F.trim(F.regexp_replace(fold(x), "[^a-z0-9]+", " ")) for x in (a, b))
+    return F.when((F.length(a) >= 2) & (F.length(b) >= 2), jaccard(trigrams(a), trigrams(b)))
 
 
 def words(s: Column) -> Column:
@@ -87,21 +87,32 @@ def street_number(s: Column) -> Column:
 
 
 def same_address(a: Column, b: Column, least: float = 0.6) -> Column:
-    """Numbers agree, and most words."""
-    return F.coalesce((street_number(a) == street_number(b)) & (token_overlap(address(a), address(b)) >= least), F.lit(False))
+    """Whether two addresses may be one: numbers agree where both have one, and most of the words of the shorter do.
+
+    Words are those of three letters or more; without any on one side both
+    need a number. An empty address agrees with none.
+    """
+    a, b = address(a), address(b)
+    n, m = (F.nullif(F.regexp_extract(x, r"\b(\d{1,6})\b", 1), F.lit("")) for x in (a, b))
+    long = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: (F.length(w) > 2) & ~w.rlike(r"^\d+$")))
+    u, v = long(a), long(b)
+    fewer = F.least(F.size(u), F.size(v))
+    agree = F.when(fewer == 0, n.isNotNull() & m.isNotNull()).otherwise(F.size(F.array_intersect(u, v)) / F.nullif(fewer, F.lit(0)) >= least)
+    return F.coalesce((a != "") & (b != "") & ~F.coalesce(n != m, F.lit(False)) & agree, F.lit(False))
 
 
 #: Words that begin the part of an address inside a building. (Fixed values.)
-UNIT_WORDS = ("DP", "DEPTO", "DEPARTAMENTO", "OF", "OFICINA", "BD", "BODEGA", "LOCAL", "LC", "EST", "CASA")
+UNIT_WORDS = ("DP", "DPTO", "DEPTO", "DEP", "BD", "BOD", "BDGA", "BODEGA", "BX", "EST", "ESTAC", "LC", "LOC", "LOCAL", "OF", "OFIC", "OFICINA", "CS", "CASA", "PISO", "BLOCK", "BLK", "TORRE")
+_UNIT = rf"^(.*?[0-9]+)\s+(?:{'|'.join(UNIT_WORDS)})(?:\s|$).*$"
 
 
 def base_address(s: Column) -> Column:
-    """The address of the building: without what follows the street number."""
-    return F.regexp_replace(F.trim(F.upper(s)), rf"^(.*?\s\d+)\s+(?:{'|'.join(UNIT_WORDS)})\b.*$", "$1")
+    """The address of the building: without what follows the street number from a unit word on."""
+    return F.regexp_replace(F.trim(F.upper(s)), _UNIT, "$1")
 
 
 def is_unit(s: Column) -> Column:
-    return F.trim(F.upper(s)).rlike(rf"\s\d+\s+(?:{'|'.join(UNIT_WORDS)})\b")
+    return F.trim(F.upper(s)).rlike(_UNIT)
 
 
 def roll(s: Column) -> Column:

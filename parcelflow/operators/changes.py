@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_change_kind(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Each version's kind against the one before: new, agency_change, price_change or null for none, in that order of precedence."""
+def with_change_kind(versions: DataFrame, key: str, order: list[str], details: list[str] = ()) -> DataFrame:
+    """Each version's kind against the one before.
+
+    The first that holds of: new; reactivated (was inactive, no longer is);
+    agency_change and price_change, where both are known; updated, where any of
+    ``details`` differs; else null. Without a column is_active nothing is reactivated.
+    """
     w = Window.partitionBy(key).orderBy(*order)
-    before = F.lag(F.struct("agency", "price")).over(w)
-    kind = F.when(before.isNull(), "new").when(~before["agency"].eqNullSafe(F.col("agency")), "agency_change").when(~before["price"].eqNullSafe(F.col("price")), "price_change")
+    active = [F.coalesce("is_active", F.lit(True)).alias("active")] if "is_active" in versions.columns else [F.lit(True).alias("active")]
+    now = F.struct(F.col("agency"), F.col("price"), *active, F.struct(*details, F.lit(0).alias("_")).alias("details"))
+    before = F.lag(now).over(w)
+    back = ~before["active"] & now["active"]
+    kind = F.when(before.isNull(), "new").when(back, "reactivated").when(before["agency"] != F.col("agency"), "agency_change").when(before["price"] != F.col("price"), "price_change").when(~before["details"].eqNullSafe(now["details"]), "updated")
     return versions.withColumn("kind", kind)
 
 

@@ -13,33 +13,12 @@ from .latest import top_of_each
 from .storage import stored
 from .upsert import upsert
 
-#: Weight of each soft signal and the difference at which it is worth nothing. (Fixed values.)
-SOFT = {"distance": (0.15, 150.0), "area": (0.10, 0.5), "bathrooms": (0.05, 3.0), "price": (0.10, 0.5), "text": (0.15, 1.0)}
 #: What a hard signal adds; its absence takes nothing. (Fixed values.)
 HARD = {"same_phone": 0.60, "same_agency": 0.35, "same_photo": 0.50}
 CONFIRMED, CANDIDATE = 0.75, 0.45
 MOST_IN_CLUSTER, STRONG_EDGE = 20, 0.90
 
 
-def soft_score(signals: Mapping[str, Column]) -> Column:
-    """Weighted closeness of the differences that are known, each clamped to 0..1; ``text`` is a similarity."""
-    total = F.lit(0.0)
-    for name, (weight, most) in SOFT.items():
-        if name in signals:
-            x = signals[name]
-            part = numeric.clamp(x) if name == "text" else 1 - numeric.clamp(x / most)
-            total = total + F.coalesce(weight * part, F.lit(0.0))
-    return total
-
-
-def pair_score(signals: Mapping[str, Column], hard: Mapping[str, Column]) -> Column:
-    total = soft_score(signals)
-    for name, weight in HARD.items():
-        if name in hard:
-            total = total + F.when(F.coalesce(hard[name], F.lit(False)), weight).otherwise(0.0)
-    return numeric.sigmoid(total, 2)
-
-
 def decision(score: Column, evidence: Column, confirmed: float = CONFIRMED, candidate: float = CANDIDATE) -> Column:
     """Confirmed needs evidence of identity too, else a candidate."""
     return F.when((score >= confirmed) & F.coalesce(evidence, F.lit(False)), "confirmed").when(score >= candidate, "candidate").otherwise("rejected")
@@ -77,7 +56,7 @@ def best_match(candidates: DataFrame, key: str, id_col: str, p_col: str, odds_co
 
 
 def evidence_odds(parts: Mapping[str, Column], prior: float = -1.2) -> Column:
-    """Sum of log odds; a clear address (4 or more) cancels a distance that speaks against."""
+    """Sum of finished log odds; a clear address (4 or more) cancels a distance that speaks against. See ``cadastre.evidence`` for the parts."""
     distance = parts.get("distance", F.lit(0.0))
     rest = sum((F.coalesce(v, F.lit(0.0)) for k, v in parts.items() if k != "distance"), F.lit(prior))
     sure = F.coalesce(parts.get("address", F.lit(0.0)), F.lit(0.0)) >= 4
@@ -222,13 +201,11 @@ def pair_signals(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     percent = lambda n: F.when(F.greatest(*one(n)) > 0, F.abs(F.col(f"{n}_a") - F.col(f"{n}_b")) / F.greatest(*one(n)) * 100)
     both = lambda n: F.when(one(n)[0].isNotNull() & one(n)[1].isNotNull(), percent(n))
     same = lambda n, f=lambda c: c: f(one(n)[0]) == f(one(n)[1])
-    words = lambda c: F.trim(F.regexp_replace(text.fold(c), "[^a-z0-9]+", " "))
-    address = lambda n: [F.when(F.length(words(c)) >= 2, words(c)) for c in one(n)]
     return pairs.join(a, "a").join(b, "b").select(
         "a", "b",
         geo.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")).alias("distance"),
         both("area").alias("area"), same("bedrooms").alias("bedrooms"), F.abs(F.col("bathrooms_a") - F.col("bathrooms_b")).alias("bathrooms"),
-        both("price").alias("price"), text.text_similarity(*address("address")).alias("text"), numeric.hamming(*one("phash")).alias("phash"),
+        both("price").alias("price"), text.text_similarity(*one("address")).alias("text"), numeric.hamming(*one("phash")).alias("phash"),
         same("kind").alias("kind"), same("operation").alias("operation"), same("phone", text.phone).alias("same_phone"), same("agency", text.agency).alias("same_agency"),
     )
 

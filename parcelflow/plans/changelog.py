@@ -4,51 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, numeric, text
+from ..functions import numeric, text
 from ..operators import aggregates as A
 from ..operators import changes as CH
 from ..operators import entity, joins, ring, upsert
-from ..sources.domain import CHANGE_SQL, LISTING_SQL, PHASH_SQL, POINT_SQL, adverts, changes, listings, picture_hashes, points, table
+from ..sources.domain import CHANGE_SQL, LISTING_SQL, PHASH_SQL, changes, listings, picture_hashes, table
 from .registry import book
 
 QUERIES, SQL, query = book()
 L, C = f"WITH {LISTING_SQL} ", f"WITH {CHANGE_SQL} "
-_DIST = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
-_EDGES = f"edge AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 / (1 + exp(-2 * (0.15 * (1 - least(1.0, {_DIST} / 150)) + CASE WHEN a.label = b.label THEN 0.60 ELSE 0 END))) AS score FROM point a JOIN point b ON a.vec_id < b.vec_id AND {_DIST} <= 150)"
-
-
-def _edges(spark, sf_dir):
-    p = points(spark, sf_dir)
-    near = geo.pairs_within(p.withColumnRenamed("vec_id", "a"), p.withColumnRenamed("vec_id", "b"), 150, "a", "b").where("a < b")
-    side = lambda c: p.select(F.col("vec_id").alias(c), F.col("label").alias(f"label_{c}"))
-    pairs = near.join(side("a"), "a").join(side("b"), "b")
-    score = entity.pair_score({"distance": F.col("metres")}, {"same_phone": F.col("label_a") == F.col("label_b")})
-    return pairs.select("a", "b", score.alias("score"), (F.col("label_a") == F.col("label_b")).alias("evidence"))
-
-
-@query("ER-01_05_pair_decisions", f"WITH {POINT_SQL}, {_EDGES} SELECT a, b, round(score, 6) AS score, CASE WHEN score >= 0.75 AND (SELECT label FROM point WHERE vec_id = a) = (SELECT label FROM point WHERE vec_id = b) THEN 'confirmed' WHEN score >= 0.45 THEN 'candidate' ELSE 'rejected' END AS decision FROM edge")
-def pair_decisions(spark, sf_dir):
-    return _edges(spark, sf_dir).select("a", "b", F.round("score", 6).alias("score"), entity.decision(F.col("score"), F.col("evidence")).alias("decision"))
-
-
-@query("ER-01_05_all_signals")
-def all_signals(spark, sf_dir):
-    """Pairs of either market's blocking, with all signals, scores and the decision."""
-    rows = adverts(spark, sf_dir)
-    ways = entity.near_alike(rows).withColumn("way", F.lit("near_alike")).unionByName(entity.near_or_named(rows).withColumn("way", F.lit("near_or_named")))
-    found = ways.groupBy("a", "b").agg(F.bool_or(F.col("way") == "near_alike").alias("near_alike"), F.bool_or(F.col("way") == "near_or_named").alias("near_or_named"))
-    return entity.pair_verdicts(entity.pair_signals(found.select("a", "b"), rows)).join(found, ["a", "b"])
-
-
-@query("ER-09_clusters", f"""WITH RECURSIVE {POINT_SQL}, {_EDGES}, good AS (SELECT a, b FROM edge WHERE score >= 0.75 UNION SELECT b, a FROM edge WHERE score >= 0.75),
-walk(node, seen) AS (SELECT DISTINCT a, a FROM good UNION SELECT walk.node, good.b FROM walk JOIN good ON walk.seen = good.a) SELECT node, min(seen) AS cluster FROM walk GROUP BY node""")
-def clusters(spark, sf_dir):
-    return entity.clusters(_edges(spark, sf_dir), most=10**9)
-
-
-@query("ER-11_confidence", f"WITH {POINT_SQL}, {_EDGES} SELECT node, round(max(score), 6) AS confidence FROM (SELECT a AS node, score FROM edge UNION ALL SELECT b, score FROM edge) WHERE score >= 0.75 GROUP BY node")
-def confidence(spark, sf_dir):
-    return entity.confidence(_edges(spark, sf_dir)).select("node", F.round("confidence", 6).alias("confidence"))
 
 
 @query("ER-14_16_consolidated", L + """, k AS (SELECT *, advertiser_id || '|' || lower(trim(seller_reference)) AS property FROM listing)
@@ -98,11 +62,6 @@ def snapshots(spark, sf_dir):
     return CH.snapshots(changes(spark, sf_dir), "listing_id", ["ts", "event_id"], F.col("agency"))
 
 
-@query("WIN-04_STM-01_change_kinds", C + ", v AS (SELECT event_id, agency, price, lag(agency) OVER w AS a0, lag(price) OVER w AS p0, row_number() OVER w AS n FROM change WINDOW w AS (PARTITION BY listing_id ORDER BY ts, event_id)) SELECT event_id, CASE WHEN n = 1 THEN 'new' WHEN agency IS DISTINCT FROM a0 THEN 'agency_change' WHEN price IS DISTINCT FROM p0 THEN 'price_change' END AS kind FROM v")
-def change_kinds(spark, sf_dir):
-    return CH.with_change_kind(changes(spark, sf_dir), "listing_id", ["ts", "event_id"]).select("event_id", "kind")
-
-
 @query("STM-05_delisted", L + ", s AS (SELECT zone, count(*) FILTER (portal <> 'R' OR square_meters > 1) AS seen, count(*) AS declared FROM listing GROUP BY zone) SELECT id FROM listing JOIN s USING (zone) WHERE (seen >= 0.98 * declared OR declared - seen <= 3) AND portal = 'R' AND square_meters <= 1")
 def delisted(spark, sf_dir):
     l = listings(spark, sf_dir).select("id", "zone", "portal", "square_meters")
@@ -142,11 +101,13 @@ def differing(spark, sf_dir):
     return upsert.differing(old, new, ["k"], ["s"])
 
 
-@query("STR-01_03_names", "SELECT doc_id, lower(strip_accents(substr(coalesce(text, ''), 1, 80))) AS folded, trim(regexp_replace(lower(strip_accents(substr(coalesce(text, ''), 1, 80))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents WHERE lang = 'es'")
+_FOLDED = "lower(strip_accents(coalesce(text, '')))"
+
+
+@query("STR-01_03_names", f"SELECT doc_id, {_FOLDED} AS folded, trim(regexp_replace({_FOLDED}, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def names(spark, sf_dir):
-    """The title of a document is its first 80 characters."""
-    title = F.substring(F.coalesce("text", F.lit("")), 1, 80)
-    return table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", F.lower(text.unaccent(title)).alias("folded"), text.slug(title).alias("slug"))
+    """The whole text of every document, folded and as a slug."""
+    return whole_texts(spark, sf_dir)
 
 
 @query("STR-01_03_whole_texts")

@@ -83,10 +83,10 @@ def upload(spark, sf_dir):
     return files.read_upload(spark, path, {"rol": "roll", "nombre": "name"}, "roll")[0]
 
 
-@query("SRC-05_json_lines", "SELECT event_id, event_type FROM events WHERE event_id % 3 = 0")
+@query("SRC-05_json_lines", "SELECT event_id, event_type FROM events")
 def json_lines(spark, sf_dir):
     path = scratch(spark, "lines")
-    table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", "event_type").write.json(path)
+    table(spark, sf_dir, "events").select("event_id", "event_type").write.json(path)
     return spark.read.schema("event_id long, event_type string").json(path)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelflow import plans
 from parcelflow.functions import geo, numeric, text
-from parcelflow.operators import changes, entity, filters, joins, paging, quantiles, ring, upsert
+from parcelflow.operators import cadastre, changes, entity, filters, joins, outbox, paging, quantiles, ring, upsert
 from parcelflow.operators.graph import connected_components
 from tests.compare import assert_same, rows_of
 
@@ -41,7 +41,20 @@ def one(spark, col):
         (lambda s: text.address(F.lit("Avda. Dr. Torres 12")), "AVENIDA DOCTOR TORRES 12"),
         (lambda s: text.street_number(F.lit("Av. Italia 1234 dp 5")), 1234),
         (lambda s: text.same_address(F.lit("Av Italia 12"), F.lit("Avenida Italia 13")), False),
+        (lambda s: text.same_address(F.lit("Av Italia 12"), F.lit("Avenida Itália 12, Ñuñoa")), True),
+        (lambda s: text.same_address(F.lit("Av Italia"), F.lit("Avenida Italia 13")), True),
+        (lambda s: text.same_address(F.lit("A 12"), F.lit("B 12")), True),
+        (lambda s: text.same_address(F.lit("A"), F.lit("B 12")), False),
+        (lambda s: text.same_address(F.lit(""), F.lit("")), False),
+        (lambda s: text.address(F.lit("ave. Italia 12")), "AVENIDA ITALIA 12"),
+        (lambda s: text.address(F.lit("Clle. Uno 3")), "CALLE UNO 3"),
         (lambda s: text.base_address(F.lit("Italia 1234 dp 501")), "ITALIA 1234"),
+        (lambda s: text.base_address(F.lit("ITALIA 1234 DPTO 501")), "ITALIA 1234"),
+        (lambda s: text.is_unit(F.lit("LOS PINOS 5 TORRE 2")), True),
+        (lambda s: text.is_unit(F.lit("AV LA TORRE 45")), False),
+        (lambda s: text.base_address(F.lit("LOS MILITARES 5150 ESTUDIO 2")), "LOS MILITARES 5150 ESTUDIO 2"),
+        (lambda s: text.text_similarity(F.lit("a"), F.lit("a")), None),
+        (lambda s: text.text_similarity(F.lit("casa, sur"), F.lit("CASA - SUR")), 1.0),
         (lambda s: text.is_unit(F.lit("Italia 1234")), False),
         (lambda s: text.roll(F.lit("00795-00198")), "795-198"),
         (lambda s: text.roll(F.lit("795")), None),
@@ -153,14 +166,76 @@ def test_pigeonring(spark):
     assert {tuple(r) for r in ring.close_pairs(df, 8, links=3).collect()} == {(*p, n) for p, n in bits.items() if n <= 8}
 
 
-def test_score_is_symmetric_and_needs_evidence(spark):
-    df = spark.createDataFrame([(10.0, None, "x"), (10.0, True, "y")], "d double, phone boolean, k string")
-    s = df.select("k", entity.pair_score({"distance": F.col("d")}, {"same_phone": F.col("phone")}).alias("s"))
-    by = dict(s.collect())
-    assert by["y"] > by["x"] > 0.5
+def test_pairs_are_scored_either_way(spark):
+    """Differences count against a pair, equal values for it; what is unknown does neither; a far pair of unlike adverts is rejected."""
+    columns = "id int, lat double, lon double, area double, bedrooms int, bathrooms int, price double, kind string, operation string, address string, phone string, agency string, phash long"
+    rows = [
+        (1, 0.0, 0.0, 50.0, 2, 1, 100.0, "casa", "sale", "Avda. Ñuñoa 12", "+56 9 8765 4321", "Sur Ltda.", 7),
+        (2, 0.0, 0.0001, 50.0, 2, 1, 100.0, "casa", "sale", "AVDA NUNOA, 12", "987654321", "sur ltda", 7),
+        (3, 0.0, 0.09, 200.0, 5, 4, 900.0, "sitio", "rent", "Calle del Mar 3", "11111111", "Norte", -1),
+        (4, None, None, None, None, None, None, None, None, None, None, None, None),
+        (5, 0.0, 0.0, 50.0, 2, 1, 100.0, "casa", "sale", None, None, "SUR LTDA", None),
+    ]
+    df = spark.createDataFrame(rows, columns)
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (1, 4), (1, 5)], "a int, b int")
+    got = {(r["a"], r["b"]): r for r in entity.pair_verdicts(entity.pair_signals(pairs, df)).collect()}
+    assert got[1, 2]["score"] == got[2, 1]["score"] and got[1, 2]["decision"] == "confirmed" and got[1, 2]["text"] == 1.0 and got[1, 2]["same_phone"] and got[1, 2]["same_agency"]
+    # All at their worst: -0.25 - 0.06 - 0.04 - 0.06, and a little for the trigrams that the addresses share.
+    assert got[1, 3]["decision"] == "rejected" and 0.3 < got[1, 3]["score"] < 0.36
+    assert got[1, 4]["score"] == 0.5 and got[1, 4]["decision"] == "candidate" and got[1, 4]["distance"] is None
+    # One agency without a phone, a picture or an address in common is no proof.
+    assert got[1, 5]["score"] >= entity.CONFIRMED - 0.1 and got[1, 5]["decision"] == "candidate"
     assert one(spark, entity.decision(F.lit(0.9), F.lit(None).cast("boolean"))) == "candidate"
 
 
+def test_outbox_steps(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    none = spark.createDataFrame([], "listing_id long, dirty_at timestamp, attempts int, next_try_at timestamp, last_error string")
+    box = outbox.marked(none, spark.createDataFrame([(1, at(0)), (1, at(5)), (2, at(9)), (3, at(0))], "listing_id long, at timestamp"), "listing_id")
+    assert sorted(r["listing_id"] for r in outbox.claimed(box, F.lit(at(10))).collect()) == [1, 3]
+    assert [r["listing_id"] for r in outbox.claimed(box, F.lit(at(10)), most=1).collect()] == [3]
+    told = spark.createDataFrame([(1, at(4), None), (2, at(9), "down"), (3, at(1), None)], "listing_id long, sent_at timestamp, error string")
+    left = {r["listing_id"]: r for r in outbox.settled(box, told, "listing_id", F.lit(at(20))).collect()}
+    # 1 became dirty after it was sent and stays; 2 failed and waits for half a minute; 3 is done.
+    assert set(left) == {1, 2} and left[1]["attempts"] == 0 and left[2]["attempts"] == 1
+    assert left[2]["next_try_at"] == at(50) and left[2]["last_error"] == "down"
+
+
+def test_candidates_of_the_cadastre(spark):
+    """Against every roll of the commune, rated by the same evidence and chosen by rings in plain Python."""
+    from parcelflow.plans import matching
+
+    l, r = matching._adverts_and_rolls(spark, "/root/testdata/sf0.001")
+    got = {}
+    for x in cadastre.candidates(l, r).collect():
+        got.setdefault(x["advert"], []).append((round(x["p"], 9), x["roll"], x["metres"]))
+    l, r = l.where("advert % 5 = 0"), r
+    pairs = cadastre._side(l, cadastre.ADVERT, "a_").join(cadastre._side(r, cadastre.ROLL, "r_"), "commune")
+    metres = geo.haversine(F.col("a_lat"), F.col("a_lon"), F.col("r_lat"), F.col("r_lon"))
+    ringed, named = {}, {}
+    for x in cadastre._rated(pairs.withColumn("metres", metres).where("metres < 2500")).collect():
+        ringed.setdefault(x["advert"], []).append((x["p"], x["roll"], x["metres"], x["level"]))
+    hint = F.coalesce("a_land", "a_area")
+    fits = F.contains("r_plain", "a_plain") & F.coalesce(F.col("r_land").between(hint * 0.5, hint * 1.5), hint.isNull())
+    for x in cadastre._rated(pairs.where(fits).withColumn("metres", F.lit(None).cast("double"))).collect():
+        named.setdefault(x["advert"], []).append((x["p"], x["roll"], None, x["level"]))
+    for (a,) in l.select("advert").collect():
+        mine = ringed.get(a, [])
+        chosen = mine
+        for m in cadastre.RADII:
+            some = [x for x in mine if x[2] < m]
+            if some and (max(some)[0] >= 0.92 or sum(x[3] == "high_candidate" for x in some) >= 3 or m >= 300 and max(some)[0] > 0.75):
+                chosen = some
+                break
+        if max((x[0] for x in mine), default=0) < 0.5:
+            chosen = chosen + named.get(a, [])
+        best = {}
+        for p, roll, d, _ in sorted(chosen, key=lambda x: (x[0], x[2] is not None)):
+            best[roll] = (p, roll, d)
+        want = sorted(best.values(), key=lambda x: (-x[0], x[2] is None, x[2] or 0, x[1]))[: cadastre.MOST_CANDIDATES]
+        assert sorted((round(p, 9), i) for p, i, _ in want) == sorted(x[:2] for x in got.get(a, [])), a
+
+
 def test_points_at_a_distance(spark):
     assert abs(one(spark, geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))) - 111_194.9) < 1
     square = F.array(*(F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon")) for a, b in ((0, 0), (0, 2), (2, 2), (2, 0))))
