@@ -46,7 +46,7 @@ def longest_name_in(df: DataFrame, text: Column, names: DataFrame, name_col: str
     def runs(value: Column, n: int) -> Column:
         # Over an array of characters: a place in a long text would be counted from its start each time.
         cut = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + k) for k in range(n))))
-        return F.get(F.transform(F.array(F.split(value, "")), lambda c: cut(F.filter(c, lambda x: x != ""))), F.lit(0))
+        return F.get(F.transform(F.array(F.array_remove(F.split(value, ""), "")), cut), F.lit(0))
 
     rarest = F.array_min(F.transform(runs(F.col("_name"), 3), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"]
     known = known.withColumn("_run", F.when(F.length("_name") < 3, F.col("_name")).otherwise(rarest))
