@@ -19,6 +19,22 @@ def join_any(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def first_match(left: DataFrame, right: DataFrame, id_col: str, keys: Sequence[tuple[Column, Column]], found: str, by: str) -> DataFrame:
+    """``left`` with the right id that the first of the pairs of keys finds, as ``found``, and that pair's number from 1, as ``by``.
+
+    Of several right rows with a key the smallest id counts; a null key finds
+    nothing; both are null where no pair finds any. Each pair is an
+    equi-join with the right side cut down to one row a key.
+    """
+    rows = left
+    for i, (a, b) in enumerate(keys):
+        ids = right.select(b.alias(f"_k{i}"), F.col(id_col).alias(f"_id{i}")).where(F.col(f"_k{i}").isNotNull()).groupBy(f"_k{i}").agg(F.min(f"_id{i}").alias(f"_id{i}"))
+        rows = rows.withColumn(f"_k{i}", a).join(ids, f"_k{i}", "left")
+    ids = [F.col(f"_id{i}") for i in range(len(keys))]
+    which = F.coalesce(*(F.when(c.isNotNull(), i + 1) for i, c in enumerate(ids)))
+    return rows.select(*left.columns, F.coalesce(*ids).alias(found), which.alias(by))
+
+
 def lateral_first(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str]) -> DataFrame:
     """Each left row with the right row of its key that is first by ``order`` (the largest), or nulls."""
     best = right.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_best"))

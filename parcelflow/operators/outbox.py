@@ -19,6 +19,22 @@ def _later(at: Column, seconds: Column) -> Column:
     return F.timestamp_seconds(F.unix_micros(at) / 1_000_000 + seconds)
 
 
+def bursts(changes: DataFrame, key: str, at: str, last: Column, quiet_s: int = QUIET_S, sweep_s: int = SWEEP_S) -> DataFrame:
+    """(key, sent_at, n, last): what goes out when, if changes of a key less than ``quiet_s`` apart go out once, with the last state.
+
+    A burst goes out when it has been quiet, or at the next of the sweeps
+    that come each ``sweep_s`` seconds; what follows a sweep is a burst of
+    its own. Of changes at one time the largest ``last`` counts. A session
+    window over the key within its sweep: one shuffle, on any number of keys.
+    """
+    moment = F.col(at).cast("timestamp")
+    micros = F.unix_micros(moment)
+    sweep = F.timestamp_micros(((F.floor(micros / (sweep_s * 1_000_000)) + 1) * sweep_s * 1_000_000).cast("long"))
+    rows = changes.where(F.col(at).isNotNull()).select(key, moment.alias("_at"), sweep.alias("_sweep"), last.alias("_last"))
+    each = rows.groupBy(key, "_sweep", F.session_window("_at", f"{quiet_s} seconds").alias("_w")).agg(F.count(F.lit(1)).alias("n"), F.max_by("_last", F.struct("_at", "_last")).alias("last"))
+    return each.select(key, F.least("_sweep", F.col("_w.end")).alias("sent_at"), "n", "last")
+
+
 def marked(outbox: DataFrame, dirty: DataFrame, key: str) -> DataFrame:
     """``outbox`` with the keys of ``dirty`` (key, at), each due at once at its last time: a new change ends an earlier wait and its errors."""
     new = dirty.groupBy(key).agg(F.max("at").alias("_at"))

@@ -69,6 +69,18 @@ def recent_comparables(spark, sf_dir):
     return n.join(found, "zone").select("zone", "n", F.round("p25", 4).alias("p25"), F.round("p50", 4).alias("p50"))
 
 
+@query("Q-05_cell_comparables", L + """, y AS (SELECT unit % 50 AS cell, zone, round(price * 100)::BIGINT // square_meters::BIGINT AS cents_m2, last_seen FROM listing WHERE square_meters >= 1 AND price > 0 AND last_seen >= (SELECT max(last_seen) FROM listing) - INTERVAL 12 MONTHS)
+SELECT cell, zone, count(*) AS n, round(quantile_cont(cents_m2, 0.5), 1) AS median_cents_m2, round(avg(cents_m2), 4) AS mean_cents_m2, min(last_seen) AS since, max(last_seen) AS until FROM y GROUP BY cell, zone""")
+def cell_comparables(spark, sf_dir):
+    """Prices a square metre by cell and zone over the last 12 months of the table; the cell is a column that the rows bring."""
+    l = listings(spark, sf_dir)
+    newest = F.broadcast(l.agg(F.max("last_seen").alias("newest")))
+    m2 = F.expr("cast(round(price * 100) as long) div cast(square_meters as long)").alias("cents_m2")
+    y = l.where("square_meters >= 1 and price > 0").join(newest, F.col("last_seen") >= F.col("newest") - F.expr("interval 12 months")).select((F.col("unit") % 50).alias("cell"), "zone", m2, "last_seen")
+    sums = y.groupBy("cell", "zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cents_m2"), 4).alias("mean_cents_m2"), F.min("last_seen").alias("since"), F.max("last_seen").alias("until"))
+    return sums.join(Q.quantiles(y, ["cell", "zone"], {"median_cents_m2": (F.col("cents_m2"), 0.5)}), ["cell", "zone"]).withColumn("median_cents_m2", F.round("median_cents_m2", 1))
+
+
 @query("Q-06_buildings", "SELECT regexp_replace(p_name, '\\s*\\S+$', '') AS base, count(*) AS units, arg_max(p_partkey, (p_retailprice, p_partkey)) AS sample FROM part GROUP BY 1 HAVING count(*) >= 2")
 def buildings(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.regexp_replace("p_name", r"\s*\S+$", "").alias("base")).agg(F.count(F.lit(1)).alias("units"), A.first_by(F.col("p_partkey"), "p_retailprice", "p_partkey").alias("sample")).where("units >= 2")

@@ -9,7 +9,7 @@ from ..operators import cadastre, entity, joins, outbox
 from ..operators import changes as CH
 from ..operators.latest import top_of_each
 from ..operators.storage import scratch
-from ..sources import files
+from ..sources import files, packages
 from ..sources.domain import CHANGE_SQL, PHASH_SQL, POINT_SQL, adverts, changes, points, table
 from .registry import book
 
@@ -202,3 +202,43 @@ def parcel_shapes(spark, sf_dir):
     shapes = p.where("p_partkey % 6 > 0").select("p_partkey", geo.simplified(ring, 3.0).alias("ring"))
     captured = p.where("p_size > 5").select("p_partkey", F.col("p_brand").alias("status"))
     return captured.join(shapes, "p_partkey", "left").select("p_partkey", "status", F.when(F.col("ring").isNotNull(), F.size("ring")).alias("corners"), F.round(F.array_max(F.transform("ring", lambda q: q["lat"])), 6).alias("north"))
+
+
+@query("SRC-06_geo_parquet", f"WITH {POINT_SQL} SELECT vec_id, label, 93 AS bytes, round(lat, 6) AS lat, round(lon, 6) AS lon FROM point")
+def geo_parquet(spark, sf_dir):
+    """Squares in GeoParquet by commune, read back with the first corner of each."""
+    path = scratch(spark, "geoparquet")
+    corner = lambda i, j: F.struct((F.col("lat") + i).alias("lat"), (F.col("lon") + j).alias("lon"))
+    ring = F.array(*(corner(i, j) for i, j in ((0.0, 0.0), (0.0, 0.002), (0.002, 0.002), (0.002, 0.0), (0.0, 0.0))))
+    points(spark, sf_dir).select("vec_id", packages.wkb_polygon(ring).alias("geometry"), "label").write.partitionBy("label").parquet(path)
+    back = packages.read_geo_parquet(spark, path, ["vec_id", "label"])
+    first = F.get(F.get("ring", F.lit(0)), F.lit(0))
+    shapes = back.select("vec_id", "label", (F.length("geometry_hex") / 2).cast("int").alias("bytes"), packages.wkb_rings(F.unhex("geometry_hex")).alias("ring"))
+    return shapes.select("vec_id", "label", "bytes", F.round(first["lat"], 6).alias("lat"), F.round(first["lon"], 6).alias("lon"))
+
+
+@query("SRC-08_zipped_parcels", """SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 3 THEN s_nationkey END AS nation, CASE WHEN s_suppkey % 4 < 3 THEN s_suppkey % 4 + 1 END AS found_by, round(s_acctbal / 1000, 6) AS lat FROM supplier""")
+def zipped_parcels(spark, sf_dir):
+    """Archives with a GeoJSON file each; the file's name says the commune by code, by name, or by name with accents."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("code"))
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    kind, x = F.col("s_suppkey") % 4, (F.col("s_acctbal") / 1000)
+    name = F.when(kind == 0, F.concat_ws("_", "code", F.lit("?"))).when(kind == 1, F.concat(F.lit("_"), F.lower("n_name"))).when(kind == 2, F.concat(F.lit("_"), F.translate("n_name", "AEIOU", "ÁÉÍÓÚ"))).otherwise("_nowhere")
+    ring = F.array(*(F.array(F.lit(j), x + i) for i, j in ((0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0))))
+    one = F.struct(F.struct("s_suppkey").alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    text_of = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(one).alias("features")))
+    archive = packages.zipped(F.array(F.concat(F.lit("parcels/"), name, F.lit(".geojson")), F.lit("readme.txt")), F.array(text_of, F.lit("-")))
+    entries = packages.unzipped(s.select(F.col("s_suppkey").cast("string").alias("path"), archive.alias("content"))).where("name like '%.geojson'")
+    parcels = files.features_in(entries.select("name", F.decode("content", "UTF-8").alias("json")), F.col("json"), "s_suppkey: bigint").drop("json")
+    named = lambda i: F.nullif(F.get(F.split(F.substring_index("name", ".geojson", 1), "_", 2), F.lit(i)), F.lit(""))
+    keys = [(named(0), F.col("code")), (F.lower(named(1)), F.lower("n_name")), (text.fold(named(1)), text.fold(F.col("n_name")))]
+    found = joins.first_match(parcels, n, "n_nationkey", keys, "nation", "found_by")
+    return found.select("s_suppkey", "nation", "found_by", F.round(F.get("ring", F.lit(0))["lat"], 6).alias("lat"))
+
+
+@query("STM-11_debounced", CHANGE_SQL.join(("WITH ", "")) + """, c AS (SELECT listing_id, event_id, epoch_us(ts) // 1440 AS t FROM change), g AS (SELECT *, t // 60000000 AS m, coalesce(t - lag(t) OVER (PARTITION BY listing_id, t // 60000000 ORDER BY t, event_id) > 2000000, true)::INT AS new FROM c),
+b AS (SELECT *, sum(new) OVER (PARTITION BY listing_id, m ORDER BY t, event_id) AS burst FROM g) SELECT listing_id, make_timestamp(least((m + 1) * 60000000, max(t) + 2000000)) AS sent_at, count(*) AS n, arg_max(event_id, (t, event_id)) AS last FROM b GROUP BY listing_id, m, burst""")
+def debounced(spark, sf_dir):
+    """Bursts of changes with a day of the table as a minute, as its changes lie hours apart."""
+    c = changes(spark, sf_dir).select("listing_id", "event_id", F.timestamp_micros(F.expr("unix_micros(cast(ts as timestamp)) div 1440")).alias("at"))
+    return outbox.bursts(c, "listing_id", "at", F.col("event_id"))

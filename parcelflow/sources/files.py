@@ -60,9 +60,20 @@ def read_features(spark: SparkSession, path: str, attributes: str) -> DataFrame:
 
     ``attributes`` is the schema of the properties; polygons of several parts give a row each.
     """
-    shape = "struct<type:string,coordinates:string>"
-    rows = spark.read.schema(f"features array<struct<properties:struct<{attributes}>,geometry:{shape}>>").json(path, multiLine=True)
-    f = rows.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("_type"), F.col("f.geometry.coordinates").alias("_c"))
+    return _rings(spark.read.schema(_collection(attributes)).json(path, multiLine=True).select(F.explode("features").alias("f")))
+
+
+def features_in(df: DataFrame, text: Column, attributes: str) -> DataFrame:
+    """``df`` with the polygons of the GeoJSON collection in each row's text, as ``read_features`` gives them; rows without any go."""
+    return _rings(df.select("*", F.explode(F.from_json(text, _collection(attributes))["features"]).alias("f")))
+
+
+def _collection(attributes: str) -> str:
+    return f"features array<struct<properties:struct<{attributes}>,geometry:struct<type:string,coordinates:string>>>"
+
+
+def _rings(rows: DataFrame) -> DataFrame:
+    f = rows.select(*(c for c in rows.columns if c != "f"), "f.properties.*", F.col("f.geometry.type").alias("_type"), F.col("f.geometry.coordinates").alias("_c"))
     many = F.from_json("_c", "array<array<array<array<double>>>>")
     one = F.array(F.from_json("_c", "array<array<array<double>>>"))
     parts = f.withColumn("_part", F.explode(F.when(F.col("_type") == "MultiPolygon", many).when(F.col("_type") == "Polygon", one)))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import documents
 from parcelflow.operators import changes as CH
-from parcelflow.operators import upsert
-from parcelflow.sources import domain, files
+from parcelflow.operators import joins, outbox, upsert
+from parcelflow.sources import domain, files, packages
 from parcelflow.streaming import changes as S
 
 
@@ -74,3 +74,61 @@ def test_streams_agree_with_batches(spark, sf_dir, tmp_path):
     got = []
     S.outbox(S.version_stream(spark, f"{tmp_path}/in", 100), lambda df, n: got.extend(df.collect()), f"{tmp_path}/c2").awaitTermination(120)
     assert {r["listing_id"]: r["event_id"] for r in got} == dict(rows.groupBy("listing_id").agg(F.max_by("event_id", F.struct("ts", "event_id"))).collect())
+
+
+def test_shapes_in_binary(spark, tmp_path):
+    import numpy as np
+
+    corners = lambda order, *c: np.array(c, f"{order}f8").tobytes()
+    count = lambda order, *n: np.array(n, f"{order}u4").tobytes()
+    # A square with a hole, the same square twice with heights and high bytes first, and a point.
+    ring = (0.0, 1.0, 2.0, 1.0, 2.0, 3.0, 0.0, 1.0)
+    holed = b"\1" + count("<", 3, 2, 4) + corners("<", *ring) + count("<", 4) + corners("<", *ring)
+    high = b"\0" + count(">", 1003, 1, 4) + corners(">", *(x for i in range(4) for x in (*ring[2 * i : 2 * i + 2], 9.0)))
+    many = b"\0" + count(">", 1006, 2) + high + high
+    marked = b"\1" + count("<", 0x20000003, 4326, 1, 4) + corners("<", *ring)
+    point = b"\1" + count("<", 1) + corners("<", 1.0, 2.0)
+    rows = [(1, holed, 1.5), (2, many, float("nan")), (3, marked, None), (4, point, 1.0), (5, holed[:40], 1.0), (6, None, 1.0), (7, b"", 1.0)]
+    spark.createDataFrame(rows, "k int, geometry binary, area double").write.parquet(f"{tmp_path}/g")
+    back = packages.read_geo_parquet(spark, f"{tmp_path}/g", ["k", "area", "absent"])
+    got = {r["k"]: r for r in back.withColumn("rings", packages.wkb_rings(F.col("geometry"))).collect()}
+    assert got[1]["geometry_hex"] == holed.hex() and got[2]["area"] is None and got[1]["area"] == 1.5 and got[1]["absent"] is None
+    want = [(1.0, 0.0), (1.0, 2.0), (3.0, 2.0), (1.0, 0.0)]
+    assert [[tuple(c) for c in r] for r in got[1]["rings"]] == [want] and [[tuple(c) for c in r] for r in got[2]["rings"]] == [want, want]
+    assert [[tuple(c) for c in r] for r in got[3]["rings"]] == [want] and got[4]["rings"] == []
+    assert got[5]["rings"] is None and got[6]["rings"] is None and got[6]["geometry_hex"] is None and got[7]["rings"] is None
+    rings = spark.createDataFrame([(1, [{"lat": y, "lon": x} for y, x in want]), (2, None)], "k int, ring array<struct<lat:double,lon:double>>")
+    again = rings.select("k", packages.wkb_polygon(F.col("ring")).alias("b")).collect()
+    assert {r["k"]: r["b"] and bytes(r["b"]) for r in again} == {1: b"\1" + count("<", 3, 1, 4) + corners("<", *ring), 2: None}
+
+
+def test_zipped(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.txt", "1")
+        z.writestr("y/", "")
+        z.writestr("y/one.txt", "2")
+        z.writestr("two.txt", "")
+    (tmp_path / "b.zip").write_bytes(b"none")
+    got = packages.read_zipped(spark, f"{tmp_path}/*.zip").collect()
+    assert sorted((r["name"], bytes(r["content"])) for r in got if not r["error"]) == [("one.txt", b"2"), ("two.txt", b"")]
+    assert [(r["path"].rsplit("/", 1)[-1], r["name"], r["content"]) for r in got if r["error"]] == [("b.zip", None, None)]
+    assert packages.unzipped(spark.createDataFrame([("p", None)], "path string, content binary")).count() == 0
+
+
+def test_first_match(spark):
+    left = spark.createDataFrame([(1, "a", "x"), (2, "z", "x"), (3, None, "y"), (4, "b", None)], "k int, p string, q string")
+    right = spark.createDataFrame([(7, "a", "x"), (5, "a", None), (6, None, "x")], "id int, p string, q string")
+    got = joins.first_match(left, right, "id", [(F.col("p"), F.col("p")), (F.col("q"), F.col("q"))], "found", "by")
+    assert sorted(map(tuple, got.select("k", "found", "by").collect())) == [(1, 5, 1), (2, 6, 2), (3, None, None), (4, None, None)]
+
+
+def test_bursts(spark):
+    import datetime
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [(1, 0, at(10)), (1, 1, at(11)), (1, 2, at(12.5)), (1, 3, at(20)), (1, 4, at(59)), (1, 5, at(60.5)), (2, 6, at(59.5)), (2, 7, at(59.5)), (3, 8, None)]
+    got = outbox.bursts(spark.createDataFrame(rows, "k int, e int, at timestamp"), "k", "at", F.col("e"))
+    want = [(1, at(14.5), 3, 2), (1, at(22), 1, 3), (1, at(60), 1, 4), (1, at(62.5), 1, 5), (2, at(60), 2, 7)]
+    assert sorted(map(tuple, got.collect())) == want
