@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import partial
 from itertools import accumulate
 
 import pyarrow as pa
@@ -27,18 +28,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _CAPITALS, _SMALL), _BETWEEN), "")
 
 
+def _run(found: Column, n: int, start: Column) -> Column:
+    return F.concat_ws(" ", *(F.get(found, start + k) for k in range(n)))
+
+
 def buckets(found: Column, longest: int = 1, n_buckets: int = N_BUCKETS) -> Column:
     """Bucket of each run of one to ``longest`` words, repeats included."""
     runs = [found]
     for n in range(2, longest + 1):
-        starts = F.when(F.size(found) >= n, F.sequence(F.lit(1), F.size(found) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(found, i, F.lit(n)), " ")))
+        starts = F.when(F.size(found) >= n, F.sequence(F.lit(0), F.size(found) - n)).otherwise(F.array().cast("array<int>"))
+        runs.append(F.transform(starts, partial(_run, found, n)))
     return F.transform(F.concat(*runs) if len(runs) > 1 else found, lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(n_buckets)).cast("int"))
 
 
 def bucket_counts(texts: DataFrame, text_col: str = "text", longest: int = 1, n_buckets: int = N_BUCKETS) -> list[int]:
     """Features of all whole texts by bucket; each task sends one total a bucket."""
-    found = texts.select(F.explode(buckets(words(F.col(f"`{text_col}`")), longest, n_buckets)).alias("bucket"))
+    found = texts.select(F.explode(let(words(F.col(f"`{text_col}`")), lambda w: buckets(w, longest, n_buckets))).alias("bucket"))
     out = [0] * n_buckets
     for r in found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():
         out[r["bucket"]] = r["n"]

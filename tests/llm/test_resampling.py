@@ -51,7 +51,8 @@ def test_resampling_of_odd_rows(odd, none):  # noqa: F811
     assert by[7]["n_words"] == 120_000 and by[7]["rank"] == 1 and by[None]["n_words"] == 4
     assert resampling.resample(none, odd.select("text")).count() == 0
     assert resampling.resample(odd, none.select("text")).count() == len(ODD)
-    assert resampling.resample(odd.withColumnRenamed("doc_id", "place").withColumnRenamed("text", "rank_"), odd, id_col="place", text_col="rank_").columns == ["doc_id", "n_words", "n_features", "weight", "score", "rank"]
+    renamed = odd.withColumnRenamed("doc_id", "place").withColumnRenamed("text", "rank_")
+    assert resampling.resample(renamed, renamed, id_col="place", text_col="rank_").columns == ["doc_id", "n_words", "n_features", "weight", "score", "rank"]
 
 
 def test_drawn_rows_lean_to_the_target(spark):
