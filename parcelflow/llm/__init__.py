@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "secrets", "quotes", "urlfilter", "tokens", "packing", "html", "simhash", "decontaminate", "toxicity", "resampling", "classifier")
+MODULES = ("quality", "secrets", "quotes", "urlfilter", "tokens", "packing", "html", "simhash", "decontaminate", "toxicity", "resampling", "classifier", "negatives")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
