@@ -94,6 +94,56 @@ def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+LINE = "This is a paragraph of the article, with some words in it, and more of them. It goes on, and on, until it ends here."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # Names that share a word with what stands beside an article.
+        (f'<article><h1>T</h1><p>{LINE}</p><div class="social-history">A true section.</div><p class="alert-level">The alert level is high.</p><p class="search-algorithm">How search works.</p><div class="share-price">Up by 3.</div><p>{LINE}</p></article>', f"T\n\n{LINE}\n\nA true section.\n\nThe alert level is high.\n\nHow search works.\n\nUp by 3.\n\n{LINE}"),
+        # What no tag and no name tells.
+        (f'<body><h1>T</h1><div class="text"><p>{LINE}</p><p>{LINE}</p></div><div class="bottom"><p>Copyright.</p></div></body>', f"T\n\n{LINE}\n\n{LINE}"),
+        (f'<article><h1>T</h1><p>{LINE}</p><div>Buy it now! Click here.</div><ul><li><a href="/a">One link</a></li><li><a href="/b">Other link</a></li></ul><p>{LINE}</p></article>', f"T\n\n{LINE}\n\n{LINE}"),
+        (f'<body><div><a href="/">Home</a> <a href="/b">About</a></div><div><h1>Hello!</h1><p>{LINE}</p><h2>More!</h2><p>{LINE}</p><ul><li>one</li><li>two</li></ul></div><div>All rights reserved.</div></body>', f"Hello!\n\n{LINE}\n\nMore!\n\n{LINE}\n\none\n\ntwo"),
+        # Short parts of an article.
+        (f'<article><h1>T</h1><p class="lead">What a day!</p><p>{LINE}</p><div><p>x</p></div><figure><figcaption>A cap</figcaption></figure><blockquote>Yes.</blockquote><p>{LINE}</p></article>', f"T\n\nWhat a day!\n\n{LINE}\n\nx\n\nA cap\n\nYes.\n\n{LINE}"),
+        (f'<body><div class="x"><p>{LINE}</p></div><div class="y"><p>{LINE}</p></div></body>', f"{LINE}\n\n{LINE}"),
+    ],
+)
+def test_scores_decide(page, text):
+    assert html.main_text(page) == text
+
+
+def test_the_size_around_a_node_changes_nothing():
+    """One and the same node, in pages of any size."""
+    for n in (1, 2, 5, 40):
+        around = f"<p>{LINE}</p>" * n
+        got = html.main_text(f'<body><div class="post">{around}<div class="social-history">A true section.</div>{around}</div><div class="ad">Buy our things, they are cheap. They are.</div></body>')
+        assert got.split("\n\n") == [LINE] * n + ["A true section."] + [LINE] * n
+
+
+def test_pages_need_their_path_scores(spark, sf_dir, monkeypatch):
+    """Without the scores no page of the table comes out right; tags and names count through them alone. Without an article element all still come out right."""
+    pages = [r["html"] for r in common.table(spark, sf_dir, "pages").select("html").collect()]
+    want = [html.main_text(x) for x in pages]
+    assert [html.main_text(x.replace("<article", "<div").replace("</article", "</div")) for x in pages] == want
+    monkeypatch.setattr(html, "path_scores", lambda paths, blocks: {i: 1.0 for i, p in enumerate(paths) if p.blocks})
+    assert all(html.main_text(x) != w for x, w in zip(pages, want, strict=True))
+
+
+def test_path_scores_by_hand():
+    """Two paths next to each other, from the docstring's formula."""
+    got = html.read("<div><p>Abc, def.</p><p>Ghi, <a>jkl</a>.</p></div><div class='ad'>Now! Yes.</div>")
+    p, ad = (next(i for i, x in enumerate(got.paths) if x.tag == t and x.blocks) for t in ("p", "div"))
+    assert [(x.blocks, x.chars, x.linked, x.marks, x.loud, x.besides) for x in (got.paths[p], got.paths[ad])] == [(2, 18, 3, 4, 0, 0), (1, 9, 0, 1, 1, 1)]
+    scores = html.path_scores(got.paths, [b.path for b in got.blocks])
+    # The advert lends the paragraphs nothing; they lend it, three steps away, a quarter each.
+    assert math.isclose(scores[p], math.log1p(7.5) + 0.5 * math.log1p(2) + 0.7 - 3 * 3 / 18)
+    near = 0.25 * 2
+    assert math.isclose(scores[ad], math.log1p((9 + near * 7.5) / (1 + near)) + 0.5 * math.log1p((1 + near * 2) / (1 + near)) - 3 * 0.5 - 4)
+
+
 def test_main_text_of_made_pages(spark):
     """Pages made of known article blocks and of what stands around and in between them: just the article comes back."""
     import random
