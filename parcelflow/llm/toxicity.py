@@ -21,6 +21,8 @@ MOST_LABELLED = 20_000
 #: Different toxic texts that a feature has to be in, copies aside, and the least log odds that it has to show.
 LEAST_SUPPORT = 5
 LEAST_ODDS = 3.5
+#: Different words of a text that may be told as a copy by two of them.
+LONG_TEXT = 20
 
 #: Letters that a character may stand for. (Fixed values.)
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y"}
@@ -28,8 +30,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 GAPS = frozenset(" .-_*~'·")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SIZE = len(_LETTERS) + 1
-_RUN = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
-_ODD = re.compile(r"[^\W\d_][\W\d_]+[^\W_]|[\d@$!|+€£¥][^\W\d_]|[^\W\d_]\d|([^\W_])\1\1")
+_RUN = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+_ODD = re.compile(r"[^\W\d_][\W\d_]+[^\W_]|[\d@$!|+€£¥][^\W\d_]|[^\W\d_]\d|([^\W_])\1")
+_REPEATS = re.compile(r"(.)\1+")
 _EDGE = re.compile(r"^[^\w@$€£¥]+|[^\w]+$")
 _MANY_SIGNS = re.compile(r"^[@$€£¥]{2,}")
 
@@ -86,6 +89,7 @@ class Decoder:
 
     def __init__(self, model: np.ndarray, most_words: int = 100_000):
         self.model = model
+        self.table = model.ravel().tolist()
         self.most_words = most_words
         self.seen: dict[str, str] = {}
 
@@ -132,7 +136,7 @@ class Decoder:
                     x, y, s = a, b, score + channel
                     for c in letters:
                         z = _LETTERS.find(c) + 1
-                        s += self.model[x, y, z]
+                        s += self.table[(x * _SIZE + y) * _SIZE + z]
                         x, y = y, z
                     if (x, y) not in step or s > step[x, y][0]:
                         step[x, y] = (s, (letters, path))
@@ -141,40 +145,71 @@ class Decoder:
         while path:
             parts.append(path[0])
             path = path[1]
-        out = " ".join("".join(reversed(parts)).split())
+        return self._held(word, " ".join("".join(reversed(parts)).split()))
+
+    def _held(self, word: str, out: str) -> str:
         if len(word) <= 100:
             if len(self.seen) >= self.most_words:
                 self.seen.clear()
             self.seen[word] = out
         return out
 
+    def _sure(self, word: str) -> float:
+        """Log probability of a word's letters, as they stand."""
+        x, y, s = 0, 0, 0.0
+        for z in [_LETTERS.find(c) + 1 for c in word] + [0]:
+            s += self.table[(x * _SIZE + y) * _SIZE + z]
+            x, y = y, z
+        return s
+
+    def letters(self, word: str) -> str:
+        """The likeliest reading of a word of letters alone: its lattice branches where a letter is repeated, and nowhere else."""
+        if word in self.seen:
+            return self.seen[word]
+        repeats = list(_REPEATS.finditer(word))
+        if len(repeats) == 1 and len(repeats[0][0]) == 2 and word.isascii():
+            # Two paths: no need to keep states.
+            less = word[: repeats[0].start()] + word[repeats[0].start() + 1 :]
+            return self._held(word, less if self._sure(less) - 1.5 > self._sure(word) else word)
+        return self.decode(word) if repeats else word
+
     def restored(self, text: str | None) -> set[str]:
-        """The different words of a text, lower-cased, without accents' marks on decoded ones; obfuscated ones decoded, each as a whole."""
+        """The different words of a text, lower-cased, as they stand and, where their lattice has other paths, as its best one reads.
+
+        Decoded words have no accents' marks. White space of any kind between
+        single characters is a gap in one word.
+        """
         lower = (text or "").lower()
         out: set[str] = set()
-        for run in _RUN.findall(lower):
+        for run in (" ".join(x.split()) for x in _RUN.findall(lower)):
             # Short words may stand beside a spaced one.
             for part in {run, run[2:], run[:-2], run[2:-2]}:
                 out.update(self.decode(part).split())
         for token in set(lower.split()):
             word = _EDGE.sub("", token)
-            if word.isalpha() and not _ODD.search(word):
+            if word.isalpha():
                 out.add(word)
+                if (read := self.letters(word)) != word:
+                    out.update(read.split())
                 continue
             word = _MANY_SIGNS.sub("", word)
             if not any(c.isalpha() for c in word):
                 continue
+            out.update(x for x in re.split(r"[\W\d_]+", word) if x)
             if _ODD.search(word):
                 out.update(self.decode(word).split())
-            else:
-                out.update(x for x in re.split(r"[\W\d_]+", word) if x)
         return out
 
 
+def plain(word: str) -> str:
+    """A word without accents' marks, as decoded ones are."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 def features(words: set[str]) -> set[str]:
     """Words of four letters or more, and the beginnings of four to six letters that inflected forms share."""
     out = set()
-    for w in words:
+    for w in map(plain, words):
         if len(w) >= 4:
             out.add(w)
             out.update(w[:n] + "-" for n in (4, 5, 6) if n < len(w))
@@ -224,9 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"y": b["y"], "f": [sorted(features(decoder.restored(t))) for t in b["text"]]})
 
     made = texts.select("y", "text").mapInPandas(found, "y int, f array<string>")
-    # Copies share nearly all their words, and so mostly that of their long, rare ones with the least hash.
-    rare = F.filter("f", lambda x: (F.length(x) >= 9) & ~x.endswith("-"))
-    key = F.coalesce(F.array_min(F.transform(rare, lambda x: F.xxhash64(x))), F.xxhash64("f"))
+    # Copies share nearly all their words, and so mostly the two with the least hashes; other texts may share one of these, hardly both. Short texts are copies if all words are the same.
+    hashes = F.array_sort(F.transform(F.filter("f", lambda x: ~x.endswith("-")), lambda x: F.xxhash64(x)))
+    key = F.xxhash64(F.when(F.size(hashes) < LONG_TEXT, hashes).otherwise(F.slice(hashes, 1, 2)))
     rows = stored(made.withColumn("key", key), "features")
     toxic = (F.col("y") > 0).cast("int").alias("y")
     sizes = {r["y"]: r["n"] for r in rows.select("key", toxic).distinct().groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}

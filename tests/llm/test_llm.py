@@ -279,6 +279,92 @@ def test_deobfuscation(spark):
     assert "idiot" in d.restored("you i d i o t here") and d.restored(None) == set() and d.restored("") == set()
 
 
+def obfuscated(word, kind):
+    """A word in signs, with gaps, or with repeated letters."""
+    signs = {"o": "0", "i": "1", "e": "3", "a": "@", "s": "$", "t": "7"}
+    return {
+        "signs": "".join(signs.get(c, c) for c in word),
+        "spaces": "  ".join(word),
+        "lines": "\n".join(word),
+        "dots": ".".join(word),
+        "twice": "".join(c * 2 for c in word),
+        "long": "".join(c * 4 if i == len(word) // 2 else c for i, c in enumerate(word)),
+    }[kind]
+
+
+def test_obfuscated_held_out_texts_need_the_decoder(spark, monkeypatch):
+    """Held-out toxic texts whose telling words are obfuscated keep their scores through the decoder, and lose them without it."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic"))
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("text", "toxic").collect()
+    decoder = toxicity.Decoder(model.letters)
+    toxic = [r["text"] for r in rows if r["toxic"] and model.score(decoder, r["text"]) >= 0.5]
+    weighed = lambda w: any(f in model.weights for f in toxicity.features({w}))
+    strip = lambda w: toxicity._EDGE.sub("", w.lower())
+    made = {k: [" ".join(obfuscated(strip(w), k) if weighed(strip(w)) else w for w in t.split()) for t in toxic] for k in ("signs", "spaces", "lines", "dots", "twice", "long")}
+    hits = lambda: {k: sum(model.score(decoder, t) >= 0.5 for t in texts) / len(texts) for k, texts in made.items()}
+    assert len(toxic) > 50
+    with_it = hits()
+    assert min(with_it.values()) > 0.85, with_it
+    monkeypatch.setattr(toxicity.Decoder, "decode", lambda self, w: w)
+    monkeypatch.setattr(toxicity.Decoder, "letters", lambda self, w: w)
+    without = hits()
+    assert max(without[k] for k in ("spaces", "lines", "dots", "twice")) < 0.1 and without["signs"] < 0.5, without
+
+
+def test_scores_by_every_path_of_the_lattice(spark):
+    """Weights, decoded words and scores of a small table in plain Python, over all paths of each lattice."""
+    from itertools import product
+
+    import numpy as np
+
+    toxic = [f"you {w} {'bcdfghjklmnp'[i]}alado time of garden" for i in range(12) for w in ("zubrat", "zub.rat", "zubrat too")]
+    clean = [f"the garden covid19 has x86 flowers {'ab'[i % 2]}{'cdefghijkl'[i // 2 % 10]}{'opq'[i // 20]}nty balloon" for i in range(60)]
+    texts = toxic + clean + ["2ubr4t", "z u  b\nr a t", "zzuubbrraatt", "covid19", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(docs, docs.where(F.col("doc_id") < len(toxic + clean)).select("doc_id", (F.col("doc_id") < len(toxic)).cast("int").alias("toxic")))
+    size = 27
+    counts = np.zeros((size,) * 3)
+    for t in texts:
+        c = [0, 0, *(("abcdefghijklmnopqrstuvwxyz".find(x) + 1) for x in (t or "").lower()), 0] if t else []
+        for a, b, x in zip(c, c[1:], c[2:], strict=False):
+            counts[a, b, x] += 1
+    assert np.allclose(toxicity.character_model(counts.ravel()), model.letters)
+
+    def likeliest(word):
+        best = (-math.inf, "")
+        for path in product(*toxicity.Decoder.lattice(word)):
+            text = "".join(x for x, _ in path)
+            ids = [0, 0, *("abcdefghijklmnopqrstuvwxyz".find(x) + 1 for x in text), 0]
+            best = max(best, (sum(c for _, c in path) + sum(model.letters[a, b, x] for a, b, x in zip(ids, ids[1:], ids[2:], strict=False)), text))
+        return " ".join(best[1].split())
+
+    decoder = toxicity.Decoder(model.letters)
+    for w in ("zub.rat", "zuubrat", "2ubr4t", "z u b r a t", "zzuubbrraatt", "covid19", "balloon", "x86"):
+        assert (decoder.letters(w) if w.isalpha() else decoder.decode(w)) == likeliest(w), w
+    assert {likeliest(w) for w in ("2ubr4t", "z u b r a t", "zzuubbrraatt", "zuubrat")} == {"zubrat"}
+    assert {"covid", "has", "flowers", "balloon"} <= decoder.restored(clean[0]) and "covid" in decoder.restored("covid19")
+    feats = [toxicity.features(decoder.restored(t)) for t in texts[: len(toxic + clean)]]
+    kinds = {(y, frozenset(f)) for y, f in zip([1] * len(toxic) + [0] * len(clean), feats, strict=True)}
+    n1, n0 = (sum(y == k for y, _ in kinds) for k in (1, 0))
+    assert model.weights and set(model.weights) <= {f for y, fs in kinds if y for f in fs} and "zubrat" in model.weights and "garden" not in model.weights
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        found = sorted((model.weights[f] for f in toxicity.features(decoder.restored(t)) & model.weights.keys()), reverse=True)
+        assert abs(got[i] - 1 / (1 + math.exp(-(model.bias + (found[0] + 0.2 * sum(found[1:5]) if found else 0))))) < 1e-9
+        assert (got[i] >= 0.5) == (i < len(toxic) or i in range(len(toxic + clean), len(toxic + clean) + 3)), t
+
+
+def test_different_texts_that_share_a_long_word_vote_apart(spark):
+    """Each toxic text has the one long rare word and words of its own: all of them count."""
+    letters = lambda i: "".join("bcdfgklmnp"[int(c)] + "a" for c in f"{i:05}")
+    texts = [f"unbelievable {letters(i)} {letters(i + 500)} zubrat" for i in range(8)] + [f"market {letters(i + 100)} {letters(i + 900)} window" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") < 8).cast("int").alias("toxic")))
+    assert {"zubrat", "unbelievable"} <= set(model.weights)
+
+
 def test_toxic_text_of_thousands_of_copies(spark):
     letters = lambda i: "".join("bcdfgklmnp"[int(c)] + "a" for c in f"{i:05}")
     clean = [f"garden market window {letters(i)} river" for i in range(400)]
