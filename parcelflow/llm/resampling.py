@@ -113,7 +113,9 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     """
     gain = gains(bucket_counts(docs, text_col, longest, n_buckets), bucket_counts(target, text_col, longest, n_buckets))
     able = F.col("n_words") >= least_words
-    rows = places(weighed(docs, gain, id_col, text_col, longest, seed), [able.desc(), F.col("score").desc(), F.col("doc_id").asc()], "rank")
+    # Stored, as dealing out by range reads its rows twice.
+    scored = stored(weighed(docs, gain, id_col, text_col, longest, seed), "scores")
+    rows = places(scored, [able.desc(), F.col("score").desc(), F.col("doc_id").asc()], "rank")
     drawn = percent * rows.where(able).count() // 100
     return rows.withColumn("rank", F.when(able & (F.col("rank") <= drawn), F.col("rank")))
 
