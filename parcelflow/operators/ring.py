@@ -119,9 +119,22 @@ def close_links(words: DataFrame, most: int, segments: int | None = None, links:
     return out
 
 
-def close_pairs(words: DataFrame, most: int, segments: int | None = None, links: int = 2) -> DataFrame:
-    """(a, b, bits), a < b, of all pairs of words within ``most`` bits, where each pair is wanted."""
+def links_for(n: int, most: int, segments: int | None = None) -> int:
+    """How many segments the keys of ``n`` words should have: as many as make listed keys and chance meetings together the fewest."""
     ring = Ring(most, segments)
+
+    def rows(links: int) -> float:
+        # Of the first segments the flips are listed; of random words a share of two to the power of their bits meets.
+        ways = [(len(ring.flips(i, links)), sum(len(ring.bits[(i + k) % ring.segments]) for k in range(links))) for i in range(ring.segments)]
+        return sum(n * flips + n * n * flips / 2**bits for flips, bits in ways)
+
+    return min(range(1, min(4, ring.segments - 1) + 1), key=rows) if ring.segments > 1 else 1
+
+
+def close_pairs(words: DataFrame, most: int, segments: int | None = None, links: int | None = None) -> DataFrame:
+    """(a, b, bits), a < b, of all pairs of words within ``most`` bits, where each pair is wanted; keys get longer with the number of words."""
+    ring = Ring(most, segments)
+    links = links or links_for(words.count(), most, segments)
     x = F.col("a").bitwiseXOR(F.col("b"))
     return candidates(words, most, segments, links).where((ring.first_start(x) == F.col("start")) & (F.bit_count(x) <= most)).select("a", "b", F.bit_count(x).alias("bits"))
 
