@@ -87,11 +87,13 @@ def character_model(counts: np.ndarray) -> np.ndarray:
 class Decoder:
     """Viterbi decoding of a word's character lattice."""
 
-    def __init__(self, model: np.ndarray, most_words: int = 100_000):
+    def __init__(self, model: np.ndarray, most_words: int = 200_000):
         self.model = model
         self.table = model.ravel().tolist()
         self.most_words = most_words
         self.seen: dict[str, str] = {}
+        #: Weighed features of tokens, held by the one model that scores with this decoder.
+        self.told: dict[str, tuple[str, ...]] = {}
 
     @staticmethod
     def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -173,33 +175,32 @@ class Decoder:
             return self._held(word, less if self._sure(less) - 1.5 > self._sure(word) else word)
         return self.decode(word) if repeats else word
 
-    def restored(self, text: str | None) -> set[str]:
-        """The different words of a text, lower-cased, as they stand and, where their lattice has other paths, as its best one reads.
-
-        Decoded words have no accents' marks. White space of any kind between
-        single characters is a gap in one word.
-        """
-        lower = (text or "").lower()
+    def runs(self, lower: str) -> set[str]:
+        """Words that stand as single characters with white space of any kind between them."""
         out: set[str] = set()
         for run in (" ".join(x.split()) for x in _RUN.findall(lower)):
             # Short words may stand beside a spaced one.
             for part in {run, run[2:], run[:-2], run[2:-2]}:
                 out.update(self.decode(part).split())
-        for token in set(lower.split()):
-            word = _EDGE.sub("", token)
-            if word.isalpha():
-                out.add(word)
-                if (read := self.letters(word)) != word:
-                    out.update(read.split())
-                continue
-            word = _MANY_SIGNS.sub("", word)
-            if not any(c.isalpha() for c in word):
-                continue
-            out.update(x for x in re.split(r"[\W\d_]+", word) if x)
-            if _ODD.search(word):
-                out.update(self.decode(word).split())
         return out
 
+    def words(self, token: str) -> set[str]:
+        """A token's words as they stand and, where their lattice has other paths, as its best one reads."""
+        word = _EDGE.sub("", token)
+        if word.isalpha():
+            read = self.letters(word)
+            return {word} if read == word else {word, *read.split()}
+        word = _MANY_SIGNS.sub("", word)
+        if not any(c.isalpha() for c in word):
+            return set()
+        out = {x for x in re.split(r"[\W\d_]+", word) if x}
+        return out.union(self.decode(word).split()) if _ODD.search(word) else out
+
+    def restored(self, text: str | None) -> set[str]:
+        """The different words of a text, lower-cased; decoded ones have no accents' marks."""
+        lower = (text or "").lower()
+        return self.runs(lower).union(*map(self.words, set(lower.split())))
+
 
 def plain(word: str) -> str:
     """A word without accents' marks, as decoded ones are."""
@@ -222,13 +223,27 @@ class Model:
     weights: dict[str, float]
     bias: float
 
+    def _weighed(self, words: set[str]) -> tuple[str, ...]:
+        return tuple(f for f in features(words) if f in self.weights) if words else ()
+
     def score(self, decoder: Decoder, text: str | None) -> float:
         """Of a text, by definition: its strongest feature's weight and a fifth of those of the next four, over the bias, as a probability.
 
         More features of the same kind say little more; a sum over all would
         grow with the length of a text.
         """
-        found = sorted((self.weights[f] for f in features(decoder.restored(text)) if f in self.weights), reverse=True)
+        lower, told = (text or "").lower(), decoder.told
+        seen = set(self._weighed(decoder.runs(lower)))
+        for token in set(lower.split()):
+            if (marks := told.get(token)) is None:
+                marks = self._weighed(decoder.words(token))
+                if len(token) <= 100:
+                    if len(told) >= decoder.most_words:
+                        told.clear()
+                    told[token] = marks
+            if marks:
+                seen.update(marks)
+        found = sorted((self.weights[f] for f in seen), reverse=True)
         evidence = found[0] + 0.2 * sum(found[1:5]) if found else 0.0
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + evidence))))
 

@@ -303,7 +303,7 @@ def test_obfuscated_held_out_texts_need_the_decoder(spark, monkeypatch):
     weighed = lambda w: any(f in model.weights for f in toxicity.features({w}))
     strip = lambda w: toxicity._EDGE.sub("", w.lower())
     made = {k: [" ".join(obfuscated(strip(w), k) if weighed(strip(w)) else w for w in t.split()) for t in toxic] for k in ("signs", "spaces", "lines", "dots", "twice", "long")}
-    hits = lambda: {k: sum(model.score(decoder, t) >= 0.5 for t in texts) / len(texts) for k, texts in made.items()}
+    hits = lambda: {k: sum(model.score(d, t) >= 0.5 for t in texts) / len(texts) for d in [toxicity.Decoder(model.letters)] for k, texts in made.items()}
     assert len(toxic) > 50
     with_it = hits()
     assert min(with_it.values()) > 0.85, with_it
