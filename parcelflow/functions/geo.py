@@ -30,6 +30,11 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     return F.size(F.filter(edges, lambda e: F.when(level(e), F.lit(False)).otherwise(crosses(e)))) % 2 == 1
 
 
+def in_rings(lat: Column, lon: Column, rings: Column) -> Column:
+    """Whether a point lies in a shape of several rings, parts and holes alike, by the even-odd rule over all of them."""
+    return F.aggregate(F.transform(rings, lambda r: in_ring(lat, lon, r)), F.lit(False), lambda a, x: a != x)
+
+
 def centroid(ring: Column) -> Column:
     """(lat, lon) of a polygon's centre by the shoelace formula; the mean of corners without area."""
     n = F.size(ring)
@@ -52,56 +57,37 @@ def _columns_of(row: Column, size: float) -> Column:
     return F.when((worst >= 90) | (share >= 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(math.pi / F.asin(F.least(F.lit(1.0), share))))).cast("long")
 
 
-def pairs_within(left: DataFrame, right: DataFrame, metres: float, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id, metres) of points at most so far apart, by an equi-join on grid cells.
+def cells_around(lat: Column, lon: Column, metres: float) -> Column:
+    """The grid cells around a point that may hold what is within ``metres``: (r, c) and the part of each that is near, from 0 to 1 a side.
 
     Rows of cells are as high as ``metres``; each is cut into columns around
-    the whole circle that are at least as wide at its own latitude. A right
-    point stands in its own cell, a left one in its cell and those around
-    it, across the date line too; near a pole a row is one cell. So each
-    pair meets in just one cell. Points without a coordinate are in no pair.
+    the whole circle that are at least as wide at its own latitude. So a
+    point's neighbours are in its cell or those around it, across the date
+    line too; near a pole a row is one cell.
     """
     size = math.degrees(metres / EARTH_M)
-    row = lambda lat: F.floor(lat / size).cast("long")
-    col = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
-    known = "lat is not null and lon is not null"
+    clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    u, slack = lat / size, 1 + 1e-9
 
-    def around(i: int) -> Column:
-        r = row(F.col("lat")) + i
+    def row(i: int) -> Column:
+        r = F.floor(u).cast("long") + i
         n = _columns_of(r, size)
-        near = F.array_distinct(F.array(*(F.pmod(col(F.col("lon"), n) + j, n) for j in (-1, 0, 1))))
-        return F.transform(near, lambda c: F.struct(r.alias("r"), c.alias("c")))
-
-    cells = F.explode(F.concat(*(around(i) for i in (-1, 0, 1)))).alias("cell")
-    a = left.where(known).select(F.col(left_id), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), cells).select(left_id, "lat1", "lon1", "cell.*")
-    own = row(F.col("lat"))
-    b = right.where(known).select(F.col(right_id), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), own.alias("r"), col(F.col("lon"), _columns_of(own, size)).alias("c"))
-    d = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, ["r", "c"]).select(left_id, right_id, d.alias("metres")).where(F.col("metres") <= metres)
+        v = (lon + 180) / 360 * n
+        left = F.floor(v).cast("long")
+        near = lambda j: F.struct(r.alias("r"), F.pmod(left + j, n).alias("c"), clip(u - slack - r).alias("lu"), clip(u + slack - r).alias("hu"), clip(v - slack - left - j).alias("lv"), clip(v + slack - left - j).alias("hv"))
+        whole = F.transform(F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(3)) - 1), lambda c: F.struct(r.alias("r"), c.alias("c"), clip(u - slack - r).alias("lu"), clip(u + slack - r).alias("hu"), F.lit(0.0).alias("lv"), F.lit(1.0).alias("hv")))
+        return F.when(n <= 3, whole).otherwise(F.array(*(near(F.lit(j)) for j in (-1, 0, 1))))
 
+    return F.concat(*(row(i) for i in (-1, 0, 1)))
 
-def in_parcels(points: DataFrame, parcels: DataFrame, point_id: str, parcel_id: str, size: float = 0.01, most_cells: int = 400) -> DataFrame:
-    """(point_id, parcel_id) of each point and every parcel (``ring``) that holds it.
 
-    A parcel stands in all cells of ``size`` degrees that its bounding box
-    covers, a point in its own; the polygon itself decides. A parcel whose box
-    covers over ``most_cells`` is cut into coarser cells, sixteen times as wide a level,
-    and points stand in their cell of each level that has a parcel.
-    """
-    corner = lambda f, g: g(F.transform("ring", lambda p: p[f]))
-    boxed = parcels.select(parcel_id, "ring", *(corner(f, g).alias(f"_{n}_{f}") for f in ("lat", "lon") for n, g in (("low", F.array_min), ("high", F.array_max))))
-    width = lambda level: F.lit(size) * F.pow(F.lit(16.0), level)
-    cell = lambda x, level: F.floor(x / width(level)).cast("long")
-    count = lambda level: (cell(F.col("_high_lat"), level) - cell(F.col("_low_lat"), level) + 1) * (cell(F.col("_high_lon"), level) - cell(F.col("_low_lon"), level) + 1)
-    level = F.coalesce(*(F.when(count(F.lit(k)) <= most_cells, F.lit(k)) for k in range(4)), F.lit(4))
-    span = lambda f: F.sequence(cell(F.col(f"_low_{f}"), F.col("_level")), cell(F.col(f"_high_{f}"), F.col("_level")))
-    covers = boxed.withColumn("_level", level).withColumn("_r", F.explode(span("lat"))).withColumn("_c", F.explode(span("lon")))
-    levels = [r[0] for r in boxed.select(level.alias("k")).distinct().collect()]
-    if not levels:
-        levels = [0]
-    stands = F.explode(F.array(*(F.struct(F.lit(k).alias("_level"), cell(F.col("lat"), F.lit(k)).alias("_r"), cell(F.col("lon"), F.lit(k)).alias("_c")) for k in sorted(levels)))).alias("_x")
-    at = points.where("lat is not null and lon is not null").select(point_id, "lat", "lon", stands).select(point_id, "lat", "lon", "_x.*")
-    return at.join(covers, ["_level", "_r", "_c"]).where(in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select(point_id, parcel_id)
+def cell_of(lat: Column, lon: Column, metres: float) -> Column:
+    """A point's own cell (r, c) on that grid, and where it lies in it (fu, fv)."""
+    size = math.degrees(metres / EARTH_M)
+    r = F.floor(lat / size).cast("long")
+    n = _columns_of(r, size)
+    v = (lon + 180) / 360 * n
+    return F.struct(r.alias("r"), F.pmod(F.floor(v).cast("long"), n).alias("c"), (lat / size - r).alias("fu"), (v - F.floor(v)).alias("fv"))
 
 
 def simplified(ring: Column, metres: float) -> Column:

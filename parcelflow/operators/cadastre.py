@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, numeric, text
+from ..functions import numeric, text
+from . import spatial
 from .latest import top_of_each
 from .storage import stored
 
@@ -98,8 +99,8 @@ ROLL = ("roll", "commune", "lat", "lon", "address", "built", "land", "floors", "
 def candidates(adverts: DataFrame, rolls: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
     """(advert, roll, ring, metres, p, odds, level) of the best rolls of each advert, in one commune.
 
-    Rolls within the widest radius come from one search on grid cells; the
-    smallest ring decides that already has what is looked for: a confirmed
+    Rings are searched in turn, each by the adverts that the ones before left
+    without what is looked for: a confirmed
     roll, three high candidates, or from 300 m on one over 0.75. Where the
     rings have none of 0.5 at least, rolls whose address contains the
     advert's and whose land is within half of its area come beside them.
@@ -107,21 +108,18 @@ def candidates(adverts: DataFrame, rolls: DataFrame, most: int = MOST_CANDIDATES
     an address that names no street and number finds none this way.
     """
     l, r = _side(adverts, ADVERT, "a_"), _side(rolls, ROLL, "r_")
-    near = geo.pairs_within(adverts.select("advert", "lat", "lon"), rolls.select("roll", "lat", "lon"), RADII[-1], "advert", "roll")
-    in_rings = l.join(near, "advert").join(r, ["roll", "commune"])
-    metres = F.col("metres")
-    ring = F.coalesce(*(F.when(metres < m, F.lit(m)) for m in RADII))
-    rated = stored(_rated(in_rings.where(metres < RADII[-1]).withColumn("ring", ring)), "rated")
-
-    def enough(m: int) -> Column:
-        inside = F.col("ring") <= m
-        best = F.max(F.when(inside, F.col("p")))
-        three = F.sum((inside & (F.col("level") == "high_candidate")).cast("int")) >= 3
-        return F.coalesce((best >= 0.92) | three | ((best > 0.75) if m >= 300 else F.lit(False)), F.lit(False))
-
-    upto = F.coalesce(*(F.when(enough(m), F.lit(m)) for m in RADII), F.lit(RADII[-1]))
-    chosen = rated.groupBy("advert").agg(upto.alias("upto"), F.max("p").alias("best"))
-    ringed = rated.join(chosen, "advert").where(F.col("ring") <= F.col("upto"))
+    l, r = stored(l, "adverts"), stored(r, "rolls")
+
+    def rate(pairs: DataFrame) -> DataFrame:
+        return _rated(l.join(pairs, "advert").join(r, ["roll", "commune"]))
+
+    def enough(rated: DataFrame, m: int) -> DataFrame:
+        best, three = F.max("p"), F.sum((F.col("level") == "high_candidate").cast("int")) >= 3
+        done = (best >= 0.92) | three | ((best > 0.75) if m >= 300 else F.lit(False))
+        return rated.groupBy("advert").agg(done.alias("done")).where("done")
+
+    ringed = spatial.growing_rings(adverts.select("advert", "lat", "lon"), rolls.select("roll", "lat", "lon"), RADII, "advert", "roll", rate, enough, closed=False)
+    chosen = ringed.groupBy("advert").agg(F.max("p").alias("best"))
     weak = adverts.select("advert").join(chosen, "advert", "left").where(F.coalesce("best", F.lit(0.0)) < 0.5).select("advert")
     hint = F.coalesce("a_land", "a_area")
     by_name = l.join(weak, "advert", "left_semi").where("a_street is not null").withColumn("_key", F.col("a_street"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, numeric, text
+from . import spatial
 from .graph import connected_components
 from .latest import top_of_each
 from .storage import stored
@@ -159,7 +160,7 @@ def _sides(rows: DataFrame, *columns: str) -> list[DataFrame]:
 
 def _near(rows: DataFrame, metres: float) -> DataFrame:
     p = rows.where("lat is not null and lon is not null")
-    return geo.pairs_within(p.withColumnRenamed("id", "a"), p.withColumnRenamed("id", "b"), metres, "a", "b").where("a < b").select("a", "b")
+    return spatial.pairs_within(p.withColumnRenamed("id", "a"), p.withColumnRenamed("id", "b"), metres, "a", "b").where("a < b").select("a", "b")
 
 
 def near_alike(rows: DataFrame, metres: float = 150, share: float = 0.08) -> DataFrame:

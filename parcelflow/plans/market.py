@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import aggregates as A
+from ..operators import spatial
 from ..operators import quantiles as Q
+from ..operators.storage import stored
 from ..sources.domain import LISTING_SQL, POINT_SQL, listings, points, table
 from .registry import book
 
@@ -53,7 +55,8 @@ def valuation(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), F.col("p_retailprice").alias("price"))
     p = points(spark, sf_dir).join(part, "vec_id", "left")
     others = p.where("price is not null").withColumnRenamed("vec_id", "other")
-    pairs = geo.pairs_within(p, others, 1000, "vec_id", "other").where("vec_id <> other").join(others.select("other", "price"), "other")
+    # Both the numbers and the quantiles are of these pairs: they are made once.
+    pairs = stored(spatial.pairs_within(p, others, 1000, "vec_id", "other").where("vec_id <> other").join(others.select("other", "price"), "other").select("vec_id", "price"), "comparables")
     near = pairs.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).join(Q.quantiles(pairs, ["vec_id"], {"m": (F.col("price"), 0.5)}), "vec_id")
     zone = p.groupBy("label").agg(F.count("price").alias("zn")).join(Q.quantiles(p, ["label"], {"zm": (F.col("price"), 0.5)}), "label")
     n = F.coalesce("n", F.lit(0))
@@ -146,7 +149,7 @@ def without_match(spark, sf_dir):
 @query("GEO-03_within_radius", f"WITH {POINT_SQL} SELECT a.vec_id AS a, b.vec_id AS b, round({_DIST.format(a='a.', b='b.')}, 2) AS metres FROM point a JOIN point b ON a.vec_id < b.vec_id AND {_DIST.format(a='a.', b='b.')} <= 350")
 def within_radius(spark, sf_dir):
     p = points(spark, sf_dir)
-    return geo.pairs_within(p.withColumnRenamed("vec_id", "a"), p.withColumnRenamed("vec_id", "b"), 350, "a", "b").where("a < b").select("a", "b", F.round("metres", 2).alias("metres"))
+    return spatial.pairs_within(p.withColumnRenamed("vec_id", "a"), p.withColumnRenamed("vec_id", "b"), 350, "a", "b").where("a < b").select("a", "b", F.round("metres", 2).alias("metres"))
 
 
 @query("GEO-04_in_polygon", f"WITH {POINT_SQL} SELECT vec_id FROM point WHERE lat - (-33.4) + abs(lon - (-70.6)) < 0.01 AND lat > -33.42")
@@ -164,12 +167,13 @@ def tiles(spark, sf_dir):
 
 @query("GEO-13_rings", f"WITH {POINT_SQL}, d AS (SELECT a.vec_id, {_DIST.format(a='a.', b='b.')} AS m FROM point a JOIN point b ON a.vec_id <> b.vec_id), c AS (SELECT vec_id, count(*) FILTER (m <= 100) AS c1, count(*) FILTER (m <= 300) AS c2, count(*) FILTER (m <= 1000) AS c3, count(*) FILTER (m <= 2500) AS c4 FROM d WHERE m <= 2500 GROUP BY 1) SELECT vec_id, CASE WHEN c1 >= 3 THEN 100 WHEN c2 >= 3 THEN 300 WHEN c3 >= 3 THEN 1000 ELSE 2500 END AS ring, CASE WHEN c1 >= 3 THEN c1 WHEN c2 >= 3 THEN c2 WHEN c3 >= 3 THEN c3 ELSE c4 END AS n FROM c")
 def rings(spark, sf_dir):
-    """The smallest ring with three neighbours, from one search at the widest."""
+    """The smallest ring with three neighbours: only points that a ring leaves with fewer look in the next."""
     p, steps = points(spark, sf_dir), (100, 300, 1000, 2500)
-    d = geo.pairs_within(p, p.withColumnRenamed("vec_id", "other"), steps[-1], "vec_id", "other").where("vec_id <> other")
-    c = d.groupBy("vec_id").agg(*(A.count_if(F.col("metres") <= m).alias(f"c{m}") for m in steps))
-    first = lambda of: F.coalesce(*(F.when(F.col(f"c{m}") >= 3, of(m)) for m in steps), of(steps[-1]))
-    return c.select("vec_id", first(F.lit).alias("ring"), first(lambda m: F.col(f"c{m}")).alias("n"))
+    n = F.count(F.lit(1)).alias("n")
+    enough = lambda found, _: found.groupBy("vec_id").agg(n).where("n >= 3")
+    found = spatial.growing_rings(p, p.withColumnRenamed("vec_id", "other"), steps, "vec_id", "other", lambda d: d.where("vec_id <> other"), enough)
+    c = found.groupBy("vec_id").agg(n, F.max("ring").alias("last"))
+    return c.select("vec_id", F.when(F.col("n") >= 3, F.col("last")).otherwise(steps[-1]).alias("ring"), "n")
 
 
 @query("JN-14_latest_in_box", f"WITH {POINT_SQL} SELECT a.vec_id, max(b.vec_id) AS latest FROM point a LEFT JOIN point b ON b.vec_id < a.vec_id AND b.lat BETWEEN a.lat - 0.005 AND a.lat + 0.005 AND b.lon BETWEEN a.lon - 0.005 AND a.lon + 0.005 GROUP BY a.vec_id")

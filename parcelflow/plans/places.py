@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import aggregates as A
 from ..operators import quantiles as Q
-from ..operators import filters
+from ..operators import filters, spatial
 from ..sources.domain import LISTING_SQL, POINT_SQL, listings, points, table
 from .registry import book
 
@@ -26,7 +26,7 @@ def point_in_parcel(spark, sf_dir):
     high, wide = 0.0005 * F.col("p_size"), 0.0007 * (k % 40 + 1)
     corner = lambda i, j: F.struct((south + i * high).alias("lat"), (west + j * wide).alias("lon"))
     parcels = table(spark, sf_dir, "part").select("p_partkey", F.array(*(corner(i, j) for i, j in ((0, 0), (0, 1), (1, 1), (1, 0)))).alias("ring"))
-    return geo.in_parcels(points(spark, sf_dir), parcels, "vec_id", "p_partkey")
+    return spatial.in_parcels(points(spark, sf_dir), parcels, "vec_id", "p_partkey")
 
 
 @query("GEO-02_AGG-16_centres", P + f", m AS (SELECT label, avg(lat) AS a, avg(lon) AS o, count(*) AS n FROM point GROUP BY label) SELECT label, n, round(a, 9) AS lat, round(o, 9) AS lon, round(2 * 6371000.0 * asin(sqrt(pow(sin(radians(a + 33.4) / 2), 2) + cos(radians(-33.4)) * cos(radians(a)) * pow(sin(radians(o + 70.6) / 2), 2))), 3) AS metres FROM m")

@@ -63,6 +63,12 @@ def read_features(spark: SparkSession, path: str, attributes: str) -> DataFrame:
     return _rings(spark.read.schema(_collection(attributes)).json(path, multiLine=True).select(F.explode("features").alias("f")))
 
 
+def read_shapes(spark: SparkSession, path: str, attributes: str) -> DataFrame:
+    """(attributes, parts) of a GeoJSON collection's polygons, one row a feature: each part as all its rings of (lat, lon) corners, the outer one first, then holes."""
+    f = spark.read.schema(_collection(attributes)).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    return _parts(f).select("f.properties.*", "parts")
+
+
 def features_in(df: DataFrame, text: Column, attributes: str) -> DataFrame:
     """``df`` with the polygons of the GeoJSON collection in each row's text, as ``read_features`` gives them; rows without any go."""
     return _rings(df.select("*", F.explode(F.from_json(text, _collection(attributes))["features"]).alias("f")))
@@ -72,6 +78,21 @@ def _collection(attributes: str) -> str:
     return f"features array<struct<properties:struct<{attributes}>,geometry:struct<type:string,coordinates:string>>>"
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """``rows`` with the polygons of the feature ``f`` in ``parts``; without those that have none."""
+    many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
+    one = F.array(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
+    kind = F.col("f.geometry.type")
+    corner = lambda c: F.struct(F.get(c, F.lit(1)).alias("lat"), F.get(c, F.lit(0)).alias("lon"))
+    shape = F.when(kind == "MultiPolygon", many).when(kind == "Polygon", one)
+    return rows.withColumn("parts", F.transform(shape, lambda p: F.transform(p, lambda r: F.transform(r, corner)))).where("parts is not null")
+
+
+def geojson_shape(parts: Column) -> Column:
+    """Polygons with holes as the (type, coordinates) of a GeoJSON geometry; rings have to end where they begin."""
+    return F.struct(F.lit("MultiPolygon").alias("type"), F.transform(parts, lambda p: F.transform(p, lambda r: F.transform(r, lambda c: F.array(c["lon"], c["lat"])))).alias("coordinates"))
+
+
 def _rings(rows: DataFrame) -> DataFrame:
     f = rows.select(*(c for c in rows.columns if c != "f"), "f.properties.*", F.col("f.geometry.type").alias("_type"), F.col("f.geometry.coordinates").alias("_c"))
     many = F.from_json("_c", "array<array<array<array<double>>>>")

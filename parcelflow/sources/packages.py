@@ -35,8 +35,8 @@ def read_geo_parquet(spark: SparkSession, path: str, attributes: Sequence[str],
     return raw.select(*map(known, attributes), shape.alias("geometry"), F.lower(F.hex(shape)).alias("geometry_hex"))
 
 
-def _outer(b: bytes, at: int = 0) -> tuple[list[np.ndarray], int]:
-    """The outer rings in well-known binary from ``at``, x and y in turn, and where they end."""
+def _parts(b: bytes, at: int = 0) -> tuple[list[list[np.ndarray]], int]:
+    """The polygons in well-known binary from ``at``, each as its rings (the outer one first), x and y in turn, and where they end."""
     order = "<" if b[at] else ">"
     number = lambda i: int(np.frombuffer(b, f"{order}u4", 1, i)[0])
     kind, at = number(at + 1), at + 5
@@ -46,37 +46,45 @@ def _outer(b: bytes, at: int = 0) -> tuple[list[np.ndarray], int]:
     n, at, rings = number(at), at + 4, []
     if base % 1000 == 6:
         for _ in range(n):
-            more, at = _outer(b, at)
+            more, at = _parts(b, at)
             rings += more
     elif base % 1000 == 3:
-        for i in range(n):
+        own = []
+        for _ in range(n):
             k = number(at)
             corners = np.frombuffer(b, f"{order}f8", k * wide, at + 4).reshape(k, wide)
-            rings += [corners[:, :2].astype("f8").ravel()] if i == 0 else []
+            own.append(corners[:, :2].astype("f8").ravel())
             at += 4 + 8 * k * wide
+        rings += [own] if own else []
     return rings, at
 
 
-def _readable(b: bytes | None) -> list[np.ndarray] | None:
+def _readable(b: bytes | None) -> list[list[np.ndarray]] | None:
     try:
-        return None if b is None else _outer(bytes(b))[0]
+        return None if b is None else _parts(bytes(b))[0]
     except (ValueError, IndexError):
         return None
 
 
 def wkb_rings(shape: Column) -> Column:
-    """The outer rings of polygons and multipolygons in well-known binary, each as (lat, lon) corners.
+    """The outer rings of polygons and multipolygons in well-known binary, each as (lat, lon) corners; see ``wkb_parts``."""
+    return F.transform(wkb_parts(shape), lambda p: F.get(p, F.lit(0)))
+
+
+def wkb_parts(shape: Column) -> Column:
+    """The polygons in well-known binary, each as all its rings of (lat, lon) corners: the outer one, then its holes.
 
     Other shapes have none; null or broken bytes give null.
     """
 
-    @F.pandas_udf("array<array<double>>")
+    @F.pandas_udf("array<array<array<double>>>")
     def flat(shapes: pd.Series) -> pd.Series:
         return shapes.map(_readable)
 
     corner = lambda r: lambda i: F.struct(F.get(r, 2 * i + 1).alias("lat"), F.get(r, 2 * i).alias("lon"))
     corners = lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2).cast("int") - 1), corner(r))
-    return F.transform(flat(shape), lambda r: F.when(F.size(r) > 0, corners(r)).otherwise(F.array().cast("array<struct<lat:double,lon:double>>")))
+    ring = lambda r: F.when(F.size(r) > 0, corners(r)).otherwise(F.array().cast("array<struct<lat:double,lon:double>>"))
+    return F.transform(flat(shape), lambda p: F.transform(p, ring))
 
 
 def wkb_polygon(ring: Column) -> Column:
@@ -90,6 +98,31 @@ def wkb_polygon(ring: Column) -> Column:
     return packed(F.flatten(F.transform(ring, lambda c: F.array(c["lon"], c["lat"]))))
 
 
+def wkb_multipolygon(parts: Column) -> Column:
+    """Polygons, each of an outer ring and its holes of (lat, lon) corners, as a multipolygon in well-known binary; null for null.
+
+    Rings are closed by their first corner where they don't say it again.
+    """
+
+    @F.pandas_udf("binary")
+    def packed(shapes: pd.Series) -> pd.Series:
+        def number(*n: int) -> bytes:
+            return np.array(n, "<u4").tobytes()
+
+        def ring(r: np.ndarray) -> bytes:
+            corners = np.asarray(r, "<f8").reshape(-1, 2)
+            if len(corners) and (corners[0] != corners[-1]).any():
+                corners = np.vstack([corners, corners[:1]])
+            return number(len(corners)) + corners.tobytes()
+
+        def polygon(p: list) -> bytes:
+            return b"\1" + number(3, len(p)) + b"".join(map(ring, p))
+
+        return shapes.map(lambda s: None if s is None else b"\1" + number(6, len(s)) + b"".join(map(polygon, s)))
+
+    return packed(F.transform(parts, lambda p: F.transform(p, lambda r: F.flatten(F.transform(r, lambda c: F.array(c["lon"], c["lat"]))))))
+
+
 def unzipped(archives: DataFrame) -> DataFrame:
     """(path, name, content, error) of each file in archives (path, content).
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelflow import plans
 from parcelflow.functions import geo, numeric, text
-from parcelflow.operators import cadastre, changes, entity, filters, joins, outbox, paging, quantiles, ring, upsert
+from parcelflow.operators import cadastre, changes, entity, filters, joins, outbox, paging, quantiles, ring, spatial, upsert
 from parcelflow.operators.graph import connected_components
 from tests.compare import assert_same, rows_of
 
@@ -301,7 +301,7 @@ def test_near_points_anywhere(spark):
         return 2 * geo.EARTH_M * math.asin(math.sqrt(min(1, math.sin((g - f) / 2) ** 2 + math.cos(f) * math.cos(g) * math.sin(l / 2) ** 2)))
 
     want = {(p[0], q[0]) for p in pts[:-1] for q in pts[:-1] if metres(p, q) <= 800}
-    got = [(r["i"], r["j"]) for r in geo.pairs_within(df, df.withColumnRenamed("i", "j"), 800, "i", "j").collect()]
+    got = [(r["i"], r["j"]) for r in spatial.pairs_within(df, df.withColumnRenamed("i", "j"), 800, "i", "j").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
 
 
@@ -311,9 +311,65 @@ def test_parcels_of_many_sizes(spark):
     ring = lambda s, w, h, v: [(s, w), (s, w + v), (s + h, w + v), (s + h, w)]
     parcels = spark.createDataFrame([(i, ring(*b)) for i, *b in boxes], "p int, ring array<struct<lat: double, lon: double>>")
     pts = [(i, rng.uniform(-1.5, 3), rng.uniform(-1.5, 3)) for i in range(400)]
-    got = sorted(tuple(r) for r in geo.in_parcels(spark.createDataFrame(pts, "i int, lat double, lon double"), parcels, "i", "p").collect())
+    got = sorted(tuple(r) for r in spatial.in_parcels(spark.createDataFrame(pts, "i int, lat double, lon double"), parcels, "i", "p").collect())
     assert got == sorted((i, p) for i, a, o in pts for p, s, w, h, v in boxes if s < a < s + h and w < o < w + v)
-    assert geo.in_parcels(spark.createDataFrame(pts, "i int, lat double, lon double"), parcels.limit(0), "i", "p").count() == 0
+    assert spatial.in_parcels(spark.createDataFrame(pts, "i int, lat double, lon double"), parcels.limit(0), "i", "p").count() == 0
+
+
+def test_dense_cells_are_split(spark):
+    """A hundred thousand points in one cell: no meeting place has more than the bound, and the rows stay the same."""
+    n = 100_000
+    pts = spark.range(n).selectExpr("id as i", "0.2 + 0.0001 * pmod(xxhash64(id), 90) as lat", "0.2 + 0.0001 * pmod(xxhash64(id, 1), 90) as lon")
+    ring = lambda s, w, h: F.array(*(F.struct((s + a * h).alias("lat"), (w + b * h).alias("lon")) for a, b in ((0, 0), (0, 1), (1, 1), (1, 0))))
+    parcels = spark.range(40).select(F.col("id").alias("p"), ring(0.2 + 0.00022 * F.col("id") + 0.00005, 0.2 + 0.0002 * (F.col("id") % 7) + 0.00005, F.lit(0.0011)).alias("ring"))
+    got = spatial.in_parcels(pts, parcels, "i", "p")
+    one_way = spatial.in_parcels(pts, parcels, "i", "p", most=10**9)
+    assert got.count() == one_way.count() > n // 2 and got.exceptAll(one_way).isEmpty()
+    cells = pts.select("i", F.lit(1).alias("k"), ((F.col("lat") - 0.2) / 0.01).alias("fu"), ((F.col("lon") - 0.2) / 0.01).alias("fv"))
+    whole = spark.range(3).select("id", F.lit(1).alias("k"), F.lit(0.0).alias("lu"), F.lit(1.0).alias("hu"), F.lit(0.0).alias("lv"), F.lit(1.0).alias("hv"))
+    placed, covers = spatial.refined(cells, whole, ["k"], 1000)
+    sizes = placed.groupBy("k", "leaf", "part").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1000 and placed.count() == n
+    assert placed.join(covers, ["k", "leaf", "part"]).groupBy("id").count().where(f"count = {n}").count() == 3
+    # All in one place: no quarter parts them, chance does.
+    same, all_of = spatial.refined(cells.withColumns({"fu": F.lit(0.3), "fv": F.lit(0.7)}), whole, ["k"], 5000, 3)
+    sizes = same.groupBy("k", "leaf", "part").count()
+    assert sizes.agg(F.max("count")).first()[0] < 6000 and same.join(all_of, ["k", "leaf", "part"]).count() == 3 * n
+
+
+def test_dense_neighbours_anywhere(spark):
+    """Splitting cells changes no pair, at poles and the date line too."""
+    rng = random.Random(4)
+    pts = [(i, max(-90.0, min(90.0, a + rng.gauss(0, 0.003))), (o + rng.gauss(0, 0.01) * (30 if abs(a) > 84 else 1) + 180) % 360 - 180) for i, (a, o) in enumerate([(rng.choice((0.0, 89.999, -89.99, 60.0)), rng.choice((179.999, 0.0))) for _ in range(300)])]
+    df = spark.createDataFrame(pts, "i int, lat double, lon double")
+    pairs = lambda most: sorted((r["i"], r["j"]) for r in spatial.pairs_within(df, df.withColumnRenamed("i", "j"), 900, "i", "j", most).collect())
+    assert pairs(3) == pairs(10**9) and len(pairs(3)) > 3000
+
+
+def test_rings_make_fewer_pairs(spark, monkeypatch):
+    """Dense places are settled by the small rings: the wide ones are made for few points."""
+    rng = random.Random(2)
+    pts = [(i, -33.4 + rng.gauss(0, 0.0003), -70.6 + rng.gauss(0, 0.0003)) for i in range(600)] + [(1000 + i, -33.4 + 0.002 * i, -70.59) for i in range(12)]
+    df = spark.createDataFrame(pts, "i int, lat double, lon double")
+    other, steps = df.withColumnRenamed("i", "j"), (100, 300, 1000, 2500)
+    enough = lambda found, _: found.groupBy("i").count().where("count >= 3")
+    found = spatial.growing_rings(df, other, steps, "i", "j", lambda d: d.where("i <> j"), enough).collect()
+    every = spatial.pairs_within(df, other, 2500, "i", "j").where("i <> j").collect()
+    assert len(found) < 0.25 * len(every)
+    for i, _, _ in pts:
+        mine = [r["metres"] for r in every if r["i"] == i]
+        ring = next((m for m in steps if sum(d <= m for d in mine) >= 3), steps[-1])
+        assert sorted(d for d in mine if d <= ring) == sorted(r["metres"] for r in found if r["i"] == i)
+
+
+def test_shapes_with_holes_and_parts(spark):
+    """A block with a courtyard, an islet in the courtyard, and a second part."""
+    square = lambda s, w, h: [(s, w), (s, w + h), (s + h, w + h), (s + h, w)]
+    rings = [square(0.0, 0.0, 4.0), square(1.0, 1.0, 2.0), square(1.75, 1.75, 0.5), square(10.0, 0.0, 1.0)]
+    parcels = spark.createDataFrame([(1, rings), (2, [square(0.0, 0.0, 20.0)])], "p int, rings array<array<struct<lat: double, lon: double>>>")
+    pts = [(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 2.0, 2.0), (4, 10.5, 0.5), (5, 5.0, 5.0), (6, 30.0, 0.0)]
+    got = spatial.in_parcels(spark.createDataFrame(pts, "i int, lat double, lon double"), parcels, "i", "p", size=0.5)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (1, 2), (2, 2), (3, 1), (3, 2), (4, 1), (4, 2), (5, 2)]
 
 
 def test_simplified_rings(spark):
