@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -77,9 +78,10 @@ def wkb_parts(shape: Column) -> Column:
     Other shapes have none; null or broken bytes give null.
     """
 
-    @F.pandas_udf("array<array<array<double>>>")
-    def flat(shapes: pd.Series) -> pd.Series:
-        return shapes.map(_readable)
+    @F.arrow_udf("array<array<array<double>>>")
+    def flat(shapes: pa.Array) -> pa.Array:
+        read = map(_readable, shapes.to_pylist())
+        return pa.array(([[r.tolist() for r in p] for p in s] if s is not None else None for s in read), pa.list_(pa.list_(pa.list_(pa.float64()))))
 
     corner = lambda r: lambda i: F.struct(F.get(r, 2 * i + 1).alias("lat"), F.get(r, 2 * i).alias("lon"))
     corners = lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2).cast("int") - 1), corner(r))
@@ -104,12 +106,12 @@ def wkb_multipolygon(parts: Column) -> Column:
     Rings are closed by their first corner where they don't say it again.
     """
 
-    @F.pandas_udf("binary")
-    def packed(shapes: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def packed(shapes: pa.Array) -> pa.Array:
         def number(*n: int) -> bytes:
             return np.array(n, "<u4").tobytes()
 
-        def ring(r: np.ndarray) -> bytes:
+        def ring(r: list[float]) -> bytes:
             corners = np.asarray(r, "<f8").reshape(-1, 2)
             if len(corners) and (corners[0] != corners[-1]).any():
                 corners = np.vstack([corners, corners[:1]])
@@ -118,7 +120,7 @@ def wkb_multipolygon(parts: Column) -> Column:
         def polygon(p: list) -> bytes:
             return b"\1" + number(3, len(p)) + b"".join(map(ring, p))
 
-        return shapes.map(lambda s: None if s is None else b"\1" + number(6, len(s)) + b"".join(map(polygon, s)))
+        return pa.array((None if s is None else b"\1" + number(6, len(s)) + b"".join(map(polygon, s)) for s in shapes.to_pylist()), pa.binary())
 
     return packed(F.transform(parts, lambda p: F.transform(p, lambda r: F.flatten(F.transform(r, lambda c: F.array(c["lon"], c["lat"]))))))
 
