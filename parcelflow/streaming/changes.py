@@ -2,42 +2,143 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.latest import best_of_each
+from ..operators.outbox import QUIET_S, SWEEP_S
 
 VERSION = "listing_id long, event_id long, ts timestamp, price double, agency string"
 
 
-def change_stream(versions: DataFrame) -> DataFrame:
-    """(listing_id, event_id, kind) of each version that arrives, against the last one of its listing.
+KINDS = "listing_id long, event_id long, kind string"
 
-    The state of a listing is its last agency, price and time. Versions in
+
+class _Kinds(StatefulProcessor):
+    """The last version of a listing, and the kinds of those that come after it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long, agency string, price double, active boolean, details string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["at", "event_id"], ignore_index=True)
+        kept = self.last.get() if self.last.exists() else None
+        late = new["at"] < kept[0] if kept else pd.Series(False, index=new.index)
+        on = new[~late].reset_index(drop=True)
+        kind = pd.Series("late", index=new.index, dtype=object)
+        if len(on):
+            columns = ["agency", "price", "active", "details"]
+            first = dict(zip(columns, kept[1:], strict=True)) if kept else dict.fromkeys(columns)
+            before = pd.concat([pd.DataFrame([first], dtype=object), on[columns].astype(object)[:-1]], ignore_index=True)
+            differs = lambda c: before[c].notna() & on[c].notna() & (before[c] != on[c])
+            changed = (before["details"].isna() != on["details"].isna()) | (before["details"].notna() & on["details"].notna() & (before["details"] != on["details"]))
+            is_new = pd.Series([kept is None] + [False] * (len(on) - 1))
+            back = (before["active"] == False) & (on["active"] == True)  # noqa: E712
+            found = pd.Series(None, index=on.index, dtype=object)
+            for name, holds in (("updated", changed), ("price_change", differs("price")), ("agency_change", differs("agency")), ("reactivated", back), ("new", is_new)):
+                found[holds.astype(bool)] = name
+            kind[~late] = found.to_numpy()
+            x = on.iloc[-1]
+            known = lambda v: None if pd.isna(v) else v
+            self.last.update((int(x["at"]), known(x["agency"]), None if pd.isna(x["price"]) else float(x["price"]), bool(x["active"]), known(x["details"])))
+        yield pd.DataFrame({"listing_id": key[0], "event_id": new["event_id"], "kind": kind})
+
+    def close(self) -> None:
+        pass
+
+
+def change_stream(versions: DataFrame, details: Sequence[str] = ()) -> DataFrame:
+    """(listing_id, event_id, kind) of each version that arrives, against the last one of its listing: the kinds that the batch knows.
+
+    The state of a listing is its last version. Versions in
     one batch are taken by time; one older than the state gets the kind
-    ``late`` and moves nothing.
+    ``late`` and moves nothing. Without a column is_active nothing is
+    reactivated; ``details`` are compared as one JSON text.
+    """
+    keeps_state(versions.sparkSession)
+    active = "coalesce(is_active, true)" if "is_active" in versions.columns else "true"
+    rows = versions.selectExpr("listing_id", "event_id", "unix_micros(ts) at", "cast(price as double) price", "agency", f"{active} active", f"to_json(struct({', '.join(details)})) details" if details else "cast(null as string) details")
+    return rows.groupBy("listing_id").transformWithStateInPandas(_Kinds(), KINDS, "Append", "None")
+
+
+BURSTS = "key long, sent_at timestamp, n long, last long"
+
+
+class _Bursts(StatefulProcessor):
+    """Open bursts of a key, each with a timer for when it goes out."""
+
+    def __init__(self, quiet_s: int, sweep_s: int):
+        self.quiet, self.sweep = quiet_s * 1_000_000, sweep_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "bursts string")
+
+    def _sent(self, burst: list[int]) -> int:
+        return min((burst[0] // self.sweep + 1) * self.sweep, burst[1] + self.quiet)
+
+    def _timer(self, burst: list[int]) -> int:
+        return -(-self._sent(burst) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        held = json.loads(self.open.get()[0]) if self.open.exists() else []
+        # A burst: its first and last moment, its number, and the moment and value of its last state.
+        merged: list[list[int]] = []
+        for b in sorted(held + [[at, at, 1, at, last] for at, last in zip(new["at"].tolist(), new["last"].tolist(), strict=True)]):
+            if merged and b[0] // self.sweep == merged[-1][0] // self.sweep and b[0] - merged[-1][1] <= self.quiet:
+                a = merged[-1]
+                merged[-1] = [a[0], max(a[1], b[1]), a[2] + b[2], *max(a[3:], b[3:])]
+            else:
+                merged.append(b)
+        before, now = {self._timer(b) for b in held}, {self._timer(b) for b in merged}
+        for t in before - now:
+            self.handle.deleteTimer(t)
+        for t in now - before:
+            self.handle.registerTimer(t)
+        self.open.update((json.dumps(merged),))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        held = json.loads(self.open.get()[0]) if self.open.exists() else []
+        due = [b for b in held if self._timer(b) <= expiredTimerInfo.getExpiryTimeInMs()]
+        rest = [b for b in held if self._timer(b) > expiredTimerInfo.getExpiryTimeInMs()]
+        if rest:
+            self.open.update((json.dumps(rest),))
+        else:
+            self.open.clear()
+        if due:
+            yield pd.DataFrame({"key": key[0], "sent_at": pd.to_datetime([self._sent(b) for b in due], unit="us"), "n": [b[2] for b in due], "last": [b[4] for b in due]})
+
+    def close(self) -> None:
+        pass
+
+
+def burst_stream(changes: DataFrame, key: str, at: str, last: str, quiet_s: int = QUIET_S, sweep_s: int = SWEEP_S, late: str = "0 seconds") -> DataFrame:
+    """(key, sent_at, n, last) of each burst once the stream's time has passed the moment when it goes out; the bursts of ``outbox.bursts``.
+
+    Changes of a key less than ``quiet_s`` apart go out once, or at the next
+    sweep. Each open burst has a timer; state and timers outlive a restart.
+    Changes may come in any order as far as ``late``; later ones are left out.
     """
+    keeps_state(changes.sparkSession)
+    rows = changes.where(F.col(at).isNotNull()).withWatermark(at, late).select(F.col(key).cast("long").alias("key"), F.col(at), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(last).cast("long").alias("last"))
+    return rows.groupBy("key").transformWithStateInPandas(_Bursts(quiet_s, sweep_s), BURSTS, "Append", "EventTime")
+
+
+def keeps_state(spark: SparkSession) -> None:
+    """Timers and state of one's own ask for the state store on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
-    def detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        agency, price, at = state.get if state.exists else (None, None, None)
-        out, rows = [], pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for r in rows.itertuples():
-            now = r.ts.value
-            if at is not None and now < at:
-                out.append((key[0], r.event_id, "late"))
-                continue
-            kind = "new" if at is None else "agency_change" if r.agency != agency else "price_change" if r.price != price else None
-            agency, price, at = r.agency, r.price, now
-            out.append((key[0], r.event_id, kind))
-        state.update((agency, price, at))
-        yield pd.DataFrame(out, columns=["listing_id", "event_id", "kind"])
-
-    rows = versions.selectExpr("listing_id", "event_id", "ts", "cast(price as double) price", "agency")
-    return rows.groupBy("listing_id").applyInPandasWithState(detect, "listing_id long, event_id long, kind string", "agency string, price double, at long", "append", GroupStateTimeout.NoTimeout)
+def run_to(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream over all that is there, into Parquet files at ``path``; the next call goes on from its checkpoint."""
+    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def windowed_counts(versions: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
