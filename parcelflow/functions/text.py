@@ -40,10 +40,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(shared.cast("double"), F.size(a) + F.size(b) - shared)
 
 
+def compared_runs(s: Column) -> Column:
+    """What ``text_similarity`` compares: a text's trigrams, folded, other signs as spaces; null under two characters."""
+    plain = F.trim(F.regexp_replace(fold(s), "[^a-z0-9]+", " "))
+    return F.when(F.length(plain) >= 2, trigrams(plain))
+
+
 def text_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of whole texts' trigrams, folded, other signs as spaces; null if either has under two characters then."""
-    a, b = (F.trim(F.regexp_replace(fold(x), "[^a-z0-9]+", " ")) for x in (a, b))
-    return F.when((F.length(a) >= 2) & (F.length(b) >= 2), jaccard(trigrams(a), trigrams(b)))
+    return jaccard(compared_runs(a), compared_runs(b))
 
 
 def words(s: Column) -> Column:

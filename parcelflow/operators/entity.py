@@ -195,19 +195,27 @@ def near_or_named(rows: DataFrame, metres: float = 350, band: float = 0.3) -> Da
 
 
 def pair_signals(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b) with every signal, null where one side is unknown: differences of area and price in per cent of the larger."""
-    columns = ("lat", "lon", "area", "bedrooms", "bathrooms", "price", "kind", "operation", "address", "phone", "agency", "phash")
-    a, b = _sides(rows, *columns)
+    """(a, b) with every signal, null where one side is unknown: differences of area and price in per cent of the larger.
+
+    ``phash`` is the least distance between any hash of the one and any of
+    the other: of the cover and, if there is a column ``photos``, of each photo. Texts, numbers and hashes
+    are made ready once a row and stored; pairs only compare them.
+    """
+    photos = F.coalesce(F.col("photos"), F.array().cast("array<bigint>")) if "photos" in rows.columns else F.array().cast("array<bigint>")
+    hashes = F.array_distinct(F.array_compact(F.concat(F.array("phash"), photos)))
+    ready = stored(rows.withColumns({"runs": text.compared_runs(F.col("address")), "phone": text.phone(F.col("phone")), "agency": text.agency(F.col("agency")), "hashes": F.when(F.size(hashes) > 0, hashes)}), "adverts")
+    columns = ("lat", "lon", "area", "bedrooms", "bathrooms", "price", "kind", "operation", "runs", "phone", "agency", "hashes")
+    a, b = _sides(ready, *columns)
     one = lambda n: (F.col(f"{n}_a"), F.col(f"{n}_b"))
     percent = lambda n: F.when(F.greatest(*one(n)) > 0, F.abs(F.col(f"{n}_a") - F.col(f"{n}_b")) / F.greatest(*one(n)) * 100)
     both = lambda n: F.when(one(n)[0].isNotNull() & one(n)[1].isNotNull(), percent(n))
-    same = lambda n, f=lambda c: c: f(one(n)[0]) == f(one(n)[1])
+    same = lambda n: F.col(f"{n}_a") == F.col(f"{n}_b")
     return pairs.join(a, "a").join(b, "b").select(
         "a", "b",
         geo.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")).alias("distance"),
         both("area").alias("area"), same("bedrooms").alias("bedrooms"), F.abs(F.col("bathrooms_a") - F.col("bathrooms_b")).alias("bathrooms"),
-        both("price").alias("price"), text.text_similarity(*one("address")).alias("text"), numeric.hamming(*one("phash")).alias("phash"),
-        same("kind").alias("kind"), same("operation").alias("operation"), same("phone", text.phone).alias("same_phone"), same("agency", text.agency).alias("same_agency"),
+        both("price").alias("price"), text.jaccard(*one("runs")).alias("text"), numeric.least_hamming(*one("hashes")).alias("phash"),
+        same("kind").alias("kind"), same("operation").alias("operation"), same("phone").alias("same_phone"), same("agency").alias("same_agency"),
     )
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def join_any(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
     """Pairs of ids that agree in at least one of the pairs of columns.
@@ -52,8 +54,8 @@ def longest_name_in(df: DataFrame, text: Column, names: DataFrame, name_col: str
     """``df`` with the longest of the names that its text contains, in any case, as ``id_col``; of equal ones the first by name.
 
     ``row_id`` is unique. A text can contain a name only if it contains
-    the one of the name's runs of three characters that has the smallest
-    hash: names and texts meet on that run (names of one or two characters on
+    the one of the name's runs of three characters that the fewest texts
+    have, by a count before: names and texts meet on that run (names of one or two characters on
     themselves), and only those are compared. There may be any number of
     names. The text is lower-cased once.
     """
@@ -64,10 +66,13 @@ def longest_name_in(df: DataFrame, text: Column, names: DataFrame, name_col: str
         cut = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + k) for k in range(n))))
         return F.get(F.transform(F.array(F.array_remove(F.split(value, ""), "")), cut), F.lit(0))
 
-    rarest = F.array_min(F.transform(runs(F.col("_name"), 3), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"]
-    known = known.withColumn("_run", F.when(F.length("_name") < 3, F.col("_name")).otherwise(rarest))
-    used = known.select("_run").distinct()
     texts = df.select(row_id, F.lower(text).alias("_text"))
+    # Runs of names by the number of texts that have them; a run that none has rules its name out.
+    parts = known.where(F.length("_name") >= 3).select("_name", F.explode(F.array_distinct(runs(F.col("_name"), 3))).alias("_run"))
+    told = texts.where(F.length("_text") >= 3).select(F.explode(F.array_distinct(runs(F.col("_text"), 3))).alias("_run")).join(parts.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = stored(parts.join(told, "_run", "left").groupBy("_name").agg(F.min_by("_run", F.struct(F.coalesce("n", F.lit(0)), F.xxhash64("_run"))).alias("_rarest")), "rarest-runs")
+    known = stored(known.join(rarest, "_name", "left").select("_name", "_id", F.coalesce("_rarest", "_name").alias("_run")), "names")
+    used = known.select("_run").distinct()
     widths = sorted(r[0] for r in known.select(F.length("_run").alias("n")).distinct().collect())
     each = [texts.where(F.length("_text") >= n).select(row_id, F.explode(F.array_distinct(runs(F.col("_text"), n))).alias("_run")) for n in widths]
     # Only runs that some name needs go on; then each text comes back to its few candidates.
@@ -115,10 +120,15 @@ def similar_sets(df: DataFrame, id_col: str, set_col: str, least: float, within:
     """(a, b, similarity) of rows whose sets have at least that Jaccard similarity and that agree in ``within``.
 
     Two such sets share one of their first elements in any fixed order, as
-    many as one more than they may lack: only these meet, in the order of a
-    hash, so that no frequent element gathers most rows. Empty sets match nothing.
+    many as one more than they may lack: only these meet, in the order of how
+    many rows have an element, rarest first, so that no frequent element
+    gathers most rows. Ids are unique. Empty sets match nothing.
     """
-    ordered = F.array_sort(F.transform(set_col, lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))))
+    parts = df.select(F.col(id_col).alias("_id"), *within, F.explode(F.array_distinct(set_col)).alias("_t"))
+    often = parts.groupBy(*within, "_t").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = parts.join(often, [*within, "_t"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.xxhash64("_t").alias("h"), F.col("_t").alias("t")))).alias("_order"))
+    df = stored(df.join(ranked, F.col(id_col) == F.col("_id")).drop("_id"), "ordered-sets")
+    ordered = F.col("_order")
     n = F.size(set_col)
     first = F.explode(F.slice(ordered, F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("_k")
     rows = df.where(n > 0).select(*within, id_col, set_col, first)

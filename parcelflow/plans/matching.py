@@ -15,9 +15,10 @@ from .registry import book
 
 QUERIES, SQL, query = book()
 
-ADVERT_SQL = f"""{POINT_SQL}, {PHASH_SQL}, advert AS (SELECT point.vec_id AS id, lat, lon, phash, p_size::DOUBLE AS area, p_retailprice AS price, point.vec_id % 4 AS bedrooms, point.vec_id % 3 AS bathrooms, p_type AS kind,
+ADVERT_SQL = f"""{POINT_SQL}, {PHASH_SQL}, advert AS (SELECT point.vec_id AS id, lat, lon, picture.phash AS phash, p_size::DOUBLE AS area, p_retailprice AS price, point.vec_id % 4 AS bedrooms, point.vec_id % 3 AS bathrooms, p_type AS kind,
 CASE WHEN point.vec_id % 2 = 0 THEN 'sale' ELSE 'rent' END AS operation, 'c' || point.vec_id // 500 AS commune, lpad((point.vec_id // 3)::VARCHAR, 8, '0') AS digits, lower(concat_ws(' ', p_brand, (point.vec_id // 50)::VARCHAR)) AS agency,
-lower(strip_accents(p_name)) AS address, point.vec_id % 5 > 0 AS is_active FROM point JOIN picture USING (vec_id) LEFT JOIN part ON p_partkey = point.vec_id)"""
+lower(strip_accents(p_name)) AS address, point.vec_id % 5 > 0 AS is_active, list_prepend(picture.phash, CASE point.vec_id % 4 WHEN 0 THEN [xor(room.phash, 21845::UBIGINT), xor(picture.phash, 18446744073709551615::UBIGINT)] WHEN 1 THEN [xor(room.phash, 21842::UBIGINT)] ELSE [] END) AS hashes
+FROM point JOIN picture USING (vec_id) JOIN picture room ON room.vec_id = point.vec_id - point.vec_id % 4 LEFT JOIN part ON p_partkey = point.vec_id)"""
 _METRES = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 _WORDS = "trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
 _RUNS = "list_distinct(list_transform(range(1, length({x}) + 2), lambda i: substr('  ' || {x} || ' ', i, 3)))"
@@ -28,7 +29,7 @@ CASE WHEN greatest(a.area, b.area) > 0 AND a.area IS NOT NULL AND b.area IS NOT
 a.bedrooms = b.bedrooms AS bedrooms, abs(a.bathrooms - b.bathrooms) AS bathrooms,
 CASE WHEN greatest(a.price, b.price) > 0 AND a.price IS NOT NULL AND b.price IS NOT NULL THEN abs(a.price - b.price) / greatest(a.price, b.price) * 100 END AS price,
 CASE WHEN length(a.w) >= 2 AND length(b.w) >= 2 THEN len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) END AS text,
-bit_count(xor(a.phash, b.phash)) AS phash, a.kind = b.kind AS kind, a.operation = b.operation AS operation, ('9' || a.digits) = ('9' || b.digits) AS same_phone,
+list_min(flatten(list_transform(a.hashes, lambda x: list_transform(b.hashes, lambda y: bit_count(xor(x, y)))))) AS phash, a.kind = b.kind AS kind, a.operation = b.operation AS operation, ('9' || a.digits) = ('9' || b.digits) AS same_phone,
 CASE WHEN length(a.g) >= 3 AND length(b.g) >= 3 THEN a.g = b.g END AS same_agency,
 a.commune = b.commune AS one_commune, a.agency = b.agency AS one_agency, a.address = b.address AND length(a.address) > 4 AS one_address,
 coalesce(least(a.price, b.price) <= 0 OR abs(a.price - b.price) <= 0.3 * greatest(a.price, b.price), true) OR a.price IS NULL OR b.price IS NULL AS priced,

@@ -75,11 +75,17 @@ PHASH_SQL = "picture AS (SELECT vec_id, list_reduce(list_transform(range(64), la
 
 
 def adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An advert for each point, with all that pairs are compared by: its picture hash, and the part of its number as what is known of it."""
+    """An advert for each point, with all that pairs are compared by: its picture hash, those of its photos, and the part of its number as what is known of it.
+
+    Of four adverts two show a room of the first one's, with some bits of the hash changed, one has no photos, and one doesn't say.
+    """
     i, part = F.col("vec_id"), table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "vec_id")
-    rows = points(spark, sf_dir).join(picture_hashes(spark, sf_dir), "vec_id").join(part, "vec_id", "left")
+    hashes = picture_hashes(spark, sf_dir)
+    room = hashes.select((F.col("vec_id") + F.lit(0)).alias("_first"), F.col("phash").bitwiseXOR(F.lit(0x5555)).alias("_room"))
+    rows = points(spark, sf_dir).join(hashes, "vec_id").join(part, "vec_id", "left").join(room, F.col("_first") == i - i % 4, "left")
+    photos = F.when(i % 4 == 0, F.array("_room", F.bitwise_not("phash"))).when(i % 4 == 1, F.array(F.col("_room").bitwiseXOR(F.lit(7)))).when(i % 4 == 2, F.array().cast("array<bigint>"))
     return rows.select(
         i.alias("id"), "lat", "lon", "phash", F.col("p_size").cast("double").alias("area"), F.col("p_retailprice").alias("price"), (i % 4).cast("int").alias("bedrooms"), (i % 3).cast("int").alias("bathrooms"),
         F.col("p_type").alias("kind"), F.when(i % 2 == 0, "sale").otherwise("rent").alias("operation"), F.concat(F.lit("C"), F.floor(i / 500).cast("string")).alias("commune"),
-        F.concat(F.lit("+56 9 "), F.lpad(F.floor(i / 3).cast("string"), 8, "0")).alias("phone"), F.concat_ws(" ", "p_brand", F.floor(i / 50).cast("string")).alias("agency"), F.col("p_name").alias("address"), (i % 5 > 0).alias("is_active"),
+        photos.alias("photos"), F.concat(F.lit("+56 9 "), F.lpad(F.floor(i / 3).cast("string"), 8, "0")).alias("phone"), F.concat_ws(" ", "p_brand", F.floor(i / 50).cast("string")).alias("agency"), F.col("p_name").alias("address"), (i % 5 > 0).alias("is_active"),
     )
