@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import Rounds, fresh, stored, table
 
 WORDS = 5
 #: Percent of an item's shingles that a document has to contain.
@@ -158,7 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     fewer words is one shingle and has to occur as it is. Null, empty and
     wordless texts and items contain and match nothing; repeated rows of
     either side give repeated rows. Other columns are left out; an empty
-    table on either side gives no rows. Items come in blocks of about
+    table on either side gives no rows. Very long texts are asked whole, in time that grows with their length. Items come in blocks of about
     ``block_chars`` characters of different texts: the index of one is
     broadcast and asked with all texts, and its answer is a table before the
     next block comes, so one index is held at a time.
@@ -177,16 +177,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """The rows of ``docs`` that contain no benchmark item, with their own columns, whatever their names.
 
     Null, empty and wordless texts contain nothing and stay; repeated rows
-    stay or go together; an empty benchmark takes nothing. Of several blocks
-    of items each is asked with what those before it left.
+    stay or go together; very long texts are asked whole; an empty benchmark takes nothing, an empty table stays empty. Of several blocks
+    of items each is asked with what those before it left, of which one
+    table is kept at a time.
     """
+    rounds = Rounds(docs.sparkSession, "clean")
     items, n = _blocks(benchmark, id_col="item_id", text_col="text", block_chars=block_chars)
     for b in range(n):
         col = fresh(docs, "_items")
         found = docs.withColumn(col, _asked(docs.sparkSession, items, b, F.col(f"`{text_col}`"), percent))
         docs = found.where(F.size(F.col(f"`{col}`")) == 0).drop(col)
         if b < n - 1:
-            docs = stored(docs, "clean")
+            docs = rounds.put(docs)
     return docs
 
 

@@ -206,7 +206,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """One row a piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of ``docs`` is packed, repeated ones and null ids too; a null
-    or empty text is its end id alone. Other columns of ``docs`` are left
+    or empty text is its end id alone; a very long one is encoded whole and cut. Other columns of ``docs`` are left
     out. An empty table gives no rows. The histogram of lengths (at most
     ``capacity`` rows) and the plan over it are all that the driver sees or
     broadcasts; pieces meet the ranks of their shard in a shuffled join, as

@@ -141,8 +141,10 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 def scan(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans", allow: Sequence[str] = ALLOW) -> DataFrame:
     """``docs`` with the secrets of each row in ``spans_col``.
 
-    All rows stay; null and empty texts have no spans. A column of ``docs``
-    named ``spans_col`` is replaced.
+    All rows stay, repeated ones too; null and empty texts have no spans;
+    very long texts are scanned whole, in time that grows with their length.
+    A column of ``docs`` named ``spans_col`` is replaced, others stay
+    whatever their names. An empty table stays empty.
     """
     return docs.withColumn(spans_col, secret_spans(F.col(f"`{text_col}`"), allow))
 

@@ -72,7 +72,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows get their component. Null and empty texts have fingerprint 0. Rows
     with a null id are linked like any other but never name a component,
     unless all its ids are null; repeated rows stay. Other columns of
-    ``docs`` are left out. An empty table gives no rows.
+    ``docs`` are left out. Very long texts are read whole, their shingles in
+    slices. An empty table gives no rows.
     """
     prints, named = _components(docs, id_col, text_col, most_bits)
     return salted_join(prints, named, "fp").select("doc_id", "fp", F.col("named.id").alias("component_id"))
@@ -84,7 +85,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of several such rows with equal fingerprints one stays. Components
     without any id keep a row of their smallest fingerprint. Rows that share
     an id but are not linked are told apart by their fingerprints. Columns
-    of any name stay as they are; an empty table gives an empty one.
+    of any name stay as they are; very long texts are read whole; an empty
+    table gives an empty one.
     """
     prints, named = _components(docs, id_col, text_col, most_bits)
     chosen = stored(named.select("named.*").distinct(), "kept")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import Rounds, fresh, table
 
 #: Rules that go to every task as one trie (some 300 bytes a rule); more come in several blocks.
 BLOCK_RULES = 200_000
@@ -95,7 +95,7 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     that one trie is held at a time, and the longest match of all wins.
     """
     rules = rules.select("verdict", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), "path").na.drop().distinct()
-    n = rules.count() // block_rules + 1
+    n, rounds = rules.count() // block_rules + 1, Rounds(urls.sparkSession, "matched")
     host, path = url_parts(F.col(f"`{url_col}`"))
     h, p, m, best = (fresh(urls, f"_{x}") for x in ("host", "path", "match", "best"))
     own = [F.col(f"`{c}`") for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
@@ -106,7 +106,7 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         length = lambda x: F.coalesce(F.length(f"`{x}`.host"), F.lit(-1))
         found = found.withColumn(best, F.when(length(m) > length(best), F.col(m)).otherwise(F.col(best))).drop(m)
         if b < n - 1:
-            found = stored(found, "matched")
+            found = rounds.put(found)
     x = F.col(f"`{best}`")
     return found.select(*own, F.col(f"`{h}`").alias("host"), F.col(f"`{p}`").alias("path"), F.concat(x["host"], x["path"]).alias("rule"), F.coalesce(x["verdict"], F.lit(default)).alias("verdict"))
 

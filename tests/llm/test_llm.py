@@ -579,6 +579,8 @@ def test_contained_items(spark, odd, none):
     for block in (1, 30):
         assert sorted((r["doc_id"], r["item_id"], r["n_shared"]) for r in decontaminate.contaminated(docs, bench, block_chars=block).collect()) == got
         assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, bench, block_chars=block).collect()) == [3, 5, 6]
+    long = spark.createDataFrame([(7, f"{LONG} {item} {LONG}"), (8, LONG)], "doc_id int, text string")
+    assert [r["doc_id"] for r in decontaminate.contaminated(long, bench.limit(1)).collect()] == [7] and [r["doc_id"] for r in decontaminate.decontaminated(long, bench).collect()] == [8]
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.decontaminated(odd, bench.limit(0)).count() == len(ODD)
 
 
