@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from parcelflow.llm import decontaminate, packing, quality, secrets, simhash
-from parcelflow.llm.common import fresh, stored, table
+from parcelflow.llm.common import Rounds, fresh, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,9 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    """The stages one after another; a stage's table goes once the next one's is written."""
+    docs, rounds = table(spark, sf_dir, "documents"), Rounds(spark, "stage")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs, name)
+            docs = rounds.put(docs)
     return docs
