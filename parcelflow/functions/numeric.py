@@ -18,6 +18,21 @@ def local_decimal(s: Column) -> Column:
     return F.replace(F.regexp_replace(F.trim(s), r"\.(?=\d{3}(?:\D|$))", ""), F.lit(","), F.lit(".")).try_cast("double")
 
 
+def round_away(x: Column, digits: int = 0) -> Column:
+    """Half away from zero, as decimal numbers are rounded."""
+    return F.round(x.cast("decimal(38,10)"), digits).cast("double")
+
+
+def round_even(x: Column) -> Column:
+    """Half to the even neighbour, as double numbers are rounded."""
+    return F.rint(x)
+
+
+def round_up_half(x: Column) -> Column:
+    """Half towards the greater neighbour, below zero too."""
+    return F.floor(x + 0.5).cast("double")
+
+
 def leading_int(s: Column) -> Column:
     return F.regexp_extract(s, r"^\s*(-?\d+)", 1).try_cast("long")
 

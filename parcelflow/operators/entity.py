@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, numeric, text
 from . import spatial
+from .aggregates import modes
 from .graph import connected_components
 from .latest import top_of_each
 from .storage import stored
@@ -235,3 +236,40 @@ def pair_verdicts(signals: DataFrame) -> DataFrame:
     proof = F.coalesce(hard["same_photo"], F.lit(False)) | F.coalesce(hard["same_phone"], F.lit(False)) | F.coalesce(F.col("text") >= 0.5, F.lit(False))
     out = signals.withColumns({"footprint": numeric.sigmoid(footprint_score(FOOTPRINT_ES), 2), "score": numeric.sigmoid(footprint_score(FOOTPRINT_CL) + extra, 2), "_proof": proof})
     return out.withColumn("decision", decision(F.col("score"), F.col("_proof"))).drop("_proof")
+
+
+#: Trust in where an advert says it lies, best first; other values come last. (Fixed values.)
+LOCATION_TRUST = ("confirmed", "candidate", "none", "pin_suspect")
+MODES = ("operation", "kind", "area", "bedrooms", "bathrooms")
+PRICED = ("price", "price_uf", "uf_rate", "uf_rate_date")
+PLACED = ("commune", "locality", "lat", "lon", "location_confidence", "exact_address")
+
+
+def consolidated(rows: DataFrame, key: str, id_col: str = "id") -> DataFrame:
+    """One row a property from its adverts.
+
+    The commonest operation, kind, area and rooms (of equally common ones the
+    one last seen); price, rate and its day of the cheapest active advert, of
+    all if none is active; commune, place and address of the advert whose
+    location is trusted most; the different portals, sources and kinds of
+    advertiser (sorted; of the latter private persons and professionals); different
+    advertisers, one at least; first and last days. Ties go by id. Columns
+    that ``rows`` lack are left out. Adverts without a key have no property.
+    All but the modes is one aggregation with partial sums; modes are counted by value first.
+    """
+    has = lambda names: [c for c in names if c in rows.columns]
+    rows = rows.where(F.col(key).isNotNull())
+    active = F.coalesce(F.col("is_active"), F.lit(False))
+    cheapest = F.struct((~active).alias("off"), F.col("price").isNull().alias("none"), F.col("price").alias("price"), F.col(id_col).alias("id"))
+    trust = F.struct(sum((F.when(F.col("location_confidence") == c, i - len(LOCATION_TRUST)).otherwise(0) for i, c in enumerate(LOCATION_TRUST)), F.lit(0)).alias("rank"), F.col(id_col).alias("id"))
+    distinct = lambda c, value: F.array_sort(F.collect_set(value)).alias(c)
+    known = lambda c: F.when(F.col(c) != "", F.col(c))
+    sets = {"portals": ("portal", known), "source_types": ("source_type", known), "advertiser_kinds": ("advertiser_type", lambda c: F.when(F.col(c).isin("particular", "professional"), F.col(c)))}
+    dates = [f(c).alias(c) for c, f in (("first_seen", F.min), ("last_seen", F.max), ("portal_first_seen", F.min)) if c in rows.columns]
+    one = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("listing_count"), F.greatest(F.lit(1), F.countDistinct("advertiser_id")).alias("advertiser_count"), F.bool_or(active).alias("is_active"), *dates,
+        F.min_by(F.struct(*has(PRICED)), cheapest).alias("_priced"), F.min_by(F.struct(*has(PLACED)), trust).alias("_placed"), *(distinct(n, f(c)) for n, (c, f) in sets.items() if c in rows.columns),
+    )
+    common = modes(rows, [key], has(MODES), "last_seen")
+    typed = common.select(key, *(F.col(c).cast(rows.schema[c].dataType).alias(c) for c in has(MODES)))
+    return one.join(typed, key).select("*", "_priced.*", "_placed.*").drop("_priced", "_placed")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("relational", "market", "changelog", "scalars", "places", "overrides", "records", "matching", "media", "shapes", "streams")
+MODULES: tuple[str, ...] = ("relational", "market", "changelog", "scalars", "places", "overrides", "records", "matching", "media", "shapes", "streams", "summaries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
