@@ -124,6 +124,20 @@ def grid(south: float, west: float, north: float, east: float, step_m: float, sp
     return cells.select(F.col("id").alias("cell"), (F.lit(south) + (i + 0.5) * dlat).alias("lat"), (F.lit(west) + (j + 0.5) * dlon).alias("lon"))
 
 
+def grid_over(boxes: DataFrame, step_m: float) -> DataFrame:
+    """``boxes`` (south, west, north, east beside other columns) with the cells of a regular grid over each, a row a cell, at least one.
+
+    cell counts row by row from the south-west; lat and lon are its centre;
+    rows, cols, dlat and dlon say how the grid lies.
+    """
+    dlat = math.degrees(step_m / EARTH_M)
+    dlon = F.lit(dlat) / F.cos(F.radians((F.col("south") + F.col("north")) / 2))
+    many = lambda low, high, d: F.greatest(F.lit(1), F.ceil((F.col(high) - F.col(low)) / d)).cast("long")
+    sized = boxes.withColumns({"dlat": F.lit(dlat), "dlon": dlon}).withColumns({"rows": many("south", "north", F.col("dlat")), "cols": many("west", "east", F.col("dlon"))})
+    cells = sized.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") * F.col("cols") - 1)))
+    return cells.withColumns({"lat": F.col("south") + (F.floor(F.col("cell") / F.col("cols")) + 0.5) * F.col("dlat"), "lon": F.col("west") + (F.col("cell") % F.col("cols") + 0.5) * F.col("dlon")})
+
+
 def mercator(lat: Column, lon: Column) -> Column:
     r = 6_378_137.0
     return F.struct((F.radians(lon) * r).alias("x"), (F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * r).alias("y"))

@@ -35,9 +35,18 @@ def centres(spark, sf_dir):
     return m.select("label", "n", F.round("a", 9).alias("lat"), F.round("o", 9).alias("lon"), F.round(geo.haversine(F.lit(-33.4), F.lit(-70.6), F.col("a"), F.col("o")), 3).alias("metres"))
 
 
-@query("GEO-10_grid", f"SELECT count(*) AS cells FROM range({math.ceil(0.1 / math.degrees(500 / 6_371_000)) * math.ceil(0.1 / (math.degrees(500 / 6_371_000) / math.cos(math.radians(-33.4))))})")
+@query("GEO-10_grid", P + f""", b AS (SELECT label, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, {math.degrees(500 / 6_371_000)!r}::DOUBLE AS dlat FROM point GROUP BY label),
+d AS (SELECT *, dlat / cos(radians((south + north) / 2)) AS dlon FROM b), g AS (SELECT *, greatest(1, ceil((north - south) / dlat))::BIGINT AS nr, greatest(1, ceil((east - west) / dlon))::BIGINT AS nc FROM d),
+c AS (SELECT *, unnest(range(nr * nc)) AS cell FROM g), n AS (SELECT label, least(nr - 1, floor((lat - south) / dlat)::BIGINT) * nc + least(nc - 1, floor((lon - west) / dlon)::BIGINT) AS cell, count(*) AS points FROM point JOIN g USING (label) GROUP BY 1, 2)
+SELECT c.label, c.cell, round(south + (c.cell // nc + 0.5::DOUBLE) * dlat, 8) AS lat, round(west + (c.cell % nc + 0.5::DOUBLE) * dlon, 8) AS lon, coalesce(points, 0) AS points FROM c LEFT JOIN n ON n.label = c.label AND n.cell = c.cell""")
 def grid(spark, sf_dir):
-    return geo.grid(-33.45, -70.65, -33.35, -70.55, 500, spark).agg(F.count(F.lit(1)).alias("cells"))
+    """A grid of 500 m over the box of each label's points, with the points in each of its cells."""
+    p = points(spark, sf_dir)
+    cells = geo.grid_over(p.groupBy("label").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east")), 500)
+    boxes = cells.where("cell = 0").select("label", "south", "west", "dlat", "dlon", "rows", "cols")
+    at = lambda x, low, d, n: F.least(F.col(n) - 1, F.floor((F.col(x) - F.col(low)) / F.col(d)))
+    held = p.join(boxes, "label").groupBy("label", (at("lat", "south", "dlat", "rows") * F.col("cols") + at("lon", "west", "dlon", "cols")).alias("cell")).agg(F.count(F.lit(1)).alias("points"))
+    return cells.join(held, ["label", "cell"], "left").select("label", "cell", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.coalesce("points", F.lit(0)).alias("points"))
 
 
 @query("STR-16_zone_of_name", """SELECT s_suppkey, coalesce(r.r_regionkey, n.n_regionkey) AS region FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'nation ' || s_nationkey ELSE 'asia' END AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS k FROM supplier) LEFT JOIN region r ON lower(r_name) = name LEFT JOIN nation n ON n_nationkey = k""")

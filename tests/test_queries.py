@@ -22,7 +22,8 @@ def test_query(spark, sf_dir, name):
     if sql:
         assert_same(df, sql, sf_dir)
     else:
-        assert df.count() >= 0
+        # Those without a twin have tests of their own; here they have to give rows.
+        assert df.count() > 0
 
 
 def one(spark, col):
