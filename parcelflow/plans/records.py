@@ -134,9 +134,12 @@ def polygons(spark, sf_dir):
     def square(lat, lon, half):
         return F.array(*(F.struct((lat + a * half).alias("lat"), (lon + b * half).alias("lon")) for a, b in ((-1, -1), (-1, 1), (1, 1), (1, -1))))
 
-    ring, area = square(F.col("lat"), F.col("lon"), 0.005), square(F.lit(-33.4), F.lit(-70.6), 0.01)
-    mid = geo.centroid(square(F.col("lat") + 33.4, F.col("lon") + 70.6, 0.005))
-    return points(spark, sf_dir).select("vec_id", F.round(mid["lat"] - 33.4, 6).alias("lat"), F.round(mid["lon"] - 70.6, 6).alias("lon"), geo.rings_meet(ring, area).alias("meets"))
+    # Around the area's centre: far from it a corner's rounding is wider than the gap between squares that just miss each other.
+    ring, area = square(F.col("lat") + 33.4, F.col("lon") + 70.6, 0.005), square(F.lit(0.0), F.lit(0.0), 0.01)
+    mid = geo.centroid(F.col("ring"))
+    # The ring is a column before any other is named: beside a new lat, lambdas would take that one, rounded, for the point's.
+    rings = points(spark, sf_dir).select("vec_id", ring.alias("ring"))
+    return rings.select("vec_id", F.round(mid["lat"] - 33.4, 6).alias("lat"), F.round(mid["lon"] - 70.6, 6).alias("lon"), geo.rings_meet(F.col("ring"), area).alias("meets"))
 
 
 @query("GEO-12_doubtful_pins", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN ['centre', 'few_decimals', 'trailing_zeros'] ELSE []::VARCHAR[] END AS doubts FROM embeddings")

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from parcelflow.operators import topology
+from parcelflow.plans import queries
 from parcelflow.sources import packages
 
 RINGS = "rings array<array<struct<lat: double, lon: double>>>"
@@ -99,3 +100,23 @@ def test_parts_through_well_known_binary(spark):
     got = {r["k"]: r for r in df.withColumn("b", packages.wkb_multipolygon(F.col("parts"))).select("k", packages.wkb_parts(F.col("b")).alias("p"), packages.wkb_rings(F.col("b")).alias("r")).collect()}
     assert [[[tuple(c) for c in r] for r in p] for p in got[1]["p"]] == parts and got[2]["p"] is None and got[3]["p"] == []
     assert [[tuple(c) for c in r] for r in got[1]["r"]] == [parts[0][0], parts[1][0]]
+
+
+def test_lattice_of_many_rows_keeps_its_bends(spark, tmp_path):
+    # The rows around the seam of two strips, and some far beyond where a plain lattice would leave the equator.
+    keys = [*range(29_940, 30_060), *range(60_000, 60_040), *range(900_000, 900_060)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["p_partkey"]: (r["corners"], r["rows"]) for r in queries()["GEO-09_shared_borders"](spark, str(tmp_path)).collect()}
+    for k in keys:
+        x, y = k % 20, k // 20
+        s, n, w, e = ((x * 7 + y * 13) % 5 * 2, (x * 7 + (y + 1) * 13) % 5 * 2, (x * 11 + y * 3) % 5 * 2, ((x + 1) * 11 + y * 3) % 5 * 2)
+        rows = 4 * y + 2 + (s > 5) * (y + s / 2000) + (n > 5) * (y + 1 + n / 2000) + (w > 5) * (y + 0.5) + (e > 5) * (y + 0.5)
+        assert got[k] == (4 + sum(v > 5 for v in (s, n, w, e)), round(rows, 6)), k
+
+
+def test_squares_that_just_miss_do_not_meet(spark, tmp_path):
+    # Vector 8261 of the check's table, whose rounded place would meet, and a square that just meets where its rounded place would not.
+    rows = [(1, 0, [-0.12972035, -0.1500013]), (2, 0, [0.1, 0.1499996]), (3, 0, [0.16, 0.0]), (4, 0, [0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["meets"] for r in queries()["GEO-07_08_polygons"](spark, str(tmp_path)).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True}
