@@ -55,18 +55,31 @@ def read_upload(spark: SparkSession, path: str, names: Mapping[str, str], key: s
     return rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
 
 
-def read_features(spark: SparkSession, path: str, attributes: str) -> DataFrame:
-    """(attributes, ring) of a GeoJSON collection's polygons: the outer ring as (lat, lon) corners.
+def read_features(spark: SparkSession, path: str, attributes: str, lines: bool = False) -> DataFrame:
+    """(attributes, ring) of the polygons of GeoJSON collections: the outer ring as (lat, lon) corners.
 
     ``attributes`` is the schema of the properties; polygons of several parts give a row each.
+    Files hold one collection or several, one after another; ``lines`` says that each
+    is a line of its own, so that a file can be read in pieces.
     """
-    return _rings(spark.read.schema(_collection(attributes)).json(path, multiLine=True).select(F.explode("features").alias("f")))
+    return _rings(_features(spark, path, attributes, lines))
 
 
-def read_shapes(spark: SparkSession, path: str, attributes: str) -> DataFrame:
-    """(attributes, parts) of a GeoJSON collection's polygons, one row a feature: each part as all its rings of (lat, lon) corners, the outer one first, then holes."""
-    f = spark.read.schema(_collection(attributes)).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    return _parts(f).select("f.properties.*", "parts")
+def read_shapes(spark: SparkSession, path: str, attributes: str, lines: bool = False) -> DataFrame:
+    """(attributes, parts) of the polygons of GeoJSON collections, one row a feature: each part as all its rings of (lat, lon) corners, the outer one first, then holes.
+
+    Files are those of ``read_features``.
+    """
+    return _parts(_features(spark, path, attributes, lines)).select("f.properties.*", "parts")
+
+
+def _features(spark: SparkSession, path: str, attributes: str, lines: bool) -> DataFrame:
+    if lines:
+        return spark.read.schema(_collection(attributes)).json(path).select(F.explode("features").alias("f"))
+    # A JSON reader of whole files stops after the first collection. No string holds a line break,
+    # so a bracket that opens in a new line after one that closes, with no comma, begins the next collection.
+    each = F.explode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"(?<=\})\s*\n\s*(?=\{)")).alias("j")
+    return spark.read.text(path, wholetext=True).select(each).select(F.explode(F.from_json("j", _collection(attributes))["features"]).alias("f"))
 
 
 def features_in(df: DataFrame, text: Column, attributes: str) -> DataFrame:

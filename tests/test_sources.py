@@ -39,6 +39,17 @@ def test_features(spark, tmp_path):
     assert r["truncated"] and json.loads(r["collection"])["features"][0]["geometry"]["coordinates"] == [3.0, 2.0]
 
 
+def test_every_collection_of_a_file_is_read(spark, tmp_path):
+    ring = [[0, 0], [2, 0], [2, 1], [0, 0]]
+    page = lambda i: {"type": "FeatureCollection", "features": [{"properties": {"rol": f"{k} }}\n{{"}, "geometry": {"type": "Polygon", "coordinates": [ring]}} for k in (i, i + 1)]}
+    (tmp_path / "lines").write_text("".join(json.dumps(page(i)) + "\n" for i in (0, 2, 4)))
+    (tmp_path / "pretty").write_text("\n".join(json.dumps(page(i), indent=1) for i in (6, 8)))
+    rols = lambda df: sorted(int(r["rol"].split()[0]) for r in df.collect())
+    for read in (files.read_features, files.read_shapes):
+        assert rols(read(spark, str(tmp_path), "rol:string")) == list(range(10))
+        assert rols(read(spark, f"{tmp_path}/lines", "rol:string", lines=True)) == list(range(6))
+
+
 def test_embedded_json(spark):
     page = 'x <script>state = {"a": {"b": "}\\"{"}, "c": [1]}; other = {}</script>'
     df = spark.createDataFrame([(page,), ("none",), ("state = {",), (None,)], "h string")
