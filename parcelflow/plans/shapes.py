@@ -60,13 +60,18 @@ off AS (SELECT p_partkey, x, y, (x * 7 + y * 13) % 5 * 2 AS s, (x * 7 + (y + 1)
 
 @query("GEO-09_shared_borders", f"WITH {_OFF_SQL} SELECT p_partkey, 4 + (s > 5)::INT + (n > 5)::INT + (w > 5)::INT + (e > 5)::INT AS corners, round((4 * y + 2 + CASE WHEN s > 5 THEN y + s / 2000.0 ELSE 0 END + CASE WHEN n > 5 THEN y + 1 + n / 2000.0 ELSE 0 END + CASE WHEN w > 5 THEN y + 0.5 ELSE 0 END + CASE WHEN e > 5 THEN y + 0.5 ELSE 0 END)::DOUBLE, 6) AS rows FROM off")
 def shared_borders(spark, sf_dir):
-    """A lattice of parcels of 0.02 degrees whose borders bend in the middle, simplified to five metres: the small bends go, in both neighbours or in none."""
-    k, side, metre = F.col("p_partkey"), 0.02, 0.02 / 2000
-    x, y = k % 20, F.floor(k / 20)
+    """A lattice of parcels of 0.02 degrees whose borders bend in the middle, simplified to five metres: the small bends go, in both neighbours or in none.
+
+    Every 1,500 rows (30 degrees) the lattice goes on at the equator, further east: nearer a pole a degree of longitude is shorter, and bends of the same degrees would be under five metres.
+    """
+    k, side, metre, rows = F.col("p_partkey"), 0.02, 0.02 / 2000, 1500
+    strip, y = F.floor(k / (20 * rows)), F.floor(k / 20) % rows
+    # Strips lie a column apart, and bends repeat after 1,500 rows and 25 columns.
+    x = k % 20 + 25 * strip
     at = lambda i, j: F.struct((side * i).cast("double").alias("lat"), (side * j).cast("double").alias("lon"))
     level = lambda x, y: at(y + (x * 7 + y * 13) % 5 * 2 * metre / side, x + 0.5)
     upright = lambda x, y: at(y + 0.5, x + (x * 11 + y * 3) % 5 * 2 * metre / side)
     ring = F.array(at(y, x), level(x, y), at(y, x + 1), upright(x + 1, y), at(y + 1, x + 1), level(x, y + 1), at(y + 1, x), upright(x, y))
     parcels = table(spark, sf_dir, "part").select("p_partkey", F.array(ring).alias("rings"))
     simple = topology.simplified_together(parcels, "p_partkey", 5.0).withColumn("ring", F.get("rings", F.lit(0)))
-    return simple.select("p_partkey", F.size("ring").alias("corners"), F.round(F.aggregate("ring", F.lit(0.0), lambda s, p: s + p["lat"]) / side, 6).alias("rows"))
+    return simple.select("p_partkey", F.size("ring").alias("corners"), F.round(F.aggregate("ring", F.lit(0.0), lambda s, p: s + p["lat"]) / side + F.size("ring") * rows * F.floor(F.col("p_partkey") / (20 * rows)), 6).alias("rows"))
