@@ -382,3 +382,41 @@ def test_simplified_rings(spark):
     kept = one(spark, geo.simplified(ring((0, 0), (0, 0.5), (0, 1), (0.5, 1.000001), (1, 1), (1, 0)), 5))
     assert [(p["lat"], p["lon"]) for p in kept] == [(0, 0), (0, 1), (1, 1), (1, 0)]
     assert len(one(spark, geo.simplified(ring((0, 0), (0, 1), (0, 2), (0, 3)), 5))) == 3
+
+
+def test_copies_of_sets_meet_as_classes(spark):
+    from parcelflow.operators import joins
+
+    names = [("a b c d", 4), ("a b c e", 3), ("x y", 2), ("a b c d e", 1), ("", 2)]
+    rows, k = [], 0
+    for g in ("p", "q", None):
+        for name, n in names:
+            for _ in range(n):
+                k += 1
+                rows.append((k * 7 % 1009, g, name.split()))
+    df = spark.createDataFrame(rows, "k long, g string, t array<string>")
+    sim = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    both = {(a, b): sim(s, t) for a, g, s in rows for b, h, t in rows if a != b and g and g == h and s and t and sim(s, t) >= 0.6}
+    assert {tuple(r) for r in joins.similar_sets(df, "k", "t", 0.6, ["g"]).collect()} == {(a, b, s) for (a, b), s in both.items() if a < b}
+    want = {(a, b, s) for (a, b), s in both.items() if sum((-t, d) < (-s, b) for (c, d), t in both.items() if c == a) < 3}
+    assert {tuple(r) for r in joins.most_similar(df, "k", "t", 0.6, 3, ["g"]).collect()} == want
+    # Twelve thousand copies: each finds its five without meeting all others, and pairs come from parts of the class.
+    many = spark.range(12_000).select("id", F.array(F.lit("a"), F.lit("b")).alias("t"))
+    got = joins.most_similar(many, "id", "t", 0.9, 5)
+    assert got.count() == 60_000 and got.agg(F.max("found")).first()[0] == 5
+    assert joins.similar_sets(many.where("id < 4500"), "id", "t", 0.9).agg(F.count(F.lit(1)), F.countDistinct("a", "b")).first()[:] == (4500 * 4499 // 2,) * 2
+
+
+def test_edges_made_ready_say_what_rings_say(spark):
+    import random
+
+    from parcelflow.functions import geo
+
+    rng = random.Random(3)
+    near = lambda: round(rng.uniform(0, 4)) / 2
+    ring = lambda: [(near(), near()) for _ in range(rng.randint(1, 7))]
+    rows = [(near(), near(), [ring() for _ in range(rng.randint(0, 3))]) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "lat double, lon double, rings array<array<struct<lat: double, lon: double>>>")
+    lat, lon = F.col("lat"), F.col("lon")
+    got = df.select(geo.in_rings(lat, lon, F.col("rings")).alias("a"), geo.within_edges(lat, lon, geo.edges_of(F.col("rings"))).alias("b"))
+    assert got.where("not a <=> b").count() == 0 and got.where("a").count() > 300
