@@ -70,7 +70,7 @@ BURSTS = "key long, sent_at timestamp, n long, last long"
 
 
 class _Bursts(StatefulProcessor):
-    """Open bursts of a key, each with a timer for when it goes out."""
+    """Open bursts of a key, and a timer for when the next of them goes out: a key with many open bursts is called once for all that are due."""
 
     def __init__(self, quiet_s: int, sweep_s: int):
         self.quiet, self.sweep = quiet_s * 1_000_000, sweep_s * 1_000_000
@@ -96,20 +96,22 @@ class _Bursts(StatefulProcessor):
                 merged[-1] = [a[0], max(a[1], b[1]), a[2] + b[2], *max(a[3:], b[3:])]
             else:
                 merged.append(b)
-        before, now = {self._timer(b) for b in held}, {self._timer(b) for b in merged}
-        for t in before - now:
-            self.handle.deleteTimer(t)
-        for t in now - before:
-            self.handle.registerTimer(t)
+        before, now = min(map(self._timer, held), default=None), min(map(self._timer, merged))
+        if before != now:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(now)
         self.open.update((json.dumps(merged),))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         held = json.loads(self.open.get()[0]) if self.open.exists() else []
-        due = [b for b in held if self._timer(b) <= expiredTimerInfo.getExpiryTimeInMs()]
-        rest = [b for b in held if self._timer(b) > expiredTimerInfo.getExpiryTimeInMs()]
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        due = [b for b in held if self._timer(b) <= now]
+        rest = [b for b in held if self._timer(b) > now]
         if rest:
             self.open.update((json.dumps(rest),))
+            self.handle.registerTimer(min(map(self._timer, rest)))
         else:
             self.open.clear()
         if due:
@@ -123,7 +125,7 @@ def burst_stream(changes: DataFrame, key: str, at: str, last: str, quiet_s: int
     """(key, sent_at, n, last) of each burst once the stream's time has passed the moment when it goes out; the bursts of ``outbox.bursts``.
 
     Changes of a key less than ``quiet_s`` apart go out once, or at the next
-    sweep. Each open burst has a timer; state and timers outlive a restart.
+    sweep. A key has a timer for its next burst; state and timers outlive a restart.
     Changes may come in any order as far as ``late``; later ones are left out.
     """
     keeps_state(changes.sparkSession)

@@ -50,3 +50,21 @@ def test_bursts_of_a_stream(spark, tmp_path):
     want = outbox.bursts(spark.createDataFrame(rows, schema), "listing_id", "ts", F.col("event_id"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert want.where("n > 3").count() > 3
+
+
+def test_a_key_is_called_once_for_all_its_due_bursts():
+    import json
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    timers, kept = set(), []
+    state = SimpleNamespace(exists=lambda: bool(kept), get=lambda: kept[-1], update=kept.append, clear=kept.clear)
+    handle = SimpleNamespace(getValueState=lambda *a: state, registerTimer=timers.add, deleteTimer=timers.discard)
+    bursts = S._Bursts(2, 60)
+    bursts.init(handle)
+    list(bursts.handleInputRows((1,), iter([pd.DataFrame({"at": [i * 10_000_000 for i in range(100)], "last": range(100)})]), None))
+    assert len(json.loads(kept[-1][0])) == 100 and timers == {2000}
+    # The stream's time is past the first ninety: they go out together, and a timer stands for the next.
+    due = list(bursts.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 895_000), SimpleNamespace(getExpiryTimeInMs=lambda: 2000)))
+    assert [len(d) for d in due] == [90] and timers == {2000, 902_000} and len(json.loads(kept[-1][0])) == 10
