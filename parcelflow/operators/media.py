@@ -16,21 +16,22 @@ NEAR_BITS = 8
 
 def _levels(most: int) -> list[int]:
     """Distances that are searched in turn; what has found something near goes no further."""
-    return sorted({min(2, most), min(4, most), most} - {0})
+    return sorted({min(1, most), min(2, most), min(4, most), most} - {0})
 
 
 def nearest_before(values: DataFrame, most: int = NEAR_BITS) -> DataFrame:
     """(phash, parent, bits) of each row of (phash, at) that has an earlier one within ``most`` bits: the nearest, of these the earliest.
 
     Each hash is there once. Small distances come first, where keys are long
-    and few words meet; only what found nothing asks for the next distance.
+    and few words meet; only what found nothing asks for the next distance,
+    and only what asks lists the keys that a close one may have.
     """
     found, asking = [], values
     for most_bits in _levels(most):
-        pairs = ring.close_pairs(values.select(F.col("phash").alias("fp")), most_bits)
-        both = pairs.select("a", "b", "bits").union(pairs.select("b", "a", "bits")).toDF("phash", "parent", "bits")
+        words = lambda df: df.select(F.col("phash").alias("fp"))
+        pairs = ring.close_to(words(asking), words(values), most_bits).toDF("phash", "parent", "bits")
         side = values.select(F.col("phash").alias("parent"), F.col("at").alias("before"))
-        met = both.join(asking, "phash").join(side, "parent").where(F.col("before") < F.col("at"))
+        met = pairs.join(asking, "phash").join(side, "parent").where(F.col("before") < F.col("at"))
         best = stored(met.groupBy("phash").agg(F.min(F.struct("bits", "before", "parent")).alias("best")).select("phash", "best.parent", "best.bits"), "nearest")
         found.append(best)
         asking = stored(asking.join(best, "phash", "left_anti"), "asking")

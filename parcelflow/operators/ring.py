@@ -139,6 +139,35 @@ def close_pairs(words: DataFrame, most: int, segments: int | None = None, links:
     return candidates(words, most, segments, links).where((ring.first_start(x) == F.col("start")) & (F.bit_count(x) <= most)).select("a", "b", F.bit_count(x).alias("bits"))
 
 
+def links_between(asking: DataFrame, words: DataFrame, ring: Ring) -> int:
+    """How many segments the keys should have, by the words that do share them: hashes of like pictures are far from random."""
+    most = min(4, ring.segments - 1)
+    if most < 2:
+        return 1
+    ways = [{"links": n, "start": i, "mask": ring.key_mask(i, n), "flips": len(ring.flips(i, n))} for n in range(1, most + 1) for i in range(ring.segments)]
+    each = F.explode(F.from_json(F.lit(json.dumps(ways)), "array<struct<links:int,start:int,mask:bigint,flips:bigint>>")).alias("w")
+    both = words.select("fp", F.lit(0).alias("asks"), F.lit(1).alias("is")).union(asking.select("fp", F.lit(1), F.lit(0)))
+    held = both.select(each, "fp", "asks", "is").groupBy("w.links", "w.start", "w.flips", F.col("fp").bitwiseAND(F.col("w.mask"))).agg(F.sum("asks").alias("a"), F.sum("is").alias("n"))
+    rows = {r["links"]: r for r in held.groupBy("links").agg(F.sum(F.col("flips") * F.col("a")).alias("keys"), F.sum(F.col("flips") * F.col("a") * F.col("n")).cast("double").alias("met")).collect()}
+    # What meets on a longer key meets on the shorter one too. Longer keys pay while there
+    # are fewer of them than meetings to save; one is shuffled and sorted, as costly as several meetings.
+    links, met = 1, rows[1]["met"] if rows else 0
+    while links < most and rows and 5 * rows[links + 1]["keys"] < met:
+        links += 1
+        met = min(met, rows[links]["met"])
+    return links
+
+
+def close_to(asking: DataFrame, words: DataFrame, most: int, segments: int | None = None) -> DataFrame:
+    """(a, b, bits) of each word a of ``asking`` and all other ``words`` b within ``most`` bits of it; only those that ask list keys."""
+    ring = Ring(most, segments)
+    links = links_between(asking, words, ring)
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    # Merged: a broadcast would go by the size of what asks, not by that of the keys it lists.
+    met = _keys(asking, ring, links, True).withColumnRenamed("fp", "a").hint("merge").join(_keys(words, ring, links, False).withColumnRenamed("fp", "b"), ["start", "key"])
+    return met.where((F.col("a") != F.col("b")) & (F.bit_count(x) <= most) & (ring.first_start(x) == F.col("start"))).select("a", "b", F.bit_count(x).alias("bits"))
+
+
 def through_neighbours(words: DataFrame, most: int) -> DataFrame:
     """Links with the components of all pairs within ``most`` bits (2 or 4), and no pair listed.
 

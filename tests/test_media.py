@@ -66,3 +66,22 @@ def test_long_chains_of_parents(spark):
 def test_longer_keys_for_more_words():
     assert ring.links_for(1000, 8) <= 3 < ring.links_for(10**8, 8)
     assert ring.links_for(1000, 2) <= ring.links_for(10**9, 2)
+
+
+def test_only_what_asks_lists_keys(spark):
+    rng = random.Random(3)
+    words = list({rng.getrandbits(63) for _ in range(300)})
+    words += [w ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(1, 10))) for w in words[:200]]
+    asking = words[::7]
+    side = lambda some: spark.createDataFrame([(w,) for w in some], "fp long")
+    for most in (1, 2, 4, 8):
+        got = sorted((r["a"], r["b"], r["bits"]) for r in ring.close_to(side(asking), side(words), most).collect())
+        assert got == sorted((a, b, bin(a ^ b).count("1")) for a in asking for b in words if 0 < bin(a ^ b).count("1") <= most)
+
+
+def test_keys_get_longer_where_hashes_are_alike(spark):
+    rng = random.Random(5)
+    side = lambda some: spark.createDataFrame([(w,) for w in some], "fp long")
+    spread, alike = [rng.getrandbits(63) for _ in range(2000)], [sum(1 << 4 * i for i in range(15) if rng.random() < 0.5) for _ in range(2000)]
+    of = lambda words: ring.links_between(side(words[:500]), side(words), ring.Ring(8))
+    assert of(alike) > of(spread)
