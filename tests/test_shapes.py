@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from parcelflow.functions import geo
 from parcelflow.operators import topology
 from parcelflow.plans import queries
 from parcelflow.sources import packages
@@ -120,3 +121,9 @@ def test_squares_that_just_miss_do_not_meet(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["vec_id"]: r["meets"] for r in queries()["GEO-07_08_polygons"](spark, str(tmp_path)).collect()}
     assert got == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_a_ring_is_made_once_however_many_corners(spark):
+    ring = F.array(*(F.struct((F.col("id") + x).cast("double").alias("lat"), (F.col("id") * 0.71625 + y).alias("lon")) for x, y in ((0, 0), (0, 1), (1, 1), (1, 0))))
+    plan = spark.range(1).select(geo.simplified(ring, 3.0).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("0.71625") == 4
