@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,18 +159,20 @@ def _sides(rows: DataFrame, *columns: str) -> list[DataFrame]:
     return [rows.select(*(F.col(c).alias(f"{c}_{s}") for c in columns), F.col("id").alias(s)) for s in ("a", "b")]
 
 
-def _near(rows: DataFrame, metres: float) -> DataFrame:
-    p = rows.where("lat is not null and lon is not null")
-    return spatial.pairs_within(p.withColumnRenamed("id", "a"), p.withColumnRenamed("id", "b"), metres, "a", "b").where("a < b").select("a", "b")
+def _near(left: DataFrame, right: DataFrame, metres: float, where: Column, columns: Sequence[str], same: Sequence[str] = ()) -> DataFrame:
+    """(a, b) of near rows for which ``where`` holds of their ``columns``, as they meet: others are in no shuffle."""
+    sides = [df.withColumnsRenamed({"id": s, **{c: f"{c}_{s}" for c in columns}}) for df, s in ((left, "a"), (right, "b"))]
+    named = lambda s: [f"{c}_{s}" for c in columns]
+    return spatial.pairs_within(*sides, metres, "a", "b", same=same, where=where, of_left=named("a"), of_right=named("b")).select("a", "b")
 
 
 def near_alike(rows: DataFrame, metres: float = 150, share: float = 0.08) -> DataFrame:
     """(a, b), a < b, for which one may be the target and the other, active, its candidate: near, of one operation and number of bedrooms, and of areas that differ by the target's share (rounded up) at most, if known."""
-    a, b = _sides(rows, "operation", "bedrooms", "area", "is_active")
     gap = F.abs(F.col("area_a") - F.col("area_b"))
     fits = lambda t, c: F.coalesce(F.col(f"is_active_{c}"), F.lit(False)) & F.coalesce(gap <= F.ceil(F.col(f"area_{t}") * share), F.lit(True))
-    same = F.col("operation_a").eqNullSafe(F.col("operation_b")) & F.coalesce("bedrooms_a", F.lit(-1)).eqNullSafe(F.coalesce("bedrooms_b", F.lit(-1)))
-    return _near(rows, metres).join(a, "a").join(b, "b").where(same & (fits("a", "b") | fits("b", "a"))).select("a", "b")
+    # Nulls are alike: the key says which are there.
+    keyed = rows.select("id", "lat", "lon", "area", "is_active", F.to_json(F.struct("operation", F.coalesce("bedrooms", F.lit(-1)).alias("bedrooms"))).alias("_kind"))
+    return _near(keyed, keyed, metres, (F.col("a") < F.col("b")) & (fits("a", "b") | fits("b", "a")), ["area", "is_active"], ["_kind"])
 
 
 def near_or_named(rows: DataFrame, metres: float = 350, band: float = 0.3) -> DataFrame:
@@ -188,11 +190,14 @@ def near_or_named(rows: DataFrame, metres: float = 350, band: float = 0.3) -> Da
     on, ends = ["n", "v", "_s"], lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
     inside = left.where("_c is not null").join(right.where("_c is not null"), ["_c", *on])
     across = left.where("_c is null").drop("_c").join(right.drop("_c"), on)
-    a, b = _sides(k, "_c", "price")
     x, y = F.col("price_a"), F.col("price_b")
     priced = F.coalesce((F.least(x, y) <= 0) | (F.abs(x - y) <= band * F.greatest(x, y)), F.lit(True)) | x.isNull() | y.isNull()
-    near = _near(rows, metres).join(a, "a").join(b, "b").where(F.coalesce(F.col("_c_a") == F.col("_c_b"), F.lit(True)) & priced)
-    return ends(inside).unionByName(ends(across)).unionByName(near.select("a", "b")).distinct()
+    placed = k.select("id", "lat", "lon", "price", "_c")
+    nowhere, somewhere = placed.where("_c is null"), placed.where("_c is not null")
+    near = _near(somewhere, somewhere, metres, (F.col("a") < F.col("b")) & priced, ["price"], ["_c"])
+    if not nowhere.isEmpty():
+        near = near.unionByName(ends(_near(nowhere.drop("_c"), placed.drop("_c"), metres, priced, ["price"])))
+    return ends(inside).unionByName(ends(across)).unionByName(near).distinct()
 
 
 def pair_signals(pairs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -442,3 +442,21 @@ def test_few_names_are_asked_of_texts_without_a_shuffle(spark):
     got = [sorted((r["i"], r["id"]) for r in w.collect()) for w in ways]
     assert got[0] == got[1] == [(1, 2), (2, None), (3, None), (4, 3), (5, 4), (6, 7)]
     assert "Generate" not in ways[1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_pairs_of_adverts_ask_is_asked_where_they_meet(spark):
+    """Near rows of other kinds or communes are in no pair, unknown ones meet all; the shuffle has no pair that is left out."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["x", "x", "y", None]), -33.4 + rng.random() * 0.004, -70.6, rng.choice(["sale", None]), rng.choice([1, None]), rng.choice([50.0, 60.0, None]), rng.choice([10.0, 20.0, None]), rng.random() < 0.8) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, commune string, lat double, lon double, operation string, bedrooms int, area double, price double, is_active boolean").withColumns({c: F.lit(None).cast("string") for c in ("phone", "agency", "address")})
+    metres = lambda x, y: math.radians(abs(x[2] - y[2])) * 6_371_000
+    pairs = [(x, y) for x, y in combinations(rows, 2)]
+    fits = lambda t, c: c[8] and (t[6] is None or c[6] is None or abs(t[6] - c[6]) <= math.ceil(t[6] * 0.08))
+    alike = sorted((x[0], y[0]) for x, y in pairs if metres(x, y) <= 150 and x[4] == y[4] and x[5] == y[5] and (fits(x, y) or fits(y, x)))
+    priced = lambda x, y: x[7] is None or y[7] is None or abs(x[7] - y[7]) <= 0.3 * max(x[7], y[7])
+    named = sorted((x[0], y[0]) for x, y in pairs if metres(x, y) <= 350 and priced(x, y) and (x[1] is None or y[1] is None or x[1] == y[1]))
+    made = entity.near_alike(df)
+    assert sorted(map(tuple, made.collect())) == alike and alike
+    assert sorted(map(tuple, entity.near_or_named(df).collect())) == named and named
+    # One join brings the pairs and all that they are asked; none comes after it.
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
