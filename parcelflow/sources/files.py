@@ -129,14 +129,25 @@ def embedded_json(html: Column, marker: str) -> Column:
 
     Strings are blanked to equal length first, so only structural braces are counted.
     """
-    after = F.substring_index(html, marker, -1)
-    start = F.instr(after, "{")
-    body = F.when((F.instr(html, marker) > 0) & (start > 0), F.substring(after, start, F.length(after)))
-    # Each string becomes as many blanks: a string's pieces are replaced one character at a time.
-    plain = F.regexp_replace(body, r'(?s)\\.', "__")
-    parts = F.transform(F.split(plain, '"', -1), lambda x, i: F.when(i % 2 == 1, F.repeat(F.lit("_"), F.length(x))).otherwise(x))
-    marks = F.filter(F.transform(F.split(F.array_join(parts, "_"), ""), lambda c, i: F.struct(F.when(c == "{", 1).when(c == "}", -1).otherwise(0).alias("d"), (i + 1).alias("at"))), lambda m: m["d"] != 0)
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("end"))
-    step = lambda a, m: F.struct((a["depth"] + m["d"]).alias("depth"), F.when((a["end"] == 0) & (a["depth"] + m["d"] == 0), m["at"]).otherwise(a["end"]).alias("end"))
-    end = F.aggregate(marks, zero, step, lambda a: a["end"])
-    return F.when(end > 0, F.substring(body, F.lit(1), end))
+    # Each step's value is bound once: the page would be searched again for every place that the next steps name it.
+    def cut(after: Column) -> Column:
+        start = F.instr(after, "{")
+        return F.when(start > 0, F.substring(after, start, F.length(after)))
+
+    def closed(body: Column) -> Column:
+        # Each string becomes as many blanks: a string's pieces are replaced one character at a time.
+        plain = F.regexp_replace(body, r'(?s)\\.', "__")
+        parts = F.transform(F.split(plain, '"', -1), lambda x, i: F.when(i % 2 == 1, F.repeat(F.lit("_"), F.length(x))).otherwise(x))
+        # Pieces that end in a brace: as many steps as braces, not as characters.
+        pieces = F.split(F.array_join(parts, "_"), r"(?<=[{}])", -1)
+        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+        def step(a: Column, x: Column) -> Column:
+            at, depth = a["at"] + F.length(x), a["depth"] + F.when(F.endswith(x, F.lit("{")), 1).when(F.endswith(x, F.lit("}")), -1).otherwise(0)
+            return F.struct(depth.alias("depth"), at.alias("at"), F.when((a["end"] == 0) & F.endswith(x, F.lit("}")) & (depth == 0), at).otherwise(a["end"]).alias("end"))
+
+        return bound(F.aggregate(pieces, zero, step, lambda a: a["end"]), lambda end: F.when(end > 0, F.substring(body, F.lit(1), end)))
+
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    found = bound(html, lambda h: F.when(F.instr(h, marker) > 0, F.substring_index(h, marker, -1)))
+    return bound(bound(found, cut), closed)

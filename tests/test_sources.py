@@ -143,3 +143,9 @@ def test_bursts(spark):
     got = outbox.bursts(spark.createDataFrame(rows, "k int, e int, at timestamp"), "k", "at", F.col("e"))
     want = [(1, at(14.5), 3, 2), (1, at(22), 1, 3), (1, at(60), 1, 4), (1, at(62.5), 1, 5), (2, at(60), 2, 7)]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_page_is_made_once_for_its_data(spark):
+    page = F.concat(F.lit("<p>state = {71625"), F.col("id").cast("string"), F.lit("}"))
+    plan = spark.range(1).select(files.embedded_json(page, "state").alias("j"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("71625") == 1
