@@ -8,7 +8,6 @@ from ..functions import geo
 from ..operators import aggregates as A
 from ..operators import spatial
 from ..operators import quantiles as Q
-from ..operators.storage import stored
 from ..sources.domain import LISTING_SQL, POINT_SQL, listings, points, table
 from .registry import book
 
@@ -54,10 +53,7 @@ def valuation(spark, sf_dir):
     """Median price of comparables within 1 km; of the zone if under five and it has more."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), F.col("p_retailprice").alias("price"))
     p = points(spark, sf_dir).join(part, "vec_id", "left")
-    others = p.where("price is not null").withColumnRenamed("vec_id", "other")
-    # Both the numbers and the quantiles are of these pairs: they are made once.
-    pairs = stored(spatial.pairs_within(p, others, 1000, "vec_id", "other").where("vec_id <> other").join(others.select("other", "price"), "other").select("vec_id", "price"), "comparables")
-    near = pairs.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).join(Q.quantiles(pairs, ["vec_id"], {"m": (F.col("price"), 0.5)}), "vec_id")
+    near = spatial.medians_within(p, p, 1000, "vec_id", "vec_id", "price").withColumnRenamed("median", "m")
     zone = p.groupBy("label").agg(F.count("price").alias("zn")).join(Q.quantiles(p, ["label"], {"zm": (F.col("price"), 0.5)}), "label")
     n = F.coalesce("n", F.lit(0))
     wide = (n < 5) & (F.col("zn") > n)

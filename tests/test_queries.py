@@ -460,3 +460,25 @@ def test_what_pairs_of_adverts_ask_is_asked_where_they_meet(spark):
     assert sorted(map(tuple, entity.near_or_named(df).collect())) == named and named
     # One join brings the pairs and all that they are asked; none comes after it.
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_medians_of_near_points_shuffle_no_pairs(spark):
+    """Medians of crowded and lone points are those of all pairs, copies of values and nulls too, and no pair is shuffled or kept."""
+    rng = random.Random(12)
+    rows = [(i, -33.4 + rng.gauss(0, 0.004), -70.6 + rng.gauss(0, 0.004), rng.choice((None, 1.0, 2.0, rng.uniform(-5, 900)))) for i in range(400)]
+    rows += [(400, 10.0, 10.0, 3.0), (401, None, 1.0, 2.0), (402, 60.0, 179.9999, 4.0), (403, 60.0, -179.9999, None)]
+    metres = lambda a, b: 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2)))
+    want = {}
+    for a in rows:
+        near = sorted(b[3] for b in rows if a[0] != b[0] and b[3] is not None and None not in (a[1], b[1]) and metres(a, b) <= 500)
+        if near:
+            want[a[0]] = (len(near), (near[(len(near) - 1) // 2] + near[len(near) // 2]) / 2)
+    p = spark.createDataFrame(rows, "id int, lat double, lon double, price double")
+    for most, bands in ((2000, 256), (20, 4)):
+        df = spatial.medians_within(p, p, 500, "id", "id", "price", most=most, bands=bands)
+        got = {r["id"]: (r["n"], r["median"]) for r in df.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == n and math.isclose(got[k][1], m, abs_tol=1e-9) for k, (n, m) in want.items())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # Nothing is dealt out anew after points have met.
+        assert "Exchange" not in plan[plan.index("HashAggregate") : plan.index("SortMergeJoin")]
