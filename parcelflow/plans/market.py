@@ -72,10 +72,15 @@ def recent_comparables(spark, sf_dir):
 SELECT cell, zone, count(*) AS n, round(quantile_cont(cents_m2, 0.5), 1) AS median_cents_m2, round(avg(cents_m2), 4) AS mean_cents_m2, min(last_seen) AS since, max(last_seen) AS until FROM y GROUP BY cell, zone""")
 def cell_comparables(spark, sf_dir):
     """Prices a square metre by cell and zone over the last 12 months of the table; the cell is a column that the rows bring."""
-    l = listings(spark, sf_dir)
-    newest = F.broadcast(l.agg(F.max("last_seen").alias("newest")))
+    l, seen = listings(spark, sf_dir), F.col("last_seen")
+    # The newest advert is looked for among the last month's lines, of all where those are of no advert. As a
+    # number it cuts the lines before they are joined.
+    text_of = lambda df, c: df.agg(F.max(c).cast("string")).first()[0]
+    moment = lambda x: F.lit(x).cast(l.schema["last_seen"].dataType)
+    last = text_of(table(spark, sf_dir, "lineitem"), "l_shipdate")
+    newest = text_of(l.where(seen >= moment(last) - F.expr("interval 1 month")), "last_seen") or text_of(l, "last_seen")
     m2 = F.expr("cast(round(price * 100) as long) div cast(square_meters as long)").alias("cents_m2")
-    y = l.where("square_meters >= 1 and price > 0").join(newest, F.col("last_seen") >= F.col("newest") - F.expr("interval 12 months")).select((F.col("unit") % 50).alias("cell"), "zone", m2, "last_seen")
+    y = l.where("square_meters >= 1 and price > 0").where(seen >= moment(newest) - F.expr("interval 12 months")).select((F.col("unit") % 50).alias("cell"), "zone", m2, "last_seen")
     sums = y.groupBy("cell", "zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cents_m2"), 4).alias("mean_cents_m2"), F.min("last_seen").alias("since"), F.max("last_seen").alias("until"))
     return sums.join(Q.quantiles(y, ["cell", "zone"], {"median_cents_m2": (F.col("cents_m2"), 0.5)}), ["cell", "zone"]).withColumn("median_cents_m2", F.round("median_cents_m2", 1))
 
