@@ -28,7 +28,7 @@ SELECT g.*, p.price, p.price_uf, w.commune, w.location_confidence, operation, ar
 )
 def whole_consolidation(spark, sf_dir):
     """Each unit's commonest values, cheapest active price with its rate, most trusted place, and sets of its adverts."""
-    l, b = listings(spark, sf_dir), F.col("bedrooms")
+    l, b = listings(spark, sf_dir, by="l_partkey"), F.col("bedrooms")
     trust = F.when(b == 1, "pin_suspect").when(b == 2, "confirmed").when(b == 3, "candidate").when(b == 4, "none")
     rows = l.withColumns({"location_confidence": trust, "price_uf": F.when(F.col("advertiser_id") % 3 > 0, F.round(F.col("price") / 38000, 4)), "area": F.when(b != 5, F.col("square_meters").cast("long")), "commune": F.col("zone"), "bedrooms": b.cast("int")})
     got = entity.consolidated(rows.drop("zone", "region"), "unit")
