@@ -68,3 +68,40 @@ def test_a_key_is_called_once_for_all_its_due_bursts():
     # The stream's time is past the first ninety: they go out together, and a timer stands for the next.
     due = list(bursts.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 895_000), SimpleNamespace(getExpiryTimeInMs=lambda: 2000)))
     assert [len(d) for d in due] == [90] and timers == {2000, 902_000} and len(json.loads(kept[-1][0])) == 10
+
+
+def test_kinds_of_many_small_batches_take_little_time():
+    """A listing's few versions cost no frames of their own, and kinds are those of the versions in order of time."""
+    import time
+
+    import pandas as pd
+
+    from parcelflow.streaming import changes
+
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    frame = lambda *rows: pd.DataFrame(rows, columns=["at", "event_id", "agency", "price", "active", "details"])
+    p = changes._Kinds()
+    p.last = State()
+    got = next(p.handleInputRows((7,), iter([frame((20, 2, "a", 1.0, False, "x"), (10, 1, None, float("nan"), True, None)), frame((30, 3, "a", 2.0, True, "x"))]), None))
+    assert got.values.tolist() == [[7, 1, "new"], [7, 2, "updated"], [7, 3, "reactivated"]]
+    got = next(p.handleInputRows((7,), iter([frame((40, 5, "b", 3.0, True, "x"), (25, 4, "c", 9.0, True, "x"), (50, 6, "b", 4.0, True, "y"), (60, 7, "b", 4.0, True, None), (70, 8, "b", 4.0, True, None))]), None))
+    assert got["kind"].tolist() == ["late", "agency_change", "price_change", "updated", None]
+    got = next(p.handleInputRows((7,), iter([frame((1, 9, "z", 1.0, False, None))]), None))
+    assert got["kind"].tolist() == ["late"] and p.last.value == (70, "b", 4.0, True, None)
+    one = frame(*((i, i, "a", float(i % 3), True, str(i)) for i in range(30)))
+    began = time.process_time()
+    for _ in range(500):
+        p.last = State()
+        list(p.handleInputRows((1,), iter([one]), None))
+    assert time.process_time() - began < 1.0
