@@ -281,7 +281,7 @@ def sets(spark, sf_dir):
 @query("AGG-06_first_by", L + "SELECT unit, arg_max(advertiser, (last_seen, id)) AS latest_broker, arg_max(price, (last_seen, id)) FILTER (is_active) AS latest_price FROM listing GROUP BY unit")
 def first_by(spark, sf_dir):
     on = F.when(F.col("is_active"), F.struct("last_seen", "id"))
-    return listings(spark, sf_dir).groupBy("unit").agg(A.first_by(F.col("advertiser"), "last_seen", "id").alias("latest_broker"), F.max_by("price", on).alias("latest_price"))
+    return listings(spark, sf_dir, by="l_partkey").groupBy("unit").agg(A.first_by(F.col("advertiser"), "last_seen", "id").alias("latest_broker"), F.max_by("price", on).alias("latest_price"))
 
 
 @query("AGG-07_weighted_mean", L + "SELECT zone, round(sum(CASE WHEN is_active THEN square_meters * bedrooms END) / sum(CASE WHEN is_active THEN bedrooms END), 4) AS m2 FROM listing GROUP BY zone")
