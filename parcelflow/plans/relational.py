@@ -321,7 +321,7 @@ _MODE = "SELECT unit, {c}::VARCHAR AS {c} FROM (SELECT unit, {c}, count(*) AS n,
 
 @query("AGG-12_recent_mode", L + f"SELECT * FROM ({_MODE.format(c='zone')}) JOIN ({_MODE.format(c='bedrooms')}) USING (unit)")
 def recent_mode(spark, sf_dir):
-    return A.modes(listings(spark, sf_dir), ["unit"], ["zone", "bedrooms"], "last_seen")
+    return A.modes(listings(spark, sf_dir, by="l_partkey"), ["unit"], ["zone", "bedrooms"], "last_seen")
 
 
 @query("AGG-13_best_ranked", L + "SELECT unit, arg_min(price, (CASE portal WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, first_seen, id)) AS price FROM listing GROUP BY unit")
