@@ -269,7 +269,7 @@ def distinct_counts(spark, sf_dir):
 @query("AGG-04_quantiles", L + "SELECT zone, round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5) FILTER (is_active), 4) AS p50, round(quantile_cont(price, 0.75), 4) AS p75 FROM listing GROUP BY zone")
 def quantiles(spark, sf_dir):
     p = F.col("price")
-    found = Q.quantiles(listings(spark, sf_dir), ["zone"], {"p25": (p, 0.25), "p50": (F.when(F.col("is_active"), p), 0.5), "p75": (p, 0.75)})
+    found = Q.quantiles(listings(spark, sf_dir, by="l_extendedprice"), ["zone"], {"p25": (p, 0.25), "p50": (F.when(F.col("is_active"), p), 0.5), "p75": (p, 0.75)})
     return found.select("zone", *(F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")))
 
 
