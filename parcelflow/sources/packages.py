@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+#: Unpacked files, and bytes of them, that a task holds before they go on.
+MOST_HELD, MOST_BYTES_HELD = 1000, 4 << 20
 ENTRY = "path string, name string, content binary, error string"
 
 
@@ -131,23 +133,34 @@ def unzipped(archives: DataFrame) -> DataFrame:
     Folders are left out of names, and of two files of one name in an archive
     the later one stays. What is no archive, or an entry that cannot be
     unpacked, gives a row with its error and no content; null gives no row.
-    An archive is in one task, its files one at a time.
+    An archive is in one task. Its files are read one at a time and go on
+    together: many small ones, or ``MOST_BYTES_HELD`` and the one that exceeds it.
     """
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = lambda *cells: pd.DataFrame([cells], columns=["path", "name", "content", "error"])
-        for path, content in ((r.path, r.content) for b in batches for r in b.itertuples() if r.content is not None):
+    def entries(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content))
+        except zipfile.BadZipFile as e:
+            yield path, None, None, str(e)
+            return
+        last = {i.filename.rsplit("/", 1)[-1]: i for i in archive.infolist() if not i.is_dir()}
+        for name, info in last.items():
             try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile as e:
-                yield row(path, None, None, str(e))
-                continue
-            last = {i.filename.rsplit("/", 1)[-1]: i for i in archive.infolist() if not i.is_dir()}
-            for name, info in last.items():
-                try:
-                    yield row(path, name, archive.read(info), None)
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
-                    yield row(path, name, None, str(e))
+                yield path, name, archive.read(info), None
+            except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+                yield path, name, None, str(e)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["path", "name", "content", "error"], dtype=object)
+        held, size = [], 0
+        for row in (e for b in batches for r in b.itertuples() if r.content is not None for e in entries(r.path, r.content)):
+            held.append(row)
+            size += len(row[2] or b"")
+            if len(held) >= MOST_HELD or size >= MOST_BYTES_HELD:
+                yield frame(held)
+                held, size = [], 0
+        if held:
+            yield frame(held)
 
     return archives.select("path", "content").mapInPandas(unpack, ENTRY)
 

@@ -149,3 +149,26 @@ def test_a_page_is_made_once_for_its_data(spark):
     page = F.concat(F.lit("<p>state = {71625"), F.col("id").cast("string"), F.lit("}"))
     plan = spark.range(1).select(files.embedded_json(page, "state").alias("j"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("71625") == 1
+
+
+def test_archives_of_a_small_table_are_packed_by_all_tasks(spark, sf_dir):
+    from parcelflow import plans
+
+    plan = plans.queries()["SRC-08_zipped_parcels"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(s_suppkey#" in plan[plan.index("EvalPython") :]
+
+
+def test_small_files_leave_an_archive_together(spark):
+    """Many files of one archive come out whole, with those that cannot be read, and not as a batch each."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for i in range(2500):
+            archive.writestr(f"d/{i}.txt", str(i))
+    rows = packages.unzipped(spark.createDataFrame([("a", bytearray(out.getvalue())), ("b", bytearray(b"no")), ("c", None)], "path string, content binary"))
+    got = {(r["path"], r["name"]): (r["content"] and bytes(r["content"]), r["error"] is None) for r in rows.collect()}
+    assert got.pop(("b", None)) == (None, False)
+    assert got == {("a", f"{i}.txt"): (str(i).encode(), True) for i in range(2500)}
+    assert packages.MOST_HELD < 2500
