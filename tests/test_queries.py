@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelflow import plans
 from parcelflow.functions import geo, numeric, text
-from parcelflow.operators import cadastre, changes, entity, filters, joins, outbox, paging, quantiles, ring, spatial, upsert
+from parcelflow.operators import cadastre, changes, entity, filters, joins, outbox, paging, quantiles, ring, spatial, storage, upsert
 from parcelflow.operators.graph import connected_components
 from tests.compare import assert_same, rows_of
 
@@ -237,6 +237,32 @@ def test_candidates_of_the_cadastre(spark):
         assert sorted((round(p, 9), i) for p, i, _ in want) == sorted(x[:2] for x in got.get(a, [])), a
 
 
+def test_candidates_without_the_driver(spark, monkeypatch):
+    """Tables small enough to be broadcast are merged all the same, and adverts meet the rolls of their commune alone."""
+    from parcelflow.plans import matching
+
+    made, met, within = [], [], spatial.pairs_within
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, name):
+        made.append(plan(df))
+        return storage.stored(df, name)
+
+    def counted(*sides, **how):
+        met.append(within(*sides, **how))
+        return met[-1]
+
+    monkeypatch.setattr(cadastre, "stored", noted)
+    monkeypatch.setattr(spatial, "stored", noted)
+    monkeypatch.setattr(spatial, "pairs_within", counted)
+    monkeypatch.setattr(cadastre, "RADII", (300, 2500))
+    l, r = matching._adverts_and_rolls(spark, "/root/testdata/sf0.001")
+    l, r = l.withColumn("commune", F.col("advert") % 3), r.withColumn("commune", F.col("roll") % 3)
+    made.append(plan(cadastre.candidates(l, r)))
+    assert [p.count("Broadcast") for p in made] == [0] * len(made) and sum(p.count("SortMergeJoin") for p in made) > 10
+    assert len(met) == 2 and all(p.count() > 0 and p.where("advert % 3 <> roll % 3").isEmpty() for p in met)
+
+
 def test_points_at_a_distance(spark):
     assert abs(one(spark, geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))) - 111_194.9) < 1
     square = F.array(*(F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon")) for a, b in ((0, 0), (0, 2), (2, 2), (2, 0))))
