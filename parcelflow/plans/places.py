@@ -10,7 +10,7 @@ from ..functions import geo, text
 from ..operators import aggregates as A
 from ..operators import quantiles as Q
 from ..operators import filters, spatial
-from ..sources.domain import LISTING_SQL, POINT_SQL, listings, points, table
+from ..sources.domain import LISTING_SQL, POINT_SQL, dealt, listings, points, table
 from .registry import book
 
 QUERIES, SQL, query = book()
@@ -20,12 +20,12 @@ PARCEL_SQL = "parcel AS (SELECT p_partkey, -33.4 + 0.001 * (p_partkey % 61 - 30)
 
 @query("GEO-05_point_in_parcel", P + f", {PARCEL_SQL} SELECT vec_id, p_partkey FROM point JOIN parcel ON lat > south AND lat < south + high AND lon > west AND lon < west + wide")
 def point_in_parcel(spark, sf_dir):
-    """Each point with the parcels that hold it: parcels of many sizes, over as many cells as their boxes cover."""
+    """Each point with the parcels that hold it: parcels of many sizes, over as many leaves of points as their boxes touch."""
     k = F.col("p_partkey")
     south, west = -33.4 + 0.001 * (k % 61 - 30), -70.6 + 0.001 * (k % 59 - 29)
     high, wide = 0.0005 * F.col("p_size"), 0.0007 * (k % 40 + 1)
     corner = lambda i, j: F.struct((south + i * high).alias("lat"), (west + j * wide).alias("lon"))
-    parcels = table(spark, sf_dir, "part").select("p_partkey", F.array(*(corner(i, j) for i, j in ((0, 0), (0, 1), (1, 1), (1, 0)))).alias("ring"))
+    parcels = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.array(*(corner(i, j) for i, j in ((0, 0), (0, 1), (1, 1), (1, 0)))).alias("ring"))
     return spatial.in_parcels(points(spark, sf_dir), parcels, "vec_id", "p_partkey")
 
 

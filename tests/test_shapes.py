@@ -2,11 +2,13 @@
 
 import math
 import random
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geo
-from parcelflow.operators import topology
+from parcelflow.operators import edges, spatial, topology
 from parcelflow.plans import queries
 from parcelflow.sources import packages
 
@@ -127,3 +129,59 @@ def test_a_ring_is_made_once_however_many_corners(spark):
     ring = F.array(*(F.struct((F.col("id") + x).cast("double").alias("lat"), (F.col("id") * 0.71625 + y).alias("lon")) for x, y in ((0, 0), (0, 1), (1, 1), (1, 0))))
     plan = spark.range(1).select(geo.simplified(ring, 3.0).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("0.71625") == 4
+
+
+def rough(rng, lat, lon, r, n):
+    """A ring of n corners around a place."""
+    return [(lat + r * rng.uniform(0.3, 1) * math.sin(2 * math.pi * i / n), lon + r * rng.uniform(0.3, 1) * math.cos(2 * math.pi * i / n)) for i in range(n)]
+
+
+def test_points_meet_shapes_in_leaves_and_blocks(spark, monkeypatch):
+    """Slanted and upright edges, holes, parts, points on borders and too many in one place, over leaves, blocks and batches of any size: the rows of all pairs held against all rings."""
+    rng = random.Random(6)
+    shapes = [(f"s{i}", [rough(rng, rng.uniform(-0.02, 0.02), rng.uniform(-0.02, 0.02), 10 ** rng.uniform(-3, -1.5), rng.randint(3, 9)) for _ in range(rng.randint(1, 3))]) for i in range(40)]
+    square = [(0.0, 0.0), (0.0, 0.01), (0.01, 0.01), (0.01, 0.0)]
+    shapes += [("box", [square]), ("frame", [[(-1.0, -1.0), (-1.0, 1.0), (1.0, 1.0), (1.0, -1.0)], square]), ("none", None), ("empty", []), ("hollow", [[], square, None]), ("line", [[(0.0, 0.0), (0.0, 0.01)]]), ("globe", [[(-80.0, -170.0), (-80.0, 170.0), (80.0, 170.0), (80.0, -170.0)]]), ("twice", [square]), ("twice", [square])]
+    pts = [(i, rng.gauss(0, 0.01), rng.gauss(0, 0.01)) for i in range(300)] + [(1000 + i, 0.004, 0.003) for i in range(50)]
+    pts += [(2000, 0.0, 0.0), (2001, 0.01, 0.005), (2002, 0.005, 0.01), (2003, 0.0, 0.005), (2004, 50.0, 100.0), (2005, None, 0.0), (2006, 0.0, float("nan"))]
+    points, parcels = spark.createDataFrame(pts, "i long, lat double, lon double"), spark.createDataFrame(shapes, f"p string, {RINGS}")
+    kept = parcels.withColumn("rings", F.filter("rings", lambda r: F.size(r) > 0)).crossJoin(points.where("not isnan(lon)")).where(geo.in_rings(F.col("lat"), F.col("lon"), F.col("rings")))
+    want = sorted(tuple(r) for r in kept.select("i", "p").collect())
+    monkeypatch.setattr(spatial, "PARCELS_EACH", 9)
+    monkeypatch.setattr(spatial, "UNITS_EACH", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for most in (12, 10**9):
+            got = sorted(tuple(r) for r in spatial.in_parcels(points, parcels, "i", "p", most=most).collect())
+            assert got == want and len(got) > 2000
+            numbers = {r["p"]: r["points"] for r in spatial.count_in_parcels(points, parcels, "i", "p", most=most).collect()}
+            assert numbers == Counter(p for _, p in want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spatial.in_parcels(points.limit(0), parcels, "i", "p").count() == spatial.count_in_parcels(points, parcels.limit(0), "i", "p").count() == 0
+
+
+def test_no_edge_is_asked_row_by_row(spark):
+    points = spark.range(10).selectExpr("id as i", "0.001 * id as lat", "0.001 * id as lon")
+    parcels = spark.createDataFrame([(1, [[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]])], f"p int, {RINGS}")
+    plan = spatial.in_parcels(points, parcels, "i", "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+
+
+def test_a_task_asks_many_pairs_at_once():
+    """Five million pairs of points and shapes take a task well under a second; row by row they took some 25."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    n, k = 1000, 5000
+    south, west = rng.random((2, k)) - 0.5
+    corners = np.stack([south, south + 0.4, west, west, south + 0.4, south, west + 0.4, west + 0.4], axis=1)
+    shapes = pa.RecordBatch.from_arrays([pa.array([0] * k), pa.array([0] * k), pa.nulls(k, pa.int64()), *(pa.nulls(k, pa.float64()) for _ in "xy"), pa.array(range(k)), pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype="i4") * 8), pa.array(corners.ravel()))], list("abcdefg"))
+    lat, lon = rng.random((2, n))
+    points = pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array([0] * n), pa.array(range(n)), pa.array(lat), pa.array(lon), pa.nulls(n, pa.int64()), pa.nulls(n, shapes.schema.field("g").type)], list("abcdefg"))
+    began = time.process_time()
+    held = sum(len(b.column(1).values) for b in edges.held(iter([points, shapes]), True))
+    assert time.process_time() - began < 5
+    inside = lambda x, low: (low[:, None] < x) & (x < low[:, None] + 0.4)
+    assert held == (inside(lat, south) & inside(lon, west)).sum()
