@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import spatial, topology
 from ..operators.storage import scratch
 from ..sources import files, packages
-from ..sources.domain import POINT_SQL, points, table
+from ..sources.domain import POINT_SQL, dealt, points, table
 from .registry import book
 
 QUERIES, SQL, query = book()
@@ -29,7 +29,7 @@ def _parcels(spark, sf_dir):
 
     outer, hole, second = square(0, 0, 1, 1), square(0.25, 0.25, 0.75, 0.75), square(2, 0, 3, 1)
     parts = F.when(k % 3 == 0, F.array(F.array(outer))).when(k % 3 == 1, F.array(F.array(outer, hole))).otherwise(F.array(F.array(outer, hole), F.array(second)))
-    return table(spark, sf_dir, "part").select("p_partkey", parts.alias("parts"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", parts.alias("parts"))
 
 
 @query("SRC-06_GEO-05_courtyards", f"WITH {POINT_SQL}, {_SHAPE_SQL} SELECT * FROM held")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import geo
 from parcelflow.operators import edges, spatial, topology
-from parcelflow.plans import queries
+from parcelflow.plans import queries, shapes
 from parcelflow.sources import packages
 
 RINGS = "rings array<array<struct<lat: double, lon: double>>>"
@@ -185,3 +185,8 @@ def test_a_task_asks_many_pairs_at_once():
     assert time.process_time() - began < 5
     inside = lambda x, low: (low[:, None] < x) & (x < low[:, None] + 0.4)
     assert held == (inside(lat, south) & inside(lon, west)).sum()
+
+
+def test_parts_are_dealt_out_before_they_are_shapes(spark, sf_dir):
+    """The file of all parts is read by one task or a few; shapes, and their well-known binary, are made by as many as shuffles have."""
+    assert shapes._parcels(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
