@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import spatial, topology
-from ..operators.storage import scratch
+from ..operators.storage import scratch, stored
 from ..sources import files, packages
 from ..sources.domain import POINT_SQL, dealt, points, table
 from .registry import book
@@ -48,9 +48,10 @@ def shapes_of_parts(spark, sf_dir):
     one = F.struct(F.lit("Feature").alias("type"), F.struct("p_partkey").alias("properties"), files.geojson_shape(F.col("parts")).alias("geometry"))
     pages = _parcels(spark, sf_dir).groupBy(F.floor(F.col("p_partkey") / 100)).agg(F.collect_list(one).alias("features"))
     pages.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.text(path)
-    back = files.read_shapes(spark, path, "p_partkey: bigint", lines=True).withColumn("rings", F.flatten("parts"))
-    held = spatial.in_parcels(points(spark, sf_dir), back.select("p_partkey", "rings"), "vec_id", "p_partkey").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("points"))
-    return back.join(held, "p_partkey", "left").select("p_partkey", F.size("parts").alias("parts"), F.size("rings").alias("rings"), F.coalesce("points", F.lit(0)).alias("points"))
+    read = files.read_shapes(spark, path, "p_partkey: bigint", lines=True)
+    back = stored(read.select("p_partkey", F.size("parts").alias("parts"), F.flatten("parts").alias("rings")), "shapes-read")
+    held = spatial.count_in_parcels(points(spark, sf_dir), back.select("p_partkey", "rings"), "vec_id", "p_partkey")
+    return back.join(held, "p_partkey", "left").select("p_partkey", "parts", F.size("rings").alias("rings"), F.coalesce("points", F.lit(0)).alias("points"))
 
 
 #: Metres that the middle of a border between two lattice corners stands off it, by the border's place.

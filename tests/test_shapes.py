@@ -190,3 +190,9 @@ def test_a_task_asks_many_pairs_at_once():
 def test_parts_are_dealt_out_before_they_are_shapes(spark, sf_dir):
     """The file of all parts is read by one task or a few; shapes, and their well-known binary, are made by as many as shuffles have."""
     assert shapes._parcels(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_points_of_parts_are_counted_without_pairs(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(spatial, "in_parcels", None)
+    rows = queries()["SRC-07_GEO-04_shapes_of_parts"](spark, sf_dir)
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/part.parquet").count() and rows.agg(F.sum("points")).first()[0] > 0
